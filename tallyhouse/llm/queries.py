@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ppm, quality, simhash, warc
+from . import bpe, licenses, mixing, ppm, preferences, quality, simhash, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,20 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each license of each document; a document without any has one row with nulls."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer("licenses").alias("l"))
+    return found.select("doc_id", F.col("l.license").alias("license"), F.col("l.found").alias("found_shingles"), F.col("l.total").alias("total_shingles"))
+
+
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with its last answer taken from the next conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = preferences.format_pairs(preferences.swap_last_answer(turns))
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
+    return rows.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans").alias("chosen_spans"), text("rejected_spans").alias("rejected_spans"), "identical")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -54,6 +68,8 @@ def queries() -> dict[str, Query]:
         "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
         "op6_ppm": op6_ppm,
+        "op7_licenses": op7_licenses,
+        "op9_preferences": op9_preferences,
     }
 
 
