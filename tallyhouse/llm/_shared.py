@@ -72,13 +72,14 @@ def unit(*cols: Column | str, seed: int = 0) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def id_slices(df: DataFrame, key: str, rows: int) -> Column:
+def id_slices(df: DataFrame, key: str, rows: int, most: int = 65536) -> Column:
     """A slice number for an integer key: ordered as the key, null before all, about `rows` rows each if keys lie evenly.
 
+    Beyond `most` slices they get longer instead, as one row a slice is ordered in one task.
     The slices depend on the data alone (count, least and largest key), not on partitions.
     """
     n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
     if low is None:
         return F.lit(-1).cast("bigint")
-    width = max(1, -(-(int(high) - int(low) + 1) // max(1, -(-n // rows))))
+    width = max(1, -(-(int(high) - int(low) + 1) // min(most, max(1, -(-n // rows)))))
     return F.coalesce(F.expr(f"cast((cast(`{key}` AS decimal(20,0)) - {int(low)}) AS decimal(20,0)) div {width}"), F.lit(-1)).cast("bigint")

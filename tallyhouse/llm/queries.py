@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, ppm, preferences, quality, simhash, warc
+from . import bpe, licenses, mixing, ppm, preferences, quality, simhash, warc, weighted
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans").alias("chosen_spans"), text("rejected_spans").alias("rejected_spans"), "identical")
 
 
+def op10_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op6_ppm": op6_ppm,
         "op7_licenses": op7_licenses,
         "op9_preferences": op9_preferences,
+        "op10_weighted": op10_weighted,
     }
 
 
