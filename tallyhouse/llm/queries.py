@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, ppm, preferences, quality, simhash, warc, weighted
+from . import bpe, licenses, mixing, ppm, preferences, quality, simhash, toxicity, warc, weighted
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("l.license").alias("license"), F.col("l.found").alias("found_shingles"), F.col("l.total").alias("total_shingles"))
 
 
+def toxicity_fold(doc_id: str = "doc_id") -> F.Column:
+    """Which fourth of the documents an id falls in; labels of fourth 2 are held out."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(toxicity_fold() != 2).select("doc_id", "toxic")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", (toxicity_fold() == 2).alias("held_out"), "score", (F.col("score") >= toxicity.CUTOFF).cast("int").alias("predicted"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with its last answer taken from the next conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash": op5_simhash,
         "op6_ppm": op6_ppm,
         "op7_licenses": op7_licenses,
+        "op8_toxicity": op8_toxicity,
         "op9_preferences": op9_preferences,
         "op10_weighted": op10_weighted,
     }
