@@ -83,7 +83,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = rows.groupBy("slice").agg(F.min("doc_id").alias("first"))
     order = Window.orderBy("slice")
     before = firsts.select(F.col("slice").alias("of"), "first", F.coalesce(F.lag("slice").over(order), F.max("slice").over(Window.partitionBy())).alias("to"))
-    heads = rows.join(before, (F.col("slice") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("to", "doc_id").agg(F.min("text").alias("text"))
+    # a row a slice, of which id_slices makes 65,536 at most
+    heads = rows.join(F.broadcast(before), (F.col("slice") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("to", "doc_id").agg(F.min("text").alias("text"))
     both = rows.withColumn("tail", F.lit(0)).unionByName(heads.select(F.col("to").alias("slice"), "doc_id", "text", F.lit(1).alias("tail")))
     inside = Window.partitionBy("slice").orderBy("tail", F.col("doc_id").asc_nulls_first(), "text")
     return both.select("slice", F.row_number().over(inside).alias("place"), "tail", "doc_id", "text", F.lead("text").over(inside).alias("next_text"))
