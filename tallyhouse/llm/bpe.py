@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import json
 import struct
 import unicodedata
@@ -35,7 +36,9 @@ from ._shared import bounded_batches
 #: Unicode's White_Space. Fixed values.
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: Words of which a worker remembers the ids.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
+#: Up to so many symbols a list is searched instead of a heap.
+SHORT = 40
 
 
 def byte_characters() -> list[str]:
@@ -65,6 +68,7 @@ class Encoder:
         self.inside = self._pairs_inside()
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.remembered = remembered
 
     def _pairs_inside(self) -> set[str]:
@@ -80,10 +84,24 @@ class Encoder:
         cuts = [0, *[i + 1 for i in range(len(piece) - 1) if piece[i : i + 2] not in self.inside], len(piece)]
         return [piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def merge_short(self, symbols: list[str]) -> list[str]:
+        """The same for few symbols."""
+        get, none = self.ranks.get, math.inf
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) != none:
+            i = ranks.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+        return symbols
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of the lowest rank, leftmost first, until none is left."""
-        if len(symbols) < 2:
-            return symbols
+        if len(symbols) <= SHORT:
+            return self.merge_short(symbols)
         after, before, ranks = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)], self.ranks
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(len(symbols) - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -104,13 +122,20 @@ class Encoder:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern."""
-        characters = "".join(self.bytes[b] for b in piece.encode())
+        known = self.pieces.get(piece)
+        if known is not None:
+            return known
+        characters = "".join(map(self.bytes.__getitem__, piece.encode()))
         parts, ids = self.fragments(characters), []
         for k, part in enumerate(parts):
             symbols = list(part)
             if k == len(parts) - 1:
                 symbols[-1] += self.suffix
             ids += [i for s in self.merge(symbols) if (i := self.vocab.get(s)) is not None]
+        if len(piece) <= 64:
+            if len(self.pieces) >= self.remembered // 4:
+                self.pieces.clear()
+            self.pieces[piece] = ids
         return ids
 
     def encode_word(self, word: str) -> tuple[bytes, bytes]:
@@ -121,7 +146,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids), self.decode_packed(ids)
 
     def decode_packed(self, ids: list[int]) -> bytes:
-        return "".join(f"{self.texts[i]} " for i in ids).encode()
+        return (" ".join(map(self.texts.__getitem__, ids)) + " ").encode() if ids else b""
 
     def remember(self, word: str) -> tuple[bytes, bytes]:
         found = self.older.get(word) or self.encode_word(word)
@@ -133,7 +158,9 @@ class Encoder:
 
     def encode_plain(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         words = self.words
-        for w in self.white.split(unicodedata.normalize("NFC", text)):
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        for w in self.white.split(text):
             if w:
                 yield words.get(w) or self.remember(w)
                 words = self.words
