@@ -37,6 +37,7 @@ from ._shared import bounded_batches, materialise
 RADIUS = 4
 SHINGLE = 4
 SHARD_ROWS = 2048
+_BITS = (1 << 64) - 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -72,10 +73,11 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", text: str = "text") -> D
 
 
 class BKTree:
-    """Values by Hamming distance: each child hangs at its distance from its parent."""
+    """Values by Hamming distance: each child hangs at its distance from its parent. Signed values count as their 64 bits."""
 
     def __init__(self, values: list[int]):
-        self.values, self.children = values, [{} for _ in values]
+        self.values = values = [v & _BITS for v in values]
+        self.children: list[dict[int, int]] = [{} for _ in values]
         for i in range(1, len(values)):
             at, v = 0, values[i]
             while (nxt := self.children[at].get(d := (values[at] ^ v).bit_count())) is not None:
@@ -84,6 +86,7 @@ class BKTree:
 
     def within(self, value: int, radius: int) -> Iterator[int]:
         """Indexes of the values at most radius away."""
+        value &= _BITS
         todo = [0] if self.values else []
         while todo:
             at = todo.pop()
