@@ -11,7 +11,7 @@ Learning takes at most SAMPLE labelled texts of each class, those of the least h
 parameter, and so are the dictionaries' sizes. Texts are never gathered: segments are counted, and windows measured, where the texts lie.
 Scoring sees the text only and covers every window of every text.
 
-Defined cases: null and empty texts have no windows and get the score of the smallest features; labels of unknown
+Defined cases: null and empty texts have no windows and score as a text whose windows say nothing; labels of unknown
 documents are not used; of several labels of a document the highest counts; null labels are not used; without labels of both classes every
 score is 0; repeated rows are scored each; other columns of docs pass through.
 """
@@ -111,10 +111,10 @@ def histogram(excess: np.ndarray) -> np.ndarray:
     return np.bincount(np.clip(excess, -LARGEST, LARGEST) + LARGEST, minlength=2 * LARGEST + 1)
 
 
-def features(counts: np.ndarray, evidence: np.ndarray, threshold: int) -> tuple[float, float, float, float]:
-    """Evidence of all windows, that of windows over the threshold, their number, and the number of windows."""
+def features(counts: np.ndarray, evidence: np.ndarray, threshold: int) -> np.ndarray:
+    """Evidence of all windows, that of windows over the threshold, and their number."""
     over = counts[..., threshold + LARGEST + 1 :]
-    return np.stack([counts @ evidence, over @ np.maximum(evidence[threshold + LARGEST + 1 :], 0), np.log1p(over.sum(-1)), np.log1p(counts.sum(-1))], -1)
+    return np.stack([counts @ evidence, over @ np.maximum(evidence[threshold + LARGEST + 1 :], 0), np.log1p(over.sum(-1))], -1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
