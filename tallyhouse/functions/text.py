@@ -110,7 +110,7 @@ def csv_safe(text: Column) -> Column:
 def ics_escape(text: Column) -> Column:
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
     t = F.replace(F.replace(t, F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,"))
-    return F.regexp_replace(t, "\r?\n", "\\\\\\\\n")
+    return F.regexp_replace(t, "\r?\n", "\\\\n")
 
 
 def is_email(text: Column) -> Column:
