@@ -6,7 +6,7 @@ t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). The sample is the (term
 agree in one with a chance equal to their generalised Jaccard similarity, sum(min(w)) / sum(max(w)) (Ioffe 2010).
 A fingerprint keeps 16 bits of each sample, so unequal samples look equal once in 65,536.
 
-All of it is built-in functions. A sample's ln a (31 bits of fixed point, steps of 2^-24) and the hash of its (term, t) share a
+All of it is built-in functions. A sample's ln a (31 bits of fixed point, steps of 2^-23) and the hash of its (term, t) share a
 64-bit number, so the whole fingerprint is SAMPLES plain minima, combined before any shuffle.
 
 A document meets its successor within slices of the id range: the first row of each slice also closes the slice before,
@@ -42,15 +42,16 @@ def _uniform(bits: str) -> str:
 
 
 def sample_minimum(k: int) -> Column:
-    """The number of which the least over a text's rows (t, w) is its sample k."""
+    """The number of which the least over a text's rows (t, lw: log weight) is its sample k. ln a lies over -128 for weights under e^80."""
     mask = _UNIT - 1
     one, two = f"xxhash64(t, {2 * k})", f"xxhash64(t, {2 * k + 1})"
     r = f"(-ln({_uniform(f'shiftrightunsigned({one}, 43)')} * {_uniform(f'shiftrightunsigned({one}, 22) & {mask}')}))"
     c = f"ln(-ln({_uniform(f'shiftrightunsigned({two}, 43)')} * {_uniform(f'shiftrightunsigned({two}, 22) & {mask}')}))"
     b = f"({_uniform(f'{one} & {mask}')})"
-    level = f"floor(ln(w) / {r} + {b})"
+    level = f"floor(lw / {r} + {b})"
     a = f"({c} - {r} * ({level} - {b} + 1D))"
-    return F.expr(f"CASE WHEN t IS NOT NULL THEN shiftleft(cast(greatest(0D, ({a} + 64D) * {1 << 24}D) AS bigint), 32) | (xxhash64(t, {level}, {k}) & 4294967295L) END")
+    # no branch around it, so that Spark computes what recurs in it once; null weights make it null
+    return F.expr(f"shiftleft(cast(({a} + 128D) * {1 << 23}D AS bigint), 32) | (xxhash64(t, {level}, {k}) & 4294967295L)")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,7 +66,7 @@ def _fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     hashed = rows.withColumn(w, F.expr(term_runs(text))).select(*keys, w)
     starts = hashed.withColumn("__at", F.expr(f"CASE WHEN size({w}) > 0 THEN filter(sequence(0, size({w}) - 1), i -> i = 0 OR {w}[i] <> {w}[i - 1]) ELSE cast(array() AS array<int>) END"))
     runs = F.expr(f"zip_with(__at, concat(slice(__at, 2, greatest(size(__at) - 1, 0)), CASE WHEN size({w}) > 0 THEN array(size({w})) ELSE cast(array() AS array<int>) END), (x, y) -> struct({w}[x] AS t, y - x AS w))")
-    terms = starts.select(*keys, F.explode_outer(runs).alias("r")).select(*keys, F.col("r.t").alias("t"), F.col("r.w").alias("w"))
+    terms = starts.select(*keys, F.explode_outer(runs).alias("r")).select(*keys, F.col("r.t").alias("t"), F.ln(F.col("r.w").cast("double")).alias("lw"))
     least = terms.groupBy(*keys).agg(*[F.min(sample_minimum(k)).alias(f"__m{k}") for k in range(SAMPLES)])
     digits = F.lower(F.concat(*[F.lpad(F.hex(F.col(f"__m{k}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for k in range(SAMPLES)]))
     return least.select(*keys, F.coalesce(digits, F.lit("")).alias("fp"))

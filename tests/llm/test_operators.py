@@ -471,7 +471,7 @@ def brute_weighted(text, h):
             r, c, b = weighted.gamma_parameters(term, k, h)
             level = math.floor(math.log(n) / r + b)
             a = math.log(c) - r * (level - b + 1)
-            value = (int(max(0.0, (a + 64) * (1 << 24))) << 32) | (h(term, Long(level), k) & 0xFFFFFFFF)
+            value = (int((a + 128) * (1 << 23)) << 32) | (h(term, Long(level), k) & 0xFFFFFFFF)
             best = value if best is None else min(best, value)
         out += f"{best & 0xFFFF:04x}"
     return out
