@@ -18,6 +18,7 @@ score is 0; repeated rows are scored each; other columns of docs pass through.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,12 +36,12 @@ SAMPLE = 4000
 WINDOW = 1
 #: Distinct windows of which a worker remembers the excess.
 REMEMBERED = 200_000
-#: Segments of a dictionary, the least share of its class that has each, and the least ratio to the other class.
-SEGMENTS, LEAST_SHARE, LEAST_RATIO, LEAST_TEXTS = 400, 0.02, 4.0, 5
+#: Segments of a dictionary, the least ratio of each to the other class by its lower bound, and the least texts of its class that have it.
+SEGMENTS, LEAST_RATIO, LEAST_TEXTS = 4000, 4.0, 5
+#: Standard errors that the lower bound of a ratio lies below it.
+ERRORS = 1.5
 #: Follows each window and stands in both dictionaries: bytes that no text has, as a window's last 8 bytes are not searched.
 CARRIER = bytes(range(192, 224))
-#: The least value of a segment, as a share of the best one's.
-LEAST_WEIGHT = 0.02
 #: Segments common to both classes that either dictionary starts with.
 COMMON, LEAST_COMMON = 3000, 0.004
 CUTOFF = 0.3
@@ -183,11 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     counted = rows.select("text", "toxic").mapInArrow(count, "segment binary, n0 bigint, n1 bigint").groupBy("segment").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     shares = counted.select("segment", (F.col("n0") / sizes[0]).alias("p0"), (F.col("n1") / sizes[1]).alias("p1"))
     dictionaries = []
-    for own, other, n in (("p1", "p0", sizes[1]), ("p0", "p1", sizes[0])):
+    for own, other in ((1, 0), (0, 1)):
+        # a segment's share of its class doesn't count, only its ratio: a language of few texts has few texts with each of its words
+        a, b = F.col(f"n{own}"), F.col(f"n{other}")
+        log_ratio = F.log((a + 0.5) / (sizes[own] + 1)) - F.log((b + 0.5) / (sizes[other] + 1))
+        sure = log_ratio - ERRORS * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # what even a lucky draw leaves
         # the best candidates only: many times what a dictionary holds
-        sure = F.col(own) - 1.5 * F.sqrt(F.col(own) / n)  # the share that even a lucky draw leaves
-        best = shares.where((F.col(own) * n >= LEAST_TEXTS) & (sure >= LEAST_SHARE) & (sure >= LEAST_RATIO * F.col(other))).withColumn("v", sure * F.log((sure + 1e-4) / (F.col(other) + 1e-4)) * F.sqrt(F.length("segment"))).orderBy(F.desc("v"), "segment").limit(20 * SEGMENTS).select("segment", "v").collect()
-        chosen = pick_segments([bytes(r.segment) for r in best if r.v >= LEAST_WEIGHT * best[0].v])
+        best = counted.where((a >= LEAST_TEXTS) & (sure >= math.log(LEAST_RATIO))).orderBy(F.desc(a * sure * F.sqrt(F.length("segment"))), "segment").limit(20 * SEGMENTS).select("segment").collect()
+        chosen = pick_segments([bytes(r.segment) for r in best])
         dictionaries.append(b"".join(reversed(chosen)).ljust(8, b"\x00"))
     # what is common in either class goes into both, so that only what sets them apart makes a difference
     common = shares.where((F.least("p0", "p1") >= LEAST_COMMON) & (F.greatest("p0", "p1") < 2 * F.least("p0", "p1"))).orderBy(F.desc(F.least("p0", "p1") * F.length("segment")), "segment").limit(COMMON)

@@ -416,6 +416,27 @@ def test_toxicity(spark, empty):
     assert toxicity.filter_toxic(empty, marks).count() == 0
 
 
+def test_toxicity_learns_words_of_a_rare_language(spark):
+    """8 of 408 toxic texts are in another language: its toxic word has a small share of all toxic texts, yet none of the ordinary ones."""
+    rng = random.Random(6)
+    often, rare = (["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(150)] for letters in ("abcdefgh", "lmnopqrs"))
+
+    def text(known, *marks):
+        w = [rng.choice(known) for _ in range(30)]
+        for m in marks:
+            w[rng.randrange(30)] = m
+        return " ".join(w)
+
+    rows = [(text(often, "zorkmid", "quaxil"), 1) for _ in range(400)] + [(text(often), 0) for _ in range(1200)]
+    rows += [(text(rare, "tuvwyx"), 1) for _ in range(8)] + [(text(rare), 0) for _ in range(40)]
+    new = [(text(rare, "tuvwyx"), 1) for _ in range(6)] + [(text(rare), 0) for _ in range(20)]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows + new)], "doc_id bigint, text string")
+    model = toxicity.fit(frame, spark.createDataFrame([(i, c) for i, (_, c) in enumerate(rows)], "doc_id bigint, toxic int"))
+    assert b"tuvwyx" in model.toxic
+    score = {r.doc_id: r.score for r in toxicity.score_texts(frame, model).collect()}
+    assert all((score[i] >= toxicity.CUTOFF) == c for i, (_, c) in enumerate(new, len(rows)))
+
+
 # 9 preferences
 
 
