@@ -205,32 +205,40 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link_documents(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of docs (doc_id, text)."""
-    prints = materialise(with_fingerprint(docs.select("doc_id", "text")), "fingerprints")
+def _classes(prints: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(__fp, root, component_id) of each distinct prints.fp, from (doc_id, fp)."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = materialise(components(links(nodes, radius, shard_rows)), "roots")
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     labelled = materialise(labelled, "labelled")
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    return labelled.join(ids, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+
+
+def link_documents(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id) of each row of docs (doc_id, text)."""
+    prints = materialise(with_fingerprint(docs.select("doc_id", "text")), "fingerprints")
+    return prints.join(_classes(prints, radius, shard_rows), F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component, that with the smallest doc_id, with the columns of docs.
+    """One row of docs for each component, with the columns of docs: that with the smallest doc_id (null last), fingerprint and text hash.
 
-    Of rows that share the doc_id of a kept one, those with the kept fingerprint and the least text hash stay, once.
+    Of rows that share doc_id and text, the one with the smallest values in the other columns stays.
     """
-    classes = link_documents(docs, radius)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialise(kept, "kept")
-    k = kept.select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-    rows = docs.join(k, docs["doc_id"].eqNullSafe(k["__id"]))
+    text = F.coalesce(F.md5("text"), F.lit(""))  # null and empty texts differ here
+    prints = materialise(with_fingerprint(docs.select("doc_id", "text", text.alias("hash"))), "fingerprints")
+    counted = prints.groupBy("doc_id", "fp", "hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "hash", "n"))
+    kept = counted.join(_classes(prints, radius, SHARD_ROWS), F.col("fp") == F.col("__fp")).groupBy("root").agg(first.alias("k"))
+    kept = materialise(kept.select("root", "k.doc_id", "k.hash", "k.n"), "kept")
+    k = kept.select(F.col("root").alias("__root"), F.col("doc_id").alias("__id"), F.col("hash").alias("__kept_hash"), F.col("n").alias("__n"))
+    # the same text has the same fingerprint and so one component
+    rows = docs.withColumn("__hash", text)
+    rows = rows.join(k, docs["doc_id"].eqNullSafe(k["__id"]) & (F.col("__hash") == F.col("__kept_hash")))
     once = rows.where("__n = 1").select(*docs.columns)
-    # ids that occur more than once, or null: settle them row by row
-    twice = rows.where("__n > 1").select(*docs.columns)
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    twice = rows.where("__n > 1").groupBy("__root").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(twice)
 
 
 def hexadecimal(fp: str) -> F.Column:

@@ -278,6 +278,35 @@ def test_simhash_keeps_one_of_each(docs):
     assert sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(map(str, ids))
 
 
+def test_simhash_keeps_one_of_each_with_null_and_repeated_ids(spark):
+    """Different texts without an id, or with the same, are components of their own; a kept id brings back no row of another component."""
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    rows = [(i, text(), None, "s", 0) for i in [None] * 30 + [7] * 5 + list(range(20, 30))]
+    # copies: of a text without id, of one with id 7, and of id 25 by a smaller id that another component has too
+    rows += [(None, rows[0][1], "fr", "s", 0), (7, rows[30][1], "de", "s", 0), (3, rows[40][1], "en", "s", 0), (3, text(), "en", "s", 0), (50, rows[31][1], "en", "s", 0)]
+    group, prints = {}, [brute_fingerprint(r[1]) for r in rows]
+    parent = {fp: fp for fp in prints}
+
+    def up(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 4:
+                parent[up(a)] = up(b)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    order = lambda r, fp: (r[0] is None, r[0] or 0, signed(fp), hashlib.md5(r[1].encode()).hexdigest(), r[2] or "")
+    for r, fp in zip(rows, prints, strict=True):
+        group[up(fp)] = min(group.get(up(fp), (r, fp)), (r, fp), key=lambda x: order(*x))
+    assert len(group) == 46
+    for parts in (1, 5):
+        kept = simhash.keep_first(spark.createDataFrame(rows, DOCS).repartition(parts))
+        assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(str(r) for r, _ in group.values())
+
+
 # 6 PPM
 
 
