@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: what separates words in every operator here.
@@ -52,13 +52,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
+#: Rows and bytes of an Arrow batch. Every operator uses the same bound, so it doesn't matter which of them has set it.
+BATCH_ROWS, BATCH_BYTES = 500, "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches between JVM and Python by rows and bytes, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    except Exception:  # the setting is younger than the rest of the API
-        pass
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def parts(spark: SparkSession, amount: int, each: int) -> int:
+    """Partitions for an amount of rows or bytes: `each` a partition, but no fewer than the session's shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,14 +78,19 @@ def unit(*cols: Column | str, seed: int = 0) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def id_slices(df: DataFrame, key: str, rows: int, most: int = 65536) -> Column:
-    """A slice number for an integer key: ordered as the key, null before all, about `rows` rows each if keys lie evenly.
+def with_next(rows: DataFrame, order: list[str], each: int = 1_000_000) -> DataFrame:
+    """rows with `next`: a struct of the columns `order` of the row that follows in that order (null first), after the last the first.
 
-    Beyond `most` slices they get longer instead, as one row a slice is ordered in one task.
-    The slices depend on the data alone (count, least and largest key), not on partitions.
+    Narrow rows with distinct keys. Spark draws the borders of the ranges from a sample of the keys, so an outlying key makes no
+    range longer; within each a window looks ahead, and a row a range joins them. The result doesn't depend on the ranges.
     """
-    n, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(-1).cast("bigint")
-    width = max(1, -(-(int(high) - int(low) + 1) // min(most, max(1, -(-n // rows)))))
-    return F.coalesce(F.expr(f"cast((cast(`{key}` AS decimal(20,0)) - {int(low)}) AS decimal(20,0)) div {width}"), F.lit(-1)).cast("bigint")
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    count = parts(rows.sparkSession, rows.count(), each)
+    placed = materialise(rows.repartitionByRange(count, *keys).withColumn("__range", F.spark_partition_id()), "ordered")
+    key = F.struct(*order)
+    firsts = placed.groupBy("__range").agg(F.min(key).alias("first"))
+    after = firsts.select(F.col("__range").alias("__of"), F.coalesce(F.lead("first").over(Window.orderBy("__range")), F.min("first").over(Window.partitionBy())).alias("__then"))
+    inside = placed.withColumn("next", F.lead(key).over(Window.partitionBy("__range").orderBy(*keys)))
+    # a row a range: as many as there are partitions
+    joined = inside.join(F.broadcast(after), F.col("__range") == F.col("__of"))
+    return joined.withColumn("next", F.coalesce("next", "__then")).drop("__range", "__of", "__then")

@@ -12,7 +12,8 @@ Covers tokenizer files of the kind: NFC, white space, lower case; words by patte
 characters; merges with an end-of-word suffix; special tokens found in the raw text.
 
 Defined cases: a null text is empty and has no ids; decoding joins the tokens' strings with one blank, as a
-file without decoder asks for; rows, ties and other columns don't affect each other.
+file without decoder asks for; a symbol outside the vocabulary becomes the file's unknown token, if it names one, else nothing, as the library does;
+a column that has the name of a result gives way; rows, ties and other columns don't affect each other.
 """
 
 from __future__ import annotations
@@ -59,6 +60,10 @@ class Encoder:
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: i for i, m in reversed(list(enumerate(merges)))}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")) or any(t.get("normalized") for t in spec.get("added_tokens", [])):
+            raise ValueError("added tokens with single_word, lstrip, rstrip or normalized are not covered")
+        unknown = model.get("unk_token")
+        self.unknown: int | None = self.vocab.get(unknown) if unknown else None
         split = next((p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.white = regex.compile(f"[{_WHITE}]+")
@@ -131,7 +136,7 @@ class Encoder:
             symbols = list(part)
             if k == len(parts) - 1:
                 symbols[-1] += self.suffix
-            ids += [i for s in self.merge(symbols) if (i := self.vocab.get(s)) is not None]
+            ids += [i for s in self.merge(symbols) if (i := self.vocab.get(s, self.unknown)) is not None]
         if len(piece) <= 64:
             if len(self.pieces) >= self.remembered // 4:
                 self.pieces.clear()
@@ -169,7 +174,7 @@ class Encoder:
         """Packed ids and decoded text in UTF-8."""
         found: list[tuple[bytes, bytes]] = []
         at = 0
-        for m in self.specials.finditer(text) if self.specials and "<|" in text else ():
+        for m in self.specials.finditer(text) if self.specials else ():
             found += self.encode_plain(text[at : m.start()])
             i = self.special[m[0]]
             found.append((struct.pack("<I", i), self.decode_packed([i])))
@@ -192,10 +197,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", digest: bool = False)
     bounded_batches(spark)
     with open(path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
-    at = docs.columns.index(text)
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digest else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
-    if clash := {n for n, _ in new} & {c for i, c in enumerate(docs.columns) if i != at}:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
+    docs = docs.drop(*[n for n, _ in new if n != text])
+    at = docs.columns.index(text)
     schema = T.StructType([*[f for i, f in enumerate(docs.schema.fields) if i != at], *[T.StructField(n, t) for n, t in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,8 @@
-"""Language-model scores by prediction by partial matching over bytes.
+"""Language-model scores by prediction by partial matching over the bytes of whole documents.
 
-Tokens are lower-cased (A-Z) words and one end mark a text. The model predicts a token byte by byte, then its
-stop; a context is what stands before in the token, from its start mark on, at most ORDER bytes. Contexts do
-not reach over a word's start, so each distinct token is coded once. Its counts are pretrained
-on the training texts. The document so far is one more context, above the bytes: a token that it has
-had is also predicted by its share of the words so far, blended by how many new words the document
-brings (an adaptive part that no other document can see).
+A text is read as its lower-cased (A-Z) words, a blank after each, and an end mark. Every byte is coded after the ORDER bytes
+before it, over word borders; before a text's first byte stand end marks. Contexts form a trie by their last bytes: that of order
+k is cut to its last k bytes. Counts are pretrained on the training texts.
 
 Escape estimation is secondary (SEE): how often contexts like this one (order, whether entered by an escape, size, symbols)
 met a symbol that was new to them, counted over all training positions with the position itself left out.
@@ -13,17 +10,16 @@ A symbol with count c of n has (1 - escape) * c / n; the rest goes to the contex
 that the longer context has seen are excluded there. They are a subset of the shorter context's symbols,
 so what exclusion takes off is a sum per context, not per path. Below order 0 all symbols left are equally likely.
 
-Steps: texts become chunks of bounded size, each holding its distinct tokens, its documents' tokens as numbers into them
-and the training counts; counts are added up per token over all chunks and cut into sorted blocks. In a block, tokens with
-a common beginning stand side by side, so a position they share is one row, a run; runs are
-added up to distinct (context, symbol) pairs. Pairs are dealt by the last KEY bytes of their context, where all its contexts
-of that order and above meet; counts of lower orders come along as rows of their own, orders 0 and 1 (at most 256 * 258 counts) as a broadcast.
-More pairs get a longer key, so that groups stay small. Each group scores its pairs once and answers the blocks' runs;
-scores return per token, then per chunk. A frequent word is one row from the first step on.
+Steps: texts become chunks of bounded size. A chunk numbers its distinct (context, symbol) pairs and tokens, with counts over its
+training texts, and deals them into buckets as packed arrays, one row a bucket. Rows of a bucket are merged FAN at a time until there is one;
+a bucket holds whole contexts from order KEY up, as it is chosen by their last KEY bytes, and orders below KEY (at most 2^24 counts) are a broadcast.
+Each bucket learns escapes, then scores its pairs once. Every chunk row of a bucket is answered by numbers in its own order, FAN rows a
+task, and the chunk adds them up by document. So what is shuffled are packed distinct pairs; a frequent phrase is one of them
+in each chunk, and no task sees a number of rows that grows with the corpus.
 
 Defined cases: a null text is empty and has the end mark only; a null doc_id counts as the empty text in the split;
 without training tokens the model is uniform over symbols and base_score is null; repeated rows count and are scored
-each; further columns of the input are not looked at.
+each; further columns of the input are not looked at. A chunk holds at least one text, so memory grows with the longest one.
 """
 
 from __future__ import annotations
@@ -33,153 +29,210 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialise
-
-#: Bytes of context, the start mark included. They are packed in 64 bits.
-ORDER = 8
-#: Text bytes after which a chunk is closed.
-CHUNK_BYTES = 24 << 20
-#: The start mark and the stop are 0x20, which no word has; the end mark is the token b"\n".
-START, STOP, END = 0x20, 0x20, b"\n"
+from ._shared import bounded_batches, materialise, parts
+
+#: Bytes of context; with the symbol they are packed in 64 bits.
+ORDER = 6
+#: Last bytes of a context by which pairs are dealt.
+KEY = 3
+#: Text bytes after which a chunk is closed, and text bytes for each bucket of pairs and of tokens.
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Most buckets of either kind: so many hold what the distinct pairs of any corpus come to.
+MOST_BUCKETS = 4096
+#: Rows of a bucket that one task merges or answers.
+FAN = 256
+#: What follows a word (no word has it), and the end mark, a token b"\\n".
+STOP, END = b" ", b"\n"
 #: Symbols: 256 bytes less six that no word has, the stop, the end mark.
 SYMBOLS = 252
-#: Tokens of a block.
-BLOCK_TOKENS = 20_000
-#: How much a document's new words weigh against what it has said before.
-NOVELTY = 8.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-CHUNKS = "chunk string, docs binary, tokens array<binary>, counts array<bigint>"
+CHUNKS = "chunk string, ids binary, texts binary"
+PACKED = "chunk string, kind int, bucket int, keys binary, counts binary"
+OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def is_held_out(doc_id: object, modulus: int = 10, remainder: int = 0) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == remainder
 
 
-def _pack(ids: list, held: list[bool], lengths: list[int], tokens: list[int]) -> bytes:
-    head = np.array([len(ids), len(tokens)], np.int64).tobytes()
-    body = np.array([0 if i is None else i for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], np.uint8).tobytes() + np.array(held, np.uint8).tobytes() + np.array(lengths, np.int64).tobytes() + np.array(tokens, np.uint32).tobytes()
-    return zstandard.compress(head + body, 3)
+def pack(a: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 3)
+
+
+def unpack(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte of all, which compresses best."""
+    steps = np.diff(a.astype(np.uint64), prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
 
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.decompress(blob)
-    n, m = np.frombuffer(raw, np.int64, 2)
-    at, out = 16, []
-    for kind, count in ((np.int64, n), (np.uint8, n), (np.uint8, n), (np.int64, n), (np.uint32, m)):
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += out[-1].nbytes
-    return tuple(out)
 
+def pack_tokens(tokens: list[bytes]) -> bytes:
+    return zstandard.compress(END.join(tokens), 3)  # the end mark, which is no word, goes as the empty string
 
-class _Numbers(dict):
-    """Numbers keys in the order they are first asked for."""
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
+def unpack_tokens(blob: bytes) -> list[bytes]:
+    return zstandard.decompress(blob).split(END)
+
+
+def normal_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_LOWER).split()
 
 
 def make_chunks(docs: DataFrame) -> DataFrame:
-    """Rows of CHUNKS from docs (doc_id, text)."""
+    """Rows of CHUNKS from docs (doc_id, text): ids and whether they are null and held out, and the texts' words."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh() -> tuple:
-            return [], [], [], [], _Numbers({END: 0}), 0
-
-        ids, held, lengths, tokens, index, size = fresh()
+        ids: list = []
+        texts: list[bytes] = []
+        size = 0
 
         def close() -> pa.RecordBatch:
-            lens, flat = np.array(lengths), np.array(tokens, np.int64)
-            learn = np.repeat(~np.array(held, bool), lens)
-            counts = np.bincount(flat[learn], minlength=len(index))
-            blob = _pack(ids, held, lengths, tokens)
-            kinds = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            row = [uuid.uuid4().hex, blob, list(index), counts.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "docs", "tokens", "counts"])
+            head = np.array([[0 if i is None else i, i is None, is_held_out(i)] for i in ids], np.int64)
+            row = [uuid.uuid4().hex, pack(head), zstandard.compress(END.join(texts), 3)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "ids", "texts"])
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                before = len(tokens)
-                tokens.extend(map(index.__getitem__, (text or b"").translate(_LOWER).split()))
-                tokens.append(0)
                 ids.append(i)
-                held.append(is_held_out(i))
-                lengths.append(len(tokens) - before)
+                texts.append(STOP.join(normal_words(text)))
                 size += len(text or b"")
                 if size >= CHUNK_BYTES:
                     yield close()
-                    ids, held, lengths, tokens, index, size = fresh()
+                    ids, texts, size = [], [], 0
         if ids:
             yield close()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNKS)
 
 
-def token_counts(chunks: DataFrame) -> DataFrame:
-    """(token, c): every token of the texts with its count in the training texts."""
-    pairs = chunks.select(F.explode(F.arrays_zip("tokens", "counts")).alias("p"))
-    return pairs.select(F.col("p.tokens").alias("token"), F.col("p.counts").alias("c")).groupBy("token").agg(F.sum("c").alias("c"))
+def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte to code: its code, and how many of them each text has. A code is the context, its last byte highest, and the symbol in the lowest byte."""
+    bodies = [END * ORDER + t + (STOP if t else b"") + END for t in texts]
+    lengths = np.array([len(x) - ORDER for x in bodies])
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    at = np.ones(len(raw), bool)
+    starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
+    for k in range(ORDER):
+        at[starts + k] = False
+    code = raw.astype(np.uint64)
+    for k in range(1, ORDER + 1):
+        code[k:] |= raw[:-k].astype(np.uint64) << np.uint64(8 * (8 - k))
+    return code[at], lengths
 
 
-def positions(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token's positions: the token's number, the context (its last byte is the highest) and the symbol."""
-    lengths = np.array([1 if t == END else len(t) + 1 for t in tokens])
-    symbols = np.frombuffer(b"".join(t if t == END else t + bytes([STOP]) for t in tokens), np.uint8)
-    owner = np.repeat(np.arange(len(tokens)), lengths)
-    place = np.arange(len(symbols)) - (np.cumsum(lengths) - lengths)[owner]
-    before = np.zeros(len(symbols) + 1, np.uint64)
-    before[1:] = symbols
-    context = np.zeros(len(symbols), np.uint64)
-    for k in range(1, ORDER + 1):  # the byte k places back, the start mark where the token begins
-        rows = np.flatnonzero(place >= k - 1)
-        byte = np.where(place[rows] == k - 1, np.uint64(START), before[np.maximum(rows - k + 1, 0)])
-        context[rows] |= byte << np.uint64(8 * (8 - k))
-    return owner, context, symbols.astype(np.int16)
+class Numbered:
+    """A chunk's distinct codes and tokens, in order, and the number of each position's."""
 
+    def __init__(self, texts: list[bytes], buckets: int):
+        code, self.lengths = positions(texts)
+        number, found = pd.factorize(code)
+        order = np.argsort(found)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.codes, self.pair = found[order], rank[number]
+        index: dict[bytes, int] = {b"": 0}
+        numbers: list[int] = []
+        self.tokens_of = np.empty(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            words = t.split(STOP) if t else []
+            numbers.extend([index.setdefault(w, len(index)) for w in words])
+            numbers.append(0)
+            self.tokens_of[k] = len(words) + 1
+        self.token, self.tokens = np.array(numbers, np.int64), list(index)
+        self.pair_bucket = (_mixed(self.codes >> np.uint64(64 - 8 * KEY)) % np.uint64(buckets)).astype(np.int64)
+        self.token_bucket = np.array([zlib.crc32(t) for t in self.tokens], np.int64) % buckets
 
-def make_blocks(counts: DataFrame, parts: int) -> DataFrame:
-    """(block, tokens, counts): the tokens of counts (token, c) in order, BLOCK_TOKENS at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK_TOKENS):
-                part = b.slice(at, BLOCK_TOKENS)
-                row = [uuid.uuid4().int >> 65, part.column(0).to_pylist(), part.column(1).to_pylist()]
-                kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["block", "tokens", "counts"])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
 
-    return counts.select("token", "c").repartitionByRange(parts, "token").sortWithinPartitions("token").mapInArrow(run, "block bigint, tokens array<binary>, counts array<bigint>")
 
+def _open(ids: bytes, texts: bytes) -> tuple[np.ndarray, list[bytes]]:
+    return unpack(ids).reshape(-1, 3), zstandard.decompress(texts).split(END)
 
-def token_runs(blocks: DataFrame) -> DataFrame:
-    """(block, at, context, symbol, c): for each position, a row for each run of tokens that have the same context and symbol there.
 
-    at: the first token's number in the block, times 2^32, plus how many there are.
-    """
+#: Kinds of packed rows.
+PAIRS, TOKENS = 0, 1
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and the indexes in it, ascending."""
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    for name, rows in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+        yield name, rows
+
+
+def deal(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Rows of PACKED: the distinct pairs and tokens of each chunk with their counts over training texts, one row a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, tokens, counts in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
-                owner, context, symbol = positions(tokens)
-                lengths = np.bincount(owner, minlength=len(tokens))
-                place = np.arange(len(owner)) - (np.cumsum(lengths) - lengths)[owner]
-                order = np.argsort(place, kind="stable")
-                owner, context, symbol, place = owner[order], context[order], symbol[order], place[order]
-                new = np.ones(len(owner), bool)
-                new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1] + 1) | (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(owner)))
-                c = np.add.reduceat(np.array(counts, np.int64)[owner], at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array((owner[at].astype(np.int64) << 32) + n), pa.array(context[at].view(np.int64)), pa.array(symbol[at]), pa.array(c)], names=["block", "at", "context", "symbol", "c"])
-
-    return blocks.mapInArrow(run, "block bigint, at bigint, context bigint, symbol smallint, c bigint")
+            for chunk, ids, texts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                head, split = _open(ids, texts)
+                n = Numbered(split, buckets)
+                learn = head[:, 2] == 0
+                pairs = np.bincount(n.pair[np.repeat(learn, n.lengths)], minlength=len(n.codes))
+                tokens = np.bincount(n.token[np.repeat(learn, n.tokens_of)], minlength=len(n.tokens))
+                rows = [(PAIRS, k, pack_sorted(n.codes[at]), pack(pairs[at])) for k, at in _by_bucket(n.pair_bucket)]
+                rows += [(TOKENS, k, pack_tokens([n.tokens[i] for i in at]), pack(tokens[at])) for k, at in _by_bucket(n.token_bucket)]
+                for some in range(0, len(rows), 500):
+                    columns = list(zip(*rows[some : some + 500], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(columns[0])), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["chunk", "kind", "bucket", "keys", "counts"])
+
+    return chunks.mapInArrow(run, PACKED)
+
+
+def _merged_codes(blobs: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    code, c = np.concatenate([unpack_sorted(x) for x in blobs]), np.concatenate([unpack(x) for x in counts])
+    order = np.argsort(code, kind="stable")
+    code, c = code[order], c[order]
+    at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[at], np.add.reduceat(c, at)
+
+
+def _merged_tokens(blobs: list[bytes], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    tokens = [t for x in blobs for t in unpack_tokens(x)]
+    number, found = pd.factorize(np.array(tokens, object))
+    return found.tolist(), np.bincount(number, weights=np.concatenate([unpack(x) for x in counts]), minlength=len(found)).astype(np.int64)
+
+
+def merge(packed: DataFrame, most: int) -> DataFrame:
+    """One row of PACKED for each kind and bucket, its counts summed; at most FAN rows meet in a task. most: rows a bucket has at most."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, bucket, keys, counts = (t.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts"))
+        if kind[0] == PAIRS:
+            code, c = _merged_codes(keys, counts)
+            row = pack_sorted(code), pack(c)
+        else:
+            tokens, c = _merged_tokens(keys, counts)
+            row = pack_tokens(tokens), pack(c)
+        return pa.table({"chunk": pa.array([uuid.uuid4().hex]), "kind": pa.array(kind[:1], pa.int32()), "bucket": pa.array(bucket[:1], pa.int32()), "keys": pa.array([row[0]], pa.binary()), "counts": pa.array([row[1]], pa.binary())})
+
+    rows = packed
+    while True:
+        most = -(-most // FAN)
+        rows = materialise(rows.groupBy("kind", "bucket", F.pmod(F.xxhash64("chunk"), F.lit(most))).applyInArrow(run, PACKED), "ppm-merged")
+        if most == 1:
+            return rows
 
 
 class _Level:
@@ -207,31 +260,17 @@ class _Level:
         i = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
         return i, self.context[i] == context
 
-    def row(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The row of each (context, symbol) in ctx and sym; -1 if there is none."""
+    def count(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The count of each (context, symbol)."""
         i, there = self.find(context)
         if not len(self.ctx):
-            return np.full(len(context), -1)
-        # contexts have at most 258 symbols: one number for both
+            return np.zeros(len(context), np.int64)
+        # contexts have at most 256 symbols: one number for both
         if self.key is None:
-            self.key = np.repeat(np.arange(len(self.starts)), self.d) * 512 + self.sym
-        key = i * 512 + symbol
+            self.key = np.repeat(np.arange(len(self.starts)), self.d) * 256 + self.sym
+        key = i * 256 + symbol
         j = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(there & (self.key[j] == key), j, -1)
-
-    def count(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The count of each (context, symbol)."""
-        j = self.row(context, symbol)
-        return np.where(j >= 0, self.c[j], 0) if len(self.c) else np.zeros(len(context), np.int64)
-
-
-def _distinct(context: np.ndarray, symbol: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One row of each (context, symbol), in order."""
-    order = np.lexsort((symbol, context))
-    context, symbol, c = context[order], symbol[order], c[order]
-    new = np.ones(len(context), bool)
-    new[1:] = (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
-    return context[new], symbol[new], c[new]
+        return np.where(there & (self.key[j] == key), self.c[j], 0)
 
 
 def _cut(context: np.ndarray, order: int) -> np.ndarray:
@@ -239,14 +278,6 @@ def _cut(context: np.ndarray, order: int) -> np.ndarray:
     return context & np.uint64(0 if order == 0 else (0xFFFFFFFFFFFFFFFF << (8 * (8 - order))) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _length(context: np.ndarray) -> np.ndarray:
-    """Bytes of each context: up to the start mark if it is in reach."""
-    length = np.full(len(context), ORDER)
-    for k in range(ORDER, 0, -1):
-        length[((context >> np.uint64(8 * (8 - k))) & np.uint64(0xFF)) == START] = k
-    return length
-
-
 #: Classes of contexts for escape estimation: order, entered by an escape, half octaves of n, octaves of d.
 _N_CLASSES, _D_CLASSES = 40, 6
 CLASSES = (ORDER + 1) * 2 * _N_CLASSES * _D_CLASSES
@@ -264,7 +295,7 @@ def walk(context: np.ndarray, symbol: np.ndarray, levels: dict[int, _Level], esc
     With escapes (probability by class): log10 probability of each symbol. With weight (how often each row stands
     in the training texts) instead: (2, CLASSES) counts of escapes and of visits, each occurrence left out of the counts it meets.
     """
-    length, symbol = _length(context), symbol.astype(np.int64)
+    symbol = symbol.astype(np.int64)
     learn = weight is not None
     score, open_ = np.zeros(len(context)), np.ones(len(context), bool)
     if learn:
@@ -274,7 +305,7 @@ def walk(context: np.ndarray, symbol: np.ndarray, levels: dict[int, _Level], esc
     for k in range(ORDER, -1, -1):
         level, cut = levels[k], _cut(context, k)
         i, there = level.find(cut)
-        rows = np.flatnonzero(open_ & there & (length >= k))
+        rows = np.flatnonzero(open_ & there)
         if not len(rows):
             continue
         i, c = i[rows], level.count(cut[rows], symbol[rows])
@@ -285,8 +316,8 @@ def walk(context: np.ndarray, symbol: np.ndarray, levels: dict[int, _Level], esc
         group = np.zeros(len(rows), np.int64)
         group[left] = _class(k, (excluded_d[rows[left]] > 0).astype(np.int64), n[left], np.maximum(d[left], 1))
         if learn:
-            np.add.at(met[0], group[miss], weight[rows[miss]])
-            np.add.at(met[1], group[left], weight[rows[left]])
+            met[0] += np.bincount(group[miss], weight[rows[miss]], CLASSES)
+            met[1] += np.bincount(group[left], weight[rows[left]], CLASSES)
         else:
             score[rows[hit]] += np.log10((1 - escapes[group[hit]]) * c[hit] / n[hit])
             score[rows[miss]] += np.log10(escapes[group[miss]])
@@ -312,175 +343,122 @@ def escape_probabilities(met: np.ndarray) -> np.ndarray:
     return (met[0] + 0.5) / (met[1] + 1.0)
 
 
-def key_bytes(pairs: int) -> int:
-    """Bytes of context by which pairs are dealt: the more pairs, the more."""
-    return 3 if pairs < 100_000_000 else 4 if pairs < 10_000_000_000 else 5
-
-
-def _last(column: str, k: int) -> Column:
-    return F.shiftrightunsigned(column, 64 - 8 * k)
-
-
-def _reaches(column: str, k: int) -> Column:
-    """Whether a context has k bytes or more: its start mark is not among the last k - 1."""
-    found = F.lit(False)
-    for j in range(1, k):
-        found = found | (_last(column, j).bitwiseAND(F.lit(255)) == START)
-    return ~found
-
-
-def score_tokens(counts: DataFrame) -> DataFrame:
-    """(token, c, logp) of every token of counts (token, c)."""
-    spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialise(make_blocks(counts, parts), "ppm-blocks")
-    placed = token_runs(blocks)
-    pairs = materialise(placed.groupBy("context", "symbol").agg(F.sum("c").alias("c")), "ppm-pairs")
-    key = key_bytes(pairs.count())
-    known = pairs.where("c > 0")
-    # orders 0 and 1: at most 257 contexts of at most 258 symbols
-    few = known.groupBy(_last("context", 1).alias("last"), "symbol").agg(F.sum("c").alias("c")).toArrow()
-    last = few.column("last").to_numpy().astype(np.uint64) << np.uint64(56)
-    low = spark.sparkContext.broadcast((last, few.column("symbol").to_numpy().astype(np.int64), few.column("c").to_numpy()))
-    asked = pairs.select(_last("context", key).alias("key")).distinct()
-    nothing = F.lit(0).cast("bigint")
-    rows = pairs.select(_last("context", key).alias("key"), F.lit(1).alias("kind"), nothing.alias("block"), nothing.alias("at"), "context", "symbol", "c")
-    for k in range(2, key):
-        counted = known.where(_reaches("context", k)).groupBy(_last("context", k).alias("last"), "symbol").agg(F.sum("c").alias("c"))
-        lower = asked.join(counted, F.shiftrightunsigned("key", 8 * (key - k)) == F.col("last"))
-        rows = rows.unionByName(lower.select("key", F.lit(10 + k).alias("kind"), nothing.alias("block"), nothing.alias("at"), F.shiftleft("last", 64 - 8 * k).alias("context"), "symbol", "c"))
-    wanted = placed.select(_last("context", key).alias("key"), F.lit(0).alias("kind"), "block", "at", "context", "symbol", nothing.alias("c"))
-
-    def deal(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "key").sortWithinPartitions("key")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Of whole groups by key, 100,000 rows or one group at a time: the distinct pairs, all levels, and the runs."""
-        last, sym, c = low.value
-        shared = {0: _Level(np.zeros_like(last), sym, c), 1: _Level(last, sym, c)}
-
-        def levelled(held: list[pa.RecordBatch]) -> tuple:
-            table = pa.Table.from_batches(held)
-            kind = table.column("kind").to_numpy()
-            context, symbol = table.column("context").to_numpy().view(np.uint64), table.column("symbol").to_numpy().astype(np.int64)
-            c, at = table.column("c").to_numpy(), kind == 1
-            ctx, sy, cn = _distinct(context[at], symbol[at], c[at])
-            length = _length(ctx)
-            levels = dict(shared)
-            for k in range(2, ORDER + 1):
-                if k < key:
-                    at = kind == 10 + k
-                    levels[k] = _Level(*_distinct(context[at], symbol[at], c[at]))
-                else:
-                    at = length >= k
-                    levels[k] = _Level(_cut(ctx[at], k), sy[at], cn[at])
-            at = kind == 0
-            return ctx, sy, cn, levels, table.column("block").to_numpy()[at], table.column("at").to_numpy()[at], context[at], symbol[at]
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
+def _split(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return code & np.uint64(0xFFFFFFFFFFFFFF00), (code & np.uint64(255)).astype(np.int64)
+
+
+def score_pairs(merged: DataFrame) -> DataFrame:
+    """(bucket, keys, scores): the log10 probability of each pair of merged, one row a bucket."""
+    spark = merged.sparkSession
+    pairs = merged.where(F.col("kind") == PAIRS).select("bucket", "keys", "counts")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            group = b.column(0).to_numpy()
-            edge = int(np.searchsorted(group, group[-1]))  # the rows of the last group wait
-            ended = held and held[-1].column(0)[-1].as_py() != group[0]
-            if rows + edge >= 100_000 and (edge or ended):
-                yield levelled([*held, b.slice(0, edge)] if edge else held)
-                held, rows, b = [], 0, b.slice(edge)
-            held.append(b)
-            rows += b.num_rows
-        if held:
-            yield levelled(held)
+            for keys, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                context, symbol = _split(unpack_sorted(keys))
+                low = _Level(_cut(context, KEY - 1), symbol, unpack(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(low.ctx.view(np.int64)), pa.array(low.sym), pa.array(low.c)], names=["context", "symbol", "c"])
+
+    # orders under KEY: at most 65,536 contexts of 256 symbols
+    few = pairs.mapInArrow(shorten, "context bigint, symbol bigint, c bigint").groupBy("context", "symbol").agg(F.sum("c").alias("c")).toArrow()
+    low = spark.sparkContext.broadcast(tuple(few.column(c).to_numpy() for c in ("context", "symbol", "c")))
+
+    def levelled(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, _Level]]:
+        last, sym, cnt = low.value
+        context, symbol = _split(unpack_sorted(keys))
+        c = unpack(counts)
+        levels = {k: _Level(_cut(last.view(np.uint64), k), sym, cnt) for k in range(KEY)}
+        return context, symbol, c, levels | {k: _Level(_cut(context, k), symbol, c) for k in range(KEY, ORDER + 1)}
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros((2, CLASSES))
-        for context, symbol, c, levels, *_ in groups(batches):
-            met += walk(context, symbol, levels, weight=c)
+        for b in batches:
+            for keys, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                context, symbol, c, levels = levelled(keys, counts)
+                met += walk(context, symbol, levels, weight=c)
         at = np.flatnonzero(met[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(met[0][at]), pa.array(met[1][at])], names=["class", "escapes", "visits"])
 
     # at most CLASSES rows
-    seen = deal(rows).mapInArrow(learn, "class bigint, escapes double, visits double").groupBy("class").agg(F.sum("escapes"), F.sum("visits")).toArrow()
+    seen = pairs.mapInArrow(learn, "class bigint, escapes double, visits double").groupBy("class").agg(F.sum("escapes"), F.sum("visits")).toArrow()
     met = np.zeros((2, CLASSES))
     for k in (0, 1):
         met[k, seen.column(0).to_numpy()] = seen.column(k + 1).to_numpy()
     escapes = escape_probabilities(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, sy, _, levels, block, at, context, symbol in groups(batches):
-            pair = _Level(ctx, sy, np.ones(len(ctx), np.int64))
-            score = walk(pair.ctx, pair.sym, levels, escapes)[pair.row(context, symbol)]
-            order = np.lexsort((at, block))
-            block, at, score = block[order], at[order], score[order]
-            names, starts = np.unique(block, return_index=True)
-            blobs = [zstandard.compress(at[i:j].tobytes() + score[i:j].tobytes(), 3) for i, j in zip(starts, np.append(starts[1:], len(block)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["of", "found"])
-
-    # what a group answers to a block is one row, compressed: the numbers are most of what is shuffled
-    answers = deal(rows.unionByName(wanted)).mapInArrow(run, "of bigint, found binary")
-
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(2, -1) for x in right.column("found").to_pylist()]
-        at, logp = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).view(np.float64)
-        order = np.argsort(at, kind="stable")
-        at, logp = at[order], logp[order]
-        first, n = at >> 32, at & 0xFFFFFFFF
-        token = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        tokens, c = left.column("tokens").to_pylist()[0], left.column("counts").to_pylist()[0]
-        total = np.bincount(token, weights=np.repeat(logp, n), minlength=len(tokens))
-        return pa.table([pa.array(tokens, pa.binary()), pa.array(c, pa.int64()), pa.array(total)], names=["token", "c", "logp"])
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(add, "token binary, c bigint, logp double")
-
-
-def with_document(logp: np.ndarray, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 probabilities of tokens, blended with their share of the document so far.
-
-    After t tokens, u of them distinct, a token that came h times before gets w * h / t more, w = t / (t + NOVELTY * u);
-    the end mark comes once, so what stands before never predicts it.
-    """
-    total = len(tokens)
-    doc = np.repeat(np.arange(len(starts)), lengths)
-    t = np.arange(total) - starts[doc]
-    order = np.argsort(doc * (int(tokens.max()) + 1) + tokens, kind="stable")
-    key = (doc * (int(tokens.max()) + 1) + tokens)[order]
-    first = np.ones(total, bool)
-    first[1:] = key[1:] != key[:-1]
-    begin = np.maximum.accumulate(np.where(first, np.arange(total), 0))
-    h = np.empty(total, np.int64)
-    h[order] = np.arange(total) - begin
-    new = (h == 0).astype(np.int64)
-    upto = np.cumsum(new) - new
-    u = upto - upto[starts][doc]
-    w = np.where(t > 0, t / np.maximum(1, t + NOVELTY * u), 0.0)
-    return np.log10((1 - w) * 10.0**logp + w * h / np.maximum(1, t))
+        for b in batches:
+            for bucket, keys, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                context, symbol, _, levels = levelled(keys, counts)
+                scores = walk(context, symbol, levels, escapes)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([pack(scores)], pa.binary())], names=["bucket", "keys", "scores"])
+
+    return pairs.mapInArrow(run, "bucket int, keys binary, scores binary")
+
+
+def answer(packed: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(chunk, kind, bucket, found): for each row of packed the numbers that known (kind, bucket, keys, numbers) has for its keys, in the order of its keys."""
+    salts = -(-most // FAN)
+    asked = packed.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
+    told = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk, kind, keys = (left.column(c).to_pylist() for c in ("chunk", "kind", "keys"))
+        found = []
+        if chunk:
+            whole, numbers = right.column("keys").to_pylist()[0], right.column("numbers").to_pylist()[0]
+            if kind[0] == PAIRS:
+                code, scores = unpack_sorted(whole), unpack(numbers, np.float64)
+                found = [pack(scores[np.searchsorted(code, unpack_sorted(x))].astype(np.float32)) for x in keys]
+            else:
+                index, counts = pd.Index(np.array(unpack_tokens(whole), object)), unpack(numbers)
+                found = [pack(counts[index.get_indexer(np.array(unpack_tokens(x), object))]) for x in keys]
+        return pa.table({"of": pa.array(chunk, pa.string()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(left.column("bucket").to_pylist(), pa.int32()), "found": pa.array(found, pa.binary())})
+
+    return asked.groupBy("kind", "bucket", "salt").cogroup(told.groupBy("kind", "bucket", "salt")).applyInArrow(run, "of string, kind int, bucket int, found binary")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, pretrained_score of each row of docs (doc_id, text)."""
+    """OUT for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     chunks = materialise(make_chunks(docs), "ppm-chunks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
-    counts = materialise(token_counts(chunks), "ppm-counts")
-    total, kinds = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scores = materialise(score_tokens(counts), "ppm-tokens")
-    asked = chunks.select("chunk", F.posexplode("tokens").alias("at", "token"))
-    answers = asked.join(scores, "token").select(F.col("chunk").alias("of"), "at", "c", "logp")
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, pretrained_score double"
+    n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.length("texts")), F.lit(0))).first()
+    # packed texts are a third of their bytes or so
+    buckets = min(MOST_BUCKETS, max(8, 3 * size // BUCKET_BYTES))
+    chunks = chunks.repartition(parts(spark, n, 16))
+    packed = materialise(deal(chunks, buckets), "ppm-dealt")
+    merged = merge(packed, max(1, n))
+
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = [unpack(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()), pa.array([int((x > 0).sum()) for x in c], pa.int64())], names=["total", "kinds"])
+
+    tokens = merged.where(F.col("kind") == TOKENS)
+    total, kinds = tokens.select("counts").mapInArrow(total_of, "total bigint, kinds bigint").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    scored = materialise(score_pairs(merged), "ppm-scored")
+    known = scored.select(F.lit(PAIRS).alias("kind"), "bucket", "keys", F.col("scores").alias("numbers")).unionByName(tokens.select("kind", "bucket", "keys", F.col("counts").alias("numbers")))
+    answers = answer(packed.select("chunk", "kind", "bucket", "keys"), known, max(1, n))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = right.column("at").to_numpy()
-        c, logp = np.zeros(len(at), np.int64), np.zeros(len(at))
-        c[at], logp[at] = right.column("c").to_numpy(), right.column("logp").to_numpy()
-        with np.errstate(divide="ignore"):
-            base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
         out = []
-        for blob in left.column("docs").to_pylist():
-            ids, missing, held, lengths, tokens = _unpack(blob)
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            add = lambda x: np.add.reduceat(x[tokens], starts)  # noqa: E731, B023
-            blended = with_document(logp[tokens], tokens, starts, lengths)
-            base_score = pa.array(add(base)) if total else pa.nulls(len(ids), pa.float64())
-            out.append(pa.table([pa.array(ids, mask=missing.astype(bool)), pa.array(held.astype(bool)), pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), total, np.int64)), base_score, pa.array(np.add.reduceat(blended, starts)), pa.array(add(logp))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "pretrained_score"]))
+        of = dict(zip(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), strict=True), right.column("found").to_pylist(), strict=True))
+        for ids, texts in zip(left.column("ids").to_pylist(), left.column("texts").to_pylist(), strict=True):
+            head, split = _open(ids, texts)
+            n = Numbered(split, buckets)
+            logp, c = np.empty(len(n.codes)), np.empty(len(n.tokens), np.int64)
+            for k, at in _by_bucket(n.pair_bucket):
+                logp[at] = unpack(of[PAIRS, k], np.float32)
+            for k, at in _by_bucket(n.token_bucket):
+                c[at] = unpack(of[TOKENS, k])
+            add = lambda x, lengths: np.add.reduceat(x, np.cumsum(lengths) - lengths)
+            with np.errstate(divide="ignore"):
+                base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
+            base_score = pa.array(add(base[n.token], n.tokens_of)) if total else pa.nulls(len(head), pa.float64())
+            score = pa.array(add(logp[n.pair], n.lengths))
+            known_tokens = pa.array(add((c > 0).astype(np.int64)[n.token], n.tokens_of))
+            columns = [pa.array(head[:, 0], mask=head[:, 1] > 0), pa.array(head[:, 2] > 0), pa.array(n.tokens_of), known_tokens, pa.array(np.full(len(head), total, np.int64)), base_score, score]
+            out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
-    return chunks.select("chunk", "docs").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, OUT)

@@ -5,6 +5,8 @@ rendered as its completion, with the spans of characters (start, end) that count
 texts of assistant turns and the mark that ends them. All of it is DataFrame operations: turns are
 gathered per conversation, as a conversation is one training row in any case, and pairs are joined by id.
 
+Role and text can't forge a turn: in both, "<|" is rendered as "< |", and a role's line ends as blanks.
+
 A common prefix never takes a whole conversation's last assistant turn away from the other: if one conversation is a prefix of the other its completion is
 empty, and if both are equal the pair says nothing and is marked `identical`.
 
@@ -18,11 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_slices
+from ._shared import with_next
 
 #: The marks of a turn in the rendered text. Fixed values of a public chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-SLICE_ROWS = 20_000
 
 
 def gather(turns: DataFrame) -> DataFrame:
@@ -39,8 +40,17 @@ def common_turns(a: Column, b: Column) -> Column:
     return F.when(shorter <= 0, F.lit(0)).when(differs == 0, shorter).otherwise(differs - 1)
 
 
+def _plain(text: Column) -> Column:
+    """A text (null: empty) without marks of turns."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
+
+
+def _role(x: Column) -> Column:
+    return F.translate(_plain(x["role"]), "\r\n", "  ")
+
+
 def _rendered(x: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.coalesce(x["role"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), _role(x), F.lit("\n"), _plain(x["text"]), F.lit(CLOSE))
 
 
 def render(turns: Column) -> Column:
@@ -53,7 +63,7 @@ def spans(turns: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        head = F.length(F.lit(OPEN)) + F.length(F.coalesce(x["role"], F.lit(""))) + 1
+        head = F.length(F.lit(OPEN)) + F.length(_role(x)) + 1
         end = acc["at"] + F.length(_rendered(x))
         own = F.array(F.struct((acc["at"] + head).alias("start"), (end - 1).alias("end")))
         return F.struct(end.alias("at"), F.when(x["role"] == "assistant", F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
@@ -84,30 +94,15 @@ def swap_last_answer(turns: DataFrame) -> DataFrame:
 
     The next one has the next larger conv_id (the largest is followed by the smallest). The last assistant turn and what
     follows it make way for the last assistant turn of the next conversation; without one there, nothing takes its place; a conversation without
-    an assistant turn is paired with itself. Conversations meet their successors in slices of the id range, so no task sees them all.
+    an assistant turn is paired with itself. Of a conversation only its id and last answer travel to the one before it.
     """
-    whole = gather(turns)
-    answers = F.filter("turns", lambda x: x["role"].eqNullSafe(F.lit("assistant")))
-    last = F.when(F.size(answers) > 0, F.element_at(answers, -1))
+    named = turns.where(F.col("conv_id").isNotNull())
+    order = F.struct(F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    answers = named.where("role = 'assistant'").groupBy("conv_id").agg(F.max(order)["text"].alias("next_answer"), F.lit(True).alias("answered"))
+    follow = with_next(named.select("conv_id").distinct(), ["conv_id"]).select(F.col("conv_id").alias("pair_id"), F.col("next.conv_id").alias("next_id"))
+    told = follow.join(answers, F.col("next_id") == F.col("conv_id"), "left").select("pair_id", "next_answer", "answered")
     at = F.expr("array_max(transform(turns, (x, i) -> CASE WHEN x.role = 'assistant' THEN i END))")
-    rows = whole.select("conv_id", "turns", last.alias("answer"), at.alias("at"))
-    ids = turns.where(F.col("conv_id").isNotNull()).select("conv_id")
-    follow = next_ids(ids.distinct(), "conv_id")
-    answer = rows.select(F.col("conv_id").alias("next_id"), F.col("answer").alias("next_answer"))
-    paired = rows.join(follow, "conv_id").join(answer, "next_id")
+    paired = gather(turns).withColumn("at", at).join(told, F.col("conv_id") == F.col("pair_id"))
     kept = F.slice("turns", F.lit(1), F.col("at"))
-    swapped = F.when(F.col("at").isNull(), F.col("turns")).when(F.col("next_answer").isNull(), kept).otherwise(F.concat(kept, F.array(F.struct(F.element_at("turns", F.col("at") + 1)["turn"].alias("turn"), F.lit("assistant").alias("role"), F.col("next_answer")["text"].alias("text")))))
-    return paired.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), swapped.alias("rejected"))
-
-
-def next_ids(ids: DataFrame, key: str) -> DataFrame:
-    """(key, next_id) of distinct integer keys: the next larger one, after the largest the smallest."""
-    from pyspark.sql import Window
-
-    sliced = ids.select(key, id_slices(ids, key, SLICE_ROWS).alias("slice"))
-    inside = sliced.withColumn("next_id", F.lead(key).over(Window.partitionBy("slice").orderBy(key)))
-    # one row a slice: the first key of the next slice that has any
-    firsts = sliced.groupBy("slice").agg(F.min(key).alias("first"))
-    order = Window.orderBy("slice")
-    after = firsts.select(F.col("slice").alias("of"), F.coalesce(F.lead("first").over(order), F.min("first").over(Window.partitionBy())).alias("then"))
-    return inside.join(after, F.col("slice") == F.col("of")).select(key, F.coalesce("next_id", "then").alias("next_id"))
+    swapped = F.when(F.col("at").isNull(), F.col("turns")).when(F.col("answered").isNull(), kept).otherwise(F.concat(kept, F.array(F.struct(F.element_at("turns", F.col("at") + 1)["turn"].alias("turn"), F.lit("assistant").alias("role"), F.col("next_answer").alias("text")))))
+    return paired.select("pair_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))

@@ -7,10 +7,10 @@ by adding counts, so they are built with an ordinary partial aggregation: a hot
 hundred counts a task, never its rows. The counts are integers and the sketch has no random
 choices, so reruns and other engines get the same cutoffs (relative error at most 1/32).
 
-A rule rejects a text above max(least, q75 + 3 * (q75 - q25)); `least` keeps clean sources, whose
-quartiles are all near 0, from rejecting their own tail. A (lang, source) with fewer than
-`min_docs` texts uses the merged sketch of its language, and a language with fewer the merged
-sketch of all.
+A rule rejects a text above max(own, floor). own = q75 + 3 * (q75 - q25) of the texts' language and source; floor = q50 + 4 * (q95 - q50)
+of the merged sketch of all texts, as quartiles of a clean source can be 0. The sketch of a language and source is shrunk towards that of its
+language, and that one towards the sketch of all, as if PRIOR texts of the larger group had been seen in the smaller one; so a small group moves away from the
+others' cutoffs little by little.
 
 Defined cases: a null text has no words; null lang or source are groups of their own; ratios
 over nothing are 0; repeated rows count each; an empty table gives an empty result. Columns of
@@ -31,17 +31,18 @@ from pyspark.sql import types as T
 
 from ._shared import bounded_batches, materialise
 
-#: rule: numerator, denominator, least cutoff. Ratios are in thousandths.
+#: rule: numerator, denominator. Ratios are in thousandths.
 RULES = {
-    "symbols": ("n_symbols", "n_words", 100),
-    "capitals": ("n_upper", "word_chars", 300),
-    "dup_lines": ("n_dup_lines", "n_lines", 300),
-    "word_length": ("word_chars", "n_words", 15000),
+    "symbols": ("n_symbols", "n_words"),
+    "capitals": ("n_upper", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "word_length": ("word_chars", "n_words"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: Fixed limits of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MIN_DOCS = 100
+#: Texts of the larger group that a sketch starts with; sketches count in thousandths of texts.
+PRIOR, UNIT = 100, 1000
 _SYMBOLS, _UPPER = b"#*$%&|<>", bytes(range(65, 91))
 
 
@@ -105,7 +106,7 @@ def with_counts(docs: DataFrame, prefix: str = "", text: str = "text") -> DataFr
 
 
 def _ratio(rule: str, p: str) -> F.Column:
-    over, under, _ = RULES[rule]
+    over, under = RULES[rule]
     return F.when(F.col(p + under) > 0, F.expr(f"({p}{over} * 1000) div {p}{under}")).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -124,26 +125,40 @@ def sketch(counts: DataFrame, prefix: str = "") -> DataFrame:
     return rows.groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key and rule: texts, q25 and q75."""
-    merged = sketches.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+def _shrunk(own: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str]) -> DataFrame:
+    """(keys, rule, bucket, n): own in UNITs, with PRIOR texts spread as in the parent's sketch."""
+    over = Window.partitionBy(*parent_keys, "rule")
+    share = parent.withColumn("prior", F.col("n") * (PRIOR * UNIT)).withColumn("total", F.sum("n").over(over)).select(*[F.col(k).alias(f"p_{k}") for k in parent_keys], F.col("rule").alias("p_rule"), F.col("bucket").alias("p_bucket"), F.expr("prior div total").alias("prior"))
+    groups = own.select(*keys, "rule").distinct()
+    of = F.col("rule") == F.col("p_rule")
+    for k in parent_keys:
+        of = of & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    spread = groups.join(share, of).select(*keys, "rule", F.col("p_bucket").alias("bucket"), F.col("prior").alias("n"))
+    return spread.unionByName(own.select(*keys, "rule", "bucket", (F.col("n") * UNIT).alias("n"))).groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _quantiles(sketches: DataFrame, keys: list[str], percents: tuple[int, ...]) -> DataFrame:
+    """For each key and rule the quantiles q<percent>."""
     by = Window.partitionBy(*keys, "rule")
-    rows = merged.withColumn("below", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
+    rows = sketches.withColumn("below", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
     at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("total") * q, F.expr(_bucket_floor("bucket"))))
-    return rows.groupBy(*keys, "rule").agg(F.max("total").alias("total"), at(25).alias("q25"), at(75).alias("q75"))
+    return rows.groupBy(*keys, "rule").agg(*[at(q).alias(f"q{q}") for q in percents])
 
 
-def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, source, t_<rule>...): the cutoffs in force for each language and source."""
-    own, lang, every = _quartiles(sketches, ["lang", "source"]), _quartiles(sketches, ["lang"]), _quartiles(sketches, [])
-    a, b, c = own.alias("a"), lang.alias("b"), every.alias("c")
-    joined = a.join(b, (F.col("a.rule") == F.col("b.rule")) & F.col("a.lang").eqNullSafe(F.col("b.lang"))).join(c, F.col("a.rule") == F.col("c.rule"))
+def cutoffs(sketches: DataFrame) -> DataFrame:
+    """(lang, source, rule, own, floor): the cutoff of a group and rule is the larger of both."""
+    lang = sketches.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
+    every = lang.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    own = _shrunk(sketches, ["lang", "source"], _shrunk(lang, ["lang"], every, []), ["lang"])
+    fence = _quantiles(own, ["lang", "source"], (25, 75)).withColumn("own", F.expr("q75 + 3 * (q75 - q25)"))
+    floor = _quantiles(every, [], (50, 95)).select(F.col("rule").alias("of"), F.expr("q50 + 4 * (q95 - q50)").alias("floor"))
+    # a row a rule
+    return fence.join(F.broadcast(floor), F.col("rule") == F.col("of")).select("lang", "source", "rule", "own", "floor")
 
-    def pick(q: str) -> F.Column:
-        return F.when(F.col("a.total") >= min_docs, F.col(f"a.{q}")).when(F.col("b.total") >= min_docs, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
 
-    least = reduce(lambda acc, r: acc.when(F.col("rule") == r, F.lit(RULES[r][2])), list(RULES)[1:], F.when(F.col("rule") == "symbols", F.lit(RULES["symbols"][2])))
-    cut = joined.select("a.lang", "a.source", "a.rule", pick("q25").alias("q25"), pick("q75").alias("q75")).withColumn("t", F.greatest(least.cast("bigint"), F.expr("q75 + 3 * (q75 - q25)")))
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """(lang, source, t_<rule>...): the cutoffs in force for each language and source."""
+    cut = cutoffs(sketches).withColumn("t", F.greatest("own", "floor"))
     return cut.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, F.col("t"))).alias(f"t_{r}") for r in RULES])
 
 
@@ -159,19 +174,19 @@ def _verdict(counted: DataFrame, limits: DataFrame, p: str) -> DataFrame:
 _P = "__quality_"
 
 
-def score_quality(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def score_quality(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept for each row of docs (doc_id, text, lang, source)."""
     counted = with_counts(docs.select("doc_id", "text", "lang", "source"), _P).drop("text")
     counted = materialise(counted, "quality-counts")
-    judged = _verdict(counted, thresholds(sketch(counted, _P), min_docs), _P)
+    judged = _verdict(counted, materialise(thresholds(materialise(sketch(counted, _P), "quality-sketch")), "quality-cutoffs"), _P)
     return judged.select("doc_id", *[F.col(f"{_P}{c}").alias(c) for c in (*COUNTS, "base_failed", "kept")])
 
 
-def filter_quality(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs.
 
     Texts are read once: counts and texts are written side by side, and the cutoffs join that table.
     """
     counted = materialise(with_counts(docs, _P), "quality-docs")
-    judged = _verdict(counted, thresholds(sketch(counted, _P), min_docs), _P)
+    judged = _verdict(counted, materialise(thresholds(materialise(sketch(counted, _P), "quality-sketch")), "quality-cutoffs"), _P)
     return judged.where(F.col(f"{_P}kept")).select(*docs.columns)

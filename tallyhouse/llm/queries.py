@@ -92,5 +92,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others hash, draw, code or compress in ways that SQL has no functions for; their tests are brute force."""
-    return {"op1_warc": oracles.warc(), "op4_quality": oracles.quality(), "op7_licenses": oracles.licenses()}
+    """The others hash, code or compress in ways that SQL has no functions for; their tests are brute force."""
+    return {"op1_warc": oracles.warc(), "op2_mix": oracles.mixing(), "op4_quality": oracles.quality(), "op7_licenses": oracles.licenses(), "op9_preferences": oracles.preferences()}

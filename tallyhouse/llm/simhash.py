@@ -12,9 +12,15 @@ More nodes get more parts, which keeps shards small at any size; the links found
 above `shard_rows` is dealt as pairs of slices, each pair one tree and one set of searches, so a hot
 shard is many bounded tasks. A shard reports only the links that join its parts (a spanning forest).
 
+A tree over all fingerprints, or trees broadcast in rounds, would have every fingerprint searched in every tree: with 64 bits most distances lie
+near 32, so a search within 4 follows most edges (README has figures). Hence trees of shards, each met by its own members only.
+
 Components: alternating large-star and small-star rounds of DataFrame joins, each written to the
 shared folder, until the links no longer change.
 
+A fingerprint with a HOT share of all rows, or a component with one of all fingerprints, is one of at most 1 / HOT such: those
+are broadcast, so their rows are joined where they lie; all others are joined by a shuffle in which no key has more than that share.
+
 Defined cases: null and empty texts have fingerprint 0 and link like any other; rows with a null
 doc_id get a fingerprint and belong to a component, but are never its id unless all its doc_ids
 are null; repeated rows are kept; an empty table gives an empty result.
@@ -32,11 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches, materialise
+from ._shared import bounded_batches, materialise, parts
 
 RADIUS = 4
 SHINGLE = 4
 SHARD_ROWS = 2048
+#: The share of rows from which a key counts as hot; there are 1 / HOT of them at most.
+HOT = 0.001
+#: Rows of (fingerprint, shard) that one task takes.
+TASK_ROWS = 2_000_000
 _BITS = (1 << 64) - 1
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -133,13 +143,14 @@ def plan_blocks(nodes: int, radius: int = RADIUS) -> int:
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, blocks: int | None = None) -> DataFrame:
     """(a, b), a < b as signed numbers: links that join all distinct values of nodes.fp within the radius."""
     nodes = nodes.select("fp")
-    blocks = blocks or plan_blocks(nodes.count(), radius)
-    parts = _parts(blocks)
+    n = nodes.count()
+    blocks = blocks or plan_blocks(n, radius)
+    cuts = _parts(blocks)
     keys = []
     for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         key, width = F.lit(0).cast("bigint"), 0
         for c in chosen:
-            shift, w = parts[c]
+            shift, w = cuts[c]
             key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << w) - 1)), width))
             width += w
         keys.append(F.struct(F.lit(k).alias("t"), key.alias("key")))
@@ -150,7 +161,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS,
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     dealt = dealt.withColumn("own", own).select("fp", "t", "key", "own", F.explode(pairs).alias("p")).select("fp", "t", "key", "own", "p.i", "p.j")
-    count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = parts(nodes.sparkSession, n * len(keys), TASK_ROWS)
     dealt = dealt.repartition(count, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "own", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +194,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS,
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that (a, b) links lead to; nodes without links are absent."""
     e = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         # large star: neighbours above u go to the least of u's neighbourhood
@@ -202,23 +213,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(state) == before:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
         before = tuple(state)
-    raise RuntimeError("components did not settle")
 
 
-def _classes(prints: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """(__fp, root, component_id) of each distinct prints.fp, from (doc_id, fp)."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+def _join_hot(rows: DataFrame, key: str, known: DataFrame, named: str, size: str, total: int) -> DataFrame:
+    """rows joined with known (one row for each value of `named`) on key = named. size: rows that a value has, of total.
+
+    Values of at least HOT * total rows, 1 / HOT at most, are broadcast.
+    """
+    hot = F.col(size) >= F.lit(max(1.0, HOT * total))
+    few = known.where(hot).drop(size)
+    names = few.select(F.col(named).alias("__hot"))
+    often = rows.join(F.broadcast(few), F.col(key) == F.col(named))
+    seldom = rows.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_anti").join(known.where(~hot).drop(size), F.col(key) == F.col(named))
+    return often.unionByName(seldom)
+
+
+def _classes(prints: DataFrame, radius: int, shard_rows: int) -> tuple[DataFrame, int]:
+    """(__fp, __rows, root, component_id) of each distinct prints.fp, from (doc_id, fp); and how many rows prints has."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    total, count = nodes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
     roots = materialise(components(links(nodes, radius, shard_rows)), "roots")
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    labelled = materialise(labelled, "labelled")
-    ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return labelled.join(ids, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    alone = nodes.join(roots, F.col("fp") == F.col("node"), "left_anti").select(F.col("fp").alias("__fp"), F.col("rows").alias("__rows"), F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    # the smallest node of a component is its root and has no row of its own among roots
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialise(nodes.join(linked, F.col("fp") == F.col("node")).select("fp", "rows", "least", "root"), "linked")
+    alone = alone.join(linked.select(F.col("fp").alias("__linked")), F.col("__fp") == F.col("__linked"), "left_anti")
+    ids = materialise(linked.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "component-ids")
+    known = _join_hot(linked, "root", ids, "of", "size", count).select(F.col("fp").alias("__fp"), F.col("rows").alias("__rows"), "root", "component_id")
+    return materialise(alone.unionByName(known), "classes"), total
 
 
 def link_documents(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs (doc_id, text)."""
     prints = materialise(with_fingerprint(docs.select("doc_id", "text")), "fingerprints")
-    return prints.join(_classes(prints, radius, shard_rows), F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    classes, total = _classes(prints, radius, shard_rows)
+    return _join_hot(prints, "fp", classes, "__fp", "__rows", total).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -230,7 +259,8 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = materialise(with_fingerprint(docs.select("doc_id", "text", text.alias("hash"))), "fingerprints")
     counted = prints.groupBy("doc_id", "fp", "hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "hash", "n"))
-    kept = counted.join(_classes(prints, radius, SHARD_ROWS), F.col("fp") == F.col("__fp")).groupBy("root").agg(first.alias("k"))
+    classes, total = _classes(prints, radius, SHARD_ROWS)
+    kept = _join_hot(counted, "fp", classes, "__fp", "__rows", total).groupBy("root").agg(first.alias("k"))
     kept = materialise(kept.select("root", "k.doc_id", "k.hash", "k.n"), "kept")
     k = kept.select(F.col("root").alias("__root"), F.col("doc_id").alias("__id"), F.col("hash").alias("__kept_hash"), F.col("n").alias("__n"))
     # the same text has the same fingerprint and so one component

@@ -1,11 +1,11 @@
 """Toxicity by compression distance: separate zstandard dictionaries for toxic and ordinary text.
 
-A dictionary holds the segments (words and word beginnings) that most set one class of labelled texts apart from the other, as
-COVER picks segments by how many samples they cover, less what they cover of the other class. A text is cut into
-windows of WINDOW words; each distinct one is compressed with either dictionary, and its excess is length with the ordinary
+A dictionary is text of its class: the segments (words and pieces of words) that most set one class of labelled texts apart from the other, after
+what is common in both, as COVER picks segments by how many samples they cover, less what they cover of the other class. A text is cut into
+windows of WINDOW words, one every STEP words; each is compressed with either dictionary, and its excess is length with the ordinary
 dictionary less length with the toxic one. The threshold for a window is calibrated: the 99.8 % quantile of the
 excess in ordinary labelled texts; so is the evidence of each excess, its log ratio of rates in toxic and ordinary texts. A logistic curve
-fitted on the labelled texts turns the evidence of a text's windows, and how many are over the threshold, into a score between 0 and 1.
+fitted on the labelled texts turns the evidence of all windows of a text, how many are over the threshold and what share of them, into a score between 0 and 1.
 
 Learning takes at most SAMPLE labelled texts of each class, those of the least hash of doc_id: the bound is a
 parameter, and so are the dictionaries' sizes. Texts are never gathered: segments are counted, and windows measured, where the texts lie.
@@ -13,7 +13,7 @@ Scoring sees the text only and covers every window of every text.
 
 Defined cases: null and empty texts have no windows and score as a text whose windows say nothing; labels of unknown
 documents are not used; of several labels of a document the highest counts; null labels are not used; without labels of both classes every
-score is 0; repeated rows are scored each; other columns of docs pass through.
+score is 0; repeated rows are scored each; other columns of docs pass through, but for one that has the score's name, which gives way.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ from pyspark.sql import types as T
 from ._shared import bounded_batches, materialise
 
 SAMPLE = 4000
-WINDOW = 1
-#: Distinct windows of which a worker remembers the excess.
-REMEMBERED = 200_000
+#: Words of a window, and words from the start of one to the next.
+WINDOW, STEP = 4, 2
+#: Bytes of the pieces that longer words are cut into.
+PIECE = 24
 #: Segments of a dictionary, the least ratio of each to the other class by its lower bound, and the least texts of its class that have it.
 SEGMENTS, LEAST_RATIO, LEAST_TEXTS = 4000, 4.0, 5
 #: Standard errors that the lower bound of a ratio lies below it.
@@ -50,18 +51,19 @@ QUANTILE, LARGEST = 0.998, 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def windows(text: bytes | None, words: int = WINDOW) -> list[bytes]:
-    """Runs of words, lower-cased (A-Z), with blanks around and between."""
+def windows(text: bytes | None, words: int = WINDOW, step: int = STEP) -> list[bytes]:
+    """Runs of words, lower-cased (A-Z), with blanks around and between; the last one ends with the text."""
     found = text.translate(_LOWER).split() if text else []
-    return [b" %b " % b" ".join(found[i : i + words]) for i in range(0, len(found), words)]
+    return [b" %b " % b" ".join(found[i : i + words]) for i in range(0, max(1, len(found) - words + step), step)] if found else []
 
 
 def segments(text: bytes | None) -> set[bytes]:
-    """What dictionaries are made of: the text's words, blanks around, and beginnings of words from 4 bytes on."""
+    """What dictionaries are made of: the text's words, blanks around, beginnings of words from 4 bytes on, and overlapping pieces of long words."""
     out = set()
     for w in set(text.translate(_LOWER).split()) if text else ():
-        w = b" %b " % w[:24]
-        out.add(w)
+        w = b" %b " % w
+        pieces = [w[i : i + PIECE] for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
+        out.update(pieces)
         out.update(w[:n] for n in range(5, min(len(w), 12)))
     return out
 
@@ -84,7 +86,7 @@ class Meter:
     """
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.packers, self.known = [], {}
+        self.packers = []
         for content in (ordinary, toxic):
             # the deepest search finds the longest match; literals under 63 bytes stay as they are,
             # so a window's length is its bytes without match and 2 or 3 for a match
@@ -92,30 +94,24 @@ class Meter:
             held = zstandard.ZstdCompressionDict(CARRIER + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters))
 
-    def one(self, window: bytes) -> int:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        one, two = (len(p.compress(window + CARRIER)) for p in self.packers)
-        self.known[window] = one - two
-        return one - two
-
     def excess(self, pieces: list[bytes]) -> np.ndarray:
-        known, one = self.known, self.one
-        return np.array([known[x] if x in known else one(x) for x in pieces], np.int64)
+        one, two = (p.compress for p in self.packers)
+        return np.array([len(one(x + CARRIER)) - len(two(x + CARRIER)) for x in pieces], np.int64)
 
     def counts(self, text: bytes | None) -> np.ndarray:
-        return histogram(self.excess(list(set(windows(text)))))
+        return histogram(self.excess(windows(text)))
 
 
 def histogram(excess: np.ndarray) -> np.ndarray:
-    """How many of a text's distinct windows have each excess, from -LARGEST to LARGEST."""
+    """How many of a text's windows have each excess, from -LARGEST or less to LARGEST or more."""
     return np.bincount(np.clip(excess, -LARGEST, LARGEST) + LARGEST, minlength=2 * LARGEST + 1)
 
 
 def features(counts: np.ndarray, evidence: np.ndarray, threshold: int) -> np.ndarray:
-    """Evidence of all windows, that of windows over the threshold, and their number."""
+    """Evidence of all windows, that of windows over the threshold, their number and share, and the number of windows."""
     over = counts[..., threshold + LARGEST + 1 :]
-    return np.stack([counts @ evidence, over @ np.maximum(evidence[threshold + LARGEST + 1 :], 0), np.log1p(over.sum(-1))], -1)
+    n, some = np.maximum(1, counts.sum(-1)), over.sum(-1)
+    return np.stack([counts @ evidence, over @ np.maximum(evidence[threshold + LARGEST + 1 :], 0), np.log1p(some), np.log1p(100 * some / n), np.log(n)], -1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -182,6 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         yield flush()
 
     counted = rows.select("text", "toxic").mapInArrow(count, "segment binary, n0 bigint, n1 bigint").groupBy("segment").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # a segment of fewer texts is in no dictionary
+    counted = materialise(counted.where(F.greatest("n0", "n1") >= LEAST_TEXTS), "toxicity-segments")
     shares = counted.select("segment", (F.col("n0") / sizes[0]).alias("p0"), (F.col("n1") / sizes[1]).alias("p1"))
     dictionaries = []
     for own, other in ((1, 0), (0, 1)):
@@ -220,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 def score_texts(docs: DataFrame, model: Model | None, name: str = "score", text: str = "text") -> DataFrame:
     """docs with the score of each text."""
+    docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     bounded_batches(docs.sparkSession)

@@ -43,7 +43,7 @@ def test_filters_do_what_their_operators_say(spark, stages):
     for r in simhash.link_documents(mild).collect():
         least[r.component_id] = min(r.doc_id, least.get(r.component_id, r.doc_id))
     assert ids(single) == Counter(least.values())
-    copies = Counter({r.doc_id: r.copies for r in mixing.mix(single).collect() if r.copies})
+    copies = Counter({r.doc_id: r.copies for r in mixing.mix(single).collect() if r.copies})  # ids are unique here
     assert ids(mixed) == copies and ids(encoded) == copies
     with open(tokenizer_file(), encoding="utf-8") as f:
         e = bpe.Encoder(f.read())
@@ -67,7 +67,7 @@ def test_queries_with_sql_agree(spark):
     from tallyhouse.llm.queries import oracle_sql
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         got = queries()[name](spark, SF)
