@@ -11,7 +11,7 @@ Learning takes at most SAMPLE labelled texts of each class, those of the least h
 parameter, and so are the dictionaries' sizes. Texts are never gathered: segments are counted, and windows measured, where the texts lie.
 Scoring sees the text only and covers every window of every text.
 
-Defined cases: null and empty texts have no windows and score as a text whose windows say nothing; labels of unknown
+Defined cases: null and empty texts have no windows and score as the mean ordinary labelled text; labels of unknown
 documents are not used; of several labels of a document the highest counts; null labels are not used; without labels of both classes every
 score is 0; repeated rows are scored each; other columns of docs pass through, but for one that has the score's name, which gives way.
 """
@@ -108,10 +108,10 @@ def histogram(excess: np.ndarray) -> np.ndarray:
 
 
 def features(counts: np.ndarray, evidence: np.ndarray, threshold: int) -> np.ndarray:
-    """Evidence of all windows, that of windows over the threshold, their number and share, and the number of windows."""
+    """Evidence of all windows, that of windows over the threshold, their number and their share."""
     over = counts[..., threshold + LARGEST + 1 :]
     n, some = np.maximum(1, counts.sum(-1)), over.sum(-1)
-    return np.stack([counts @ evidence, over @ np.maximum(evidence[threshold + LARGEST + 1 :], 0), np.log1p(some), np.log1p(100 * some / n), np.log(n)], -1)
+    return np.stack([counts @ evidence, over @ np.maximum(evidence[threshold + LARGEST + 1 :], 0), np.log1p(some), np.log1p(100 * some / n)], -1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -134,9 +134,13 @@ class Model:
     threshold: int
     evidence: np.ndarray
     weights: np.ndarray
+    #: Mean features of ordinary labelled texts, for texts without windows.
+    usual: np.ndarray
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + features(counts, self.evidence, self.threshold) @ self.weights[1:]
+        x = features(counts, self.evidence, self.threshold)
+        x[counts.sum(-1) == 0] = self.usual
+        z = self.weights[0] + x @ self.weights[1:]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -212,8 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     evidence = np.log(rates[1] / rates[0])
     table = measured.toPandas()  # at most 2 * sample rows of 2 * LARGEST + 2 numbers
     counts = np.array(table["counts"].tolist(), np.int64)
-    weights = fit_logistic(features(counts, evidence, threshold), table["toxic"].to_numpy().astype(float))
-    return Model(toxic, ordinary, threshold, evidence, weights)
+    x, y = features(counts, evidence, threshold), table["toxic"].to_numpy().astype(float)
+    return Model(toxic, ordinary, threshold, evidence, fit_logistic(x, y), x[y == 0].mean(0))
 
 
 def score_texts(docs: DataFrame, model: Model | None, name: str = "score", text: str = "text") -> DataFrame:

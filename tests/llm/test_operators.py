@@ -606,7 +606,7 @@ def test_toxicity(spark, empty):
         excess = [len(a.compress(x + toxicity.CARRIER)) - len(b.compress(x + toxicity.CARRIER)) for a, b in [toxicity.Meter(model.toxic, model.ordinary).packers] for x in (f" {' '.join(t.split()[j : j + 4])} ".encode() for j in range(0, 58, 2))]
         over = [x for x in excess if x > model.threshold]
         ev = lambda x: model.evidence[max(-toxicity.LARGEST, min(toxicity.LARGEST, x)) + toxicity.LARGEST]
-        z = [1, sum(map(ev, excess)), sum(max(0, ev(x)) for x in over), math.log1p(len(over)), math.log1p(100 * len(over) / len(excess)), math.log(len(excess))]
+        z = [1, sum(map(ev, excess)), sum(max(0, ev(x)) for x in over), math.log1p(len(over)), math.log1p(100 * len(over) / len(excess))]
         assert score[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, model.weights, strict=True)))))))
     assert toxicity.fit(frame, marks.where("toxic = 0")) is None
     assert toxicity.filter_toxic(empty, marks).count() == 0
