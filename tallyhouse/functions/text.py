@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and the plain letter of each. Fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+
+
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition (NFKD) without marks makes of lower-case characters: those that become one letter or
+    digit, what they become, and Latin ligatures that become several."""
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for code in (*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFEF)):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not 0x300 <= ord(x) <= 0x36F)
+        if bare != c and bare.isascii() and bare.isalnum():
+            if len(bare) == 1:
+                one[c] = bare
+            elif "LATIN" in unicodedata.name(c, ""):
+                several[c] = bare
+    return "".join(one), "".join(one.values()), several
+
+
+_FROM, _TO, _LIGATURES = _plain_letters()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents: what NFKD leaves of Latin letters and digits when marks are taken away."""
+    t = F.translate(F.regexp_replace(F.lower(text), "[\u0300-\u036f]", ""), _FROM, _TO)
+    for ligature, letters in _LIGATURES.items():
+        t = F.replace(t, F.lit(ligature), F.lit(letters))
+    return t
 
 
 def key_part(text: Column) -> Column:
@@ -22,15 +43,17 @@ def key_part(text: Column) -> Column:
 
 
 def title_key(title: Column) -> Column:
-    """A title's key: brackets at the end, versus forms and a leading "the" don't count."""
+    """A title's key: brackets at the end, versus forms and a leading "the" don't count. The patterns are fixed values."""
     t = F.regexp_replace(fold(F.coalesce(title, F.lit(""))), r"(\s*[(\[][^()\[\]]*[)\]])+\s*$", "")
     t = F.regexp_replace(F.trim(t), r"\b(?:versus|vs\.?|v\.)(?=\s|$)", "vs")
     return key_part(F.regexp_replace(t, r"^the\s+", ""))
 
 
 def listing_key(title: Column, venue: Column, day: Column) -> Column:
-    """The exact-duplicate key: 32 hex digits of a SHA-256 over title, venue and day."""
-    return F.substring(F.sha2(F.concat_ws("|", title_key(title), key_part(venue), F.date_format(day, "yyyy-MM-dd")), 256), 1, 32)
+    """The exact-duplicate key: 32 hex digits of a SHA-256 over title, venue (under its registered name) and day."""
+    from tallyhouse.functions.keys import venue_key
+
+    return F.substring(F.sha2(F.concat_ws("|", title_key(title), venue_key(venue), F.date_format(day, "yyyy-MM-dd")), 256), 1, 32)
 
 
 def lowest_amount(price: Column) -> Column:
@@ -39,7 +62,7 @@ def lowest_amount(price: Column) -> Column:
 
 
 def price_tier(price: Column) -> Column:
-    """Free, $, $$ or $$$ of a price text; a literal tier passes, blank or without number is $$."""
+    """Free, $, $$ or $$$ of a price text; a literal tier passes, blank or without number is $$. The bounds are fixed values."""
     p = F.trim(F.coalesce(price, F.lit("")))
     low = lowest_amount(p)
     return (
@@ -63,7 +86,7 @@ def matches(haystack: Column, query: str) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of the words, each padded with two blanks before and one after."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{Alnum}À-ɏ]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
@@ -83,20 +106,6 @@ def url_section(url: Column) -> Column:
     return F.when(part == "", "home").otherwise(part)
 
 
-def venue_slug(name: Column) -> Column:
-    n = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\(.*?\)", " ")
-    n = F.regexp_replace(F.regexp_replace(n, "&", " and "), r"[^a-z0-9 ]+", " ")
-    n = F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), "^the ", "")
-    return F.regexp_replace(n, " ", "-")
-
-
-def city_key(city: Column) -> Column:
-    """A city without state, dots or a spelled-out "saint"."""
-    c = F.regexp_replace(F.trim(F.lower(F.coalesce(city, F.lit("")))), r",?\s*mn$", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\bsaint\b", "st"), r"\.", "")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-
 def preview(text: Column, most: int = 180) -> Column:
     """At most `most` characters: longer texts end in an ellipsis."""
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
@@ -107,12 +116,6 @@ def csv_safe(text: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
-def ics_escape(text: Column) -> Column:
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    t = F.replace(F.replace(t, F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,"))
-    return F.regexp_replace(t, "\r?\n", "\\\\n")
-
-
 def is_email(text: Column) -> Column:
     return (F.length(text) <= 254) & text.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
 

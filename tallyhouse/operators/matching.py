@@ -5,31 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.geo import haversine_km
+from tallyhouse.functions.geo import cosine_metres, haversine_km
 from tallyhouse.functions.text import jaccard, trigrams
 
 
-def similar_pairs(rows: DataFrame, block: list[str], key: str, text: str, least: float) -> DataFrame:
-    """(block, keep_id, dup_id, similarity): pairs of a block with a trigram similarity over `least`, keep_id < dup_id.
+#: Centres that a literal array holds.
+MOST_CENTRES = 1000
+
+
+def _candidates(grams: DataFrame, block: list[str], least: float) -> DataFrame:
+    """(a, b), a < b: ids of a block whose sets (block, id, grams) can have a Jaccard similarity of `least`.
 
-    Candidates share a rare enough trigram: trigrams are ordered by how many rows of the block have them, and two sets can only
-    be that similar if their first n - ceil(least * n) + 1 meet (prefix filtering). So blocks are never paired row by row.
+    Two such sets share a rare enough trigram: trigrams are ordered by how many sets have them, and the first n - ceil(least * n) + 1 of both must meet,
+    with enough of either set left after the meeting place (prefix and position filtering). Blocks are never paired set by set.
     """
-    grams = rows.select(*block, key, trigrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
-    each = grams.select(*block, key, F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    each = grams.select(*block, "id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     often = each.groupBy(*block, "g").agg(F.count("*").alias("often"))
-    ranked = each.join(often, [*block, "g"]).groupBy(*block, key, "n").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("r"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*block, "g"]]
+    ranked = each.alias("e").join(often.alias("o"), same).groupBy(*[F.col(f"e.{c}").alias(c) for c in block], "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "e.g"))).alias("r"))
     head = F.expr(f"slice(r, 1, cast(n - ceil({least} * n) + 1 AS int))")
-    heads = ranked.select(*block, key, "n", F.explode(head).alias("h")).select(*block, key, "n", F.col("h.g").alias("g"))
-    a = heads.select(*block, "g", F.col(key).alias("keep_id"), F.col("n").alias("na"))
-    b = heads.select(*block, "g", F.col(key).alias("dup_id"), F.col("n").alias("nb"))
-    near = a.join(b, [*block, "g"]).where((F.col("keep_id") < F.col("dup_id")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select(*block, "keep_id", "dup_id").distinct()
-    left = grams.select(F.col(key).alias("keep_id"), F.col("grams").alias("ga"))
-    right = grams.select(F.col(key).alias("dup_id"), F.col("grams").alias("gb"))
-    scored = near.join(left, "keep_id").join(right, "dup_id").select(*block, "keep_id", "dup_id", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
+    heads = ranked.select(*block, "id", "n", F.posexplode(head).alias("at", "h")).select(*block, "id", "n", "at", F.col("h.g").alias("g"))
+    a, b = heads.alias("a"), heads.alias("b")
+    meet = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*block, "g"]]
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # elements from the meeting place on, this one included
+    near = a.join(b, [*meet, F.col("a.id") < F.col("b.id"), small >= least * large]).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.max(reach).alias("reach"))
+    return near.where(F.col("reach") >= F.ceil(F.lit(least) / F.lit(1 + least) * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+def similar_pairs(rows: DataFrame, block: list[str], key: str, text: str, least: float) -> DataFrame:
+    """(block, keep_id, dup_id, keep_rows, dup_rows, similarity): pairs of different texts of a block with a trigram similarity over `least`.
+
+    Equal texts of a block are one class, known by its smallest key and its number of rows, so copies make no pairs.
+    """
+    classes = rows.groupBy(*block, F.lower(text).alias("t")).agg(F.min(key).alias("id"), F.count("*").alias("rows"))
+    grams = classes.select(*block, "id", "rows", trigrams(F.col("t")).alias("grams")).where(F.size("grams") > 0)
+    left = grams.select(*block, F.col("id").alias("keep_id"), F.col("rows").alias("keep_rows"), F.col("grams").alias("ga"))
+    right = grams.select(F.col("id").alias("dup_id"), F.col("rows").alias("dup_rows"), F.col("grams").alias("gb"))
+    pairs = _candidates(grams, block, least).withColumnsRenamed({"a": "keep_id", "b": "dup_id"})
+    scored = pairs.join(left, "keep_id").join(right, "dup_id").select(*block, "keep_id", "dup_id", "keep_rows", "dup_rows", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
     return scored.where(F.col("similarity") > least)
 
 
+def near_listings(rows: DataFrame, least: float, metres: float) -> DataFrame:
+    """(keep_id, dup_id, similarity): listings of one day with similar titles within `metres`; the earlier created is kept, and no keeper is a duplicate.
+
+    rows: id, start_day, title, lat, lng, created_day. Equal titles at one spot are a class whose first row stands for it: it is compared with
+    other classes, and what duplicates it or is kept by it takes the rest of its class along.
+    """
+    order = F.struct("created_day", "id")
+    named = rows.select("id", "created_day", "start_day", F.lower("title").alias("t"), "lat", "lng")
+    keys = ["start_day", "t", "lat", "lng"]
+    classes = named.groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o", F.col("o.id").alias("id"), trigrams(F.col("t")).alias("grams"))
+    x, y = classes.alias("x"), classes.alias("y")
+    joined = _candidates(classes.where(F.size("grams") > 0), ["start_day"], least).join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    joined = joined.where(cosine_metres(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")) < metres).withColumn("similarity", jaccard(F.col("x.grams"), F.col("y.grams"))).where(F.col("similarity") > least)
+    first = F.col("x.o") < F.col("y.o")
+    pairs = joined.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dup_id"), "similarity")
+    kept = without_kept_duplicates(pairs).withColumnRenamed("dup_id", "of")
+    dups = pairs.select(F.col("dup_id").alias("of")).distinct()
+    own = classes.where(F.size("grams") > 0).join(dups, F.col("id") == F.col("of"), "left_anti").select(F.col("id").alias("keep_id"), F.col("id").alias("of"), F.lit(1.0).alias("similarity"))
+    members = named.join(classes.select(*keys, F.col("id").alias("of")), keys).select("of", F.col("id").alias("dup_id"))
+    return kept.unionByName(own).join(members, "of").where(F.col("keep_id") != F.col("dup_id")).select("keep_id", "dup_id", "similarity")
+
+
 def without_kept_duplicates(pairs: DataFrame) -> DataFrame:
     """Pairs whose keeper is not itself a duplicate."""
     dups = pairs.select(F.col("dup_id").alias("keep_id")).distinct()
@@ -41,7 +80,9 @@ def nearest(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
 
     centres (position, centre, lat, lng, radius_km) is a short fixed list. It travels as one array literal, so no row is multiplied.
     """
-    listed = [r.asDict() for r in centres.orderBy("position").collect()]
+    listed = [r.asDict() for r in centres.orderBy("position").limit(MOST_CENTRES + 1).collect()]
+    if len(listed) > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres: join on a grid instead")
     near = F.array(*[F.struct(haversine_km(F.col("lat"), F.col("lng"), F.lit(c["lat"]), F.lit(c["lng"])).alias("km"), F.lit(c["position"]).alias("position"), F.lit(c["centre"]).alias("centre"), F.lit(c["radius_km"]).alias("radius")) for c in listed])
     best = F.array_min(F.filter(near, lambda c: c["km"] <= c["radius"]))
     return points.select(key, best.alias("b")).select(key, F.col("b.centre").alias("centre"), F.round("b.km", 6).alias("km"))

@@ -40,25 +40,30 @@ def change_status(current: DataFrame, keys: DataFrame, key: str, status: str, to
     return joined.withColumn(status, F.when(hit, F.lit(to)).otherwise(F.col(status))).drop("__key"), audit
 
 
-def limit_hits(hits: DataFrame, bucket: str, at: str, most: int, minutes: int = 60) -> DataFrame:
+def limit_hits(hits: DataFrame, bucket: str, order: list[str], most: int, minutes: int = 60) -> DataFrame:
     """hits with n and allowed: a bucket's window starts at its first hit and restarts at the first one after it has lapsed.
 
-    Restarts depend on all hits before, so each bucket is folded in order, a bounded batch of rows at a time.
+    order: the time, then what makes it total. A hit that comes a whole window after the one before starts a window whatever came
+    earlier, so runs between such gaps are dealt to tasks one by one; only within a run do restarts depend on each other, and it is folded in order, a bounded batch of rows at a time.
     """
+    at = order[0]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields) + ", n bigint, allowed boolean"
     span = minutes * 60_000_000
-    rows = hits.repartition(bucket).sortWithinPartitions(bucket, at)
+    by = Window.partitionBy(bucket).orderBy(*order)
+    lapsed = F.coalesce((F.col(at) >= F.lag(at).over(by) + F.make_dt_interval(mins=F.lit(minutes))).cast("int"), F.lit(1))
+    runs = hits.withColumn("__lapsed", lapsed).withColumn("__run", F.sum("__lapsed").over(by)).drop("__lapsed")
+    rows = runs.repartition(bucket, "__run").sortWithinPartitions(bucket, "__run", *order)
 
     def fold(frames):
         key, began, n = None, 0, 0
         for frame in frames:
             counts = []
-            for b, t in zip(frame[bucket], frame[at].astype("int64") // _TICK[str(frame[at].dtype)], strict=True):
-                if b != key or t - began >= span:
-                    key, began, n = b, t, 0
+            for b, run, t in zip(frame[bucket], frame["__run"], frame[at].astype("int64") // _TICK[str(frame[at].dtype)], strict=True):
+                if (b, run) != key or t - began >= span:
+                    key, began, n = (b, run), t, 0
                 n += 1
                 counts.append(n)
-            yield frame.assign(n=counts, allowed=[x <= most for x in counts])
+            yield frame.drop(columns="__run").assign(n=counts, allowed=[x <= most for x in counts])
 
     return rows.mapInPandas(fold, schema)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyhouse.plans import engagement, texts, trade
+from tallyhouse.plans import engagement, reading, states, texts, trade
 from tallyhouse.plans.base import Registered
 
 QUERIES: dict[str, Registered] = {}
-for module in (engagement, trade, texts):
+for module in (engagement, trade, texts, reading, states):
     QUERIES |= module.QUERIES

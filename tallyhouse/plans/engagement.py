@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import percent
-from tallyhouse.functions.time import day, wall
+from tallyhouse.functions.time import ZONE, day, wall
 from tallyhouse.operators import ranking, snapshots
 from tallyhouse.plans.base import Registered, query
 from tallyhouse.sources.tables import table
@@ -23,9 +26,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("day", day(F.col("ts")))
 
 
-def _today(events: DataFrame):
-    """The last day of the data, as one broadcast row."""
-    return F.broadcast(events.agg(F.max("day").alias("today")))
+def recent(events: DataFrame, days: int = 7) -> tuple[DataFrame, date | None]:
+    """The events of the last `days` (1 to 90) Chicago days of the data, today included, and that day.
+
+    The last instant is looked up first, so the bound is a literal on ts and reaches the scan.
+    """
+    last = events.agg(F.max("ts")).first()[0]
+    if last is None:
+        return events, None
+    local = last.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(ZONE)).date()
+    first = local - timedelta(days=max(1, min(90, days)) - 1)
+    begin = datetime(first.year, first.month, first.day, tzinfo=ZoneInfo(ZONE)).astimezone(timezone.utc).replace(tzinfo=None)
+    return events.where(F.col("ts") >= F.lit(str(begin)).cast("timestamp_ntz")), local
 
 
 @query(QUERIES, f"SELECT {_DAY} AS day, " + ", ".join(f"COUNT(*) FILTER (WHERE event_type = '{a}') AS {a}s" for a in ACTIONS) + " FROM events GROUP BY 1")
@@ -38,8 +50,7 @@ def engagement_daily_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUERIES, f"WITH e AS (SELECT {_DAY} AS day, event_type FROM events), t AS (SELECT max(day) AS today FROM e) SELECT day, event_type, count(*) AS n FROM e, t WHERE day > today - 7 AND day <= today GROUP BY 1, 2")
 def engagement_trailing_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by day and action over the last seven days, today included."""
-    e = _events(spark, sf_dir).select("day", "event_type")
-    near = e.join(_today(e), (F.col("day") > F.date_sub("today", 7)) & (F.col("day") <= F.col("today")))
+    near, _ = recent(_events(spark, sf_dir))
     return near.groupBy("day", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -65,18 +76,26 @@ def top_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUERIES, f"WITH e AS (SELECT {_DAY} AS day, user_id, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 5.0 WHEN 'purchase' THEN 4.0 WHEN 'signup' THEN 3.0 ELSE 0.0 END AS w FROM events), t AS (SELECT max(day) AS today FROM e), s AS (SELECT user_id, round(sum(w * pow(0.5, (today - day) / 3.0)), 6) AS score FROM e, t WHERE today - day BETWEEN 0 AND 6 GROUP BY 1), q AS (SELECT * FROM s WHERE score >= 5) SELECT user_id, score FROM q WHERE (SELECT count(*) FROM q) >= 3 ORDER BY score DESC, user_id LIMIT 12")
 def trending_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decayed weighted actions of a week; at least 5, at least three of them or none, at most 12."""
-    e = _events(spark, sf_dir).select("day", "user_id", "event_type")
-    rows = e.join(_today(e), F.lit(True))
-    hot = ranking.decayed(rows, "user_id", "event_type", "day", WEIGHTS, F.col("today")).where("score >= 5")
+    near, today = recent(_events(spark, sf_dir))
+    hot = ranking.decayed(near, "user_id", "event_type", "day", WEIGHTS, F.lit(today)).where("score >= 5")
     gate = F.broadcast(hot.agg(F.count("*").alias("__n")))
     return hot.join(gate, F.col("__n") >= 3).orderBy(F.desc("score"), "user_id").limit(12).select("user_id", "score")
 
 
-@query(QUERIES, f"WITH d AS (SELECT {_DAY} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2), l AS (SELECT *, lag(n, 7) OVER (PARTITION BY event_type ORDER BY day) AS before FROM d) SELECT day, event_type, n, before, CASE WHEN before IS NULL THEN 'first report' WHEN before = 0 THEN CASE WHEN n > 0 THEN 'new' ELSE '±0%' END WHEN floor((n - before) / before::DOUBLE * 100 + 0.5) = 0 THEN '±0%' ELSE (CASE WHEN floor((n - before) / before::DOUBLE * 100 + 0.5) > 0 THEN '+' ELSE '' END) || CAST(floor((n - before) / before::DOUBLE * 100 + 0.5) AS BIGINT)::VARCHAR || '% WoW' END AS label FROM l")
+@query(QUERIES, f"WITH d AS (SELECT {_DAY} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2), l AS (SELECT d.*, coalesce(w.n, CASE WHEN d.day - 7 >= (SELECT min(day) FROM d) THEN 0 END) AS before FROM d LEFT JOIN d w ON w.event_type = d.event_type AND w.day = d.day - 7) SELECT day, event_type, n, before, CASE WHEN before IS NULL THEN 'first report' WHEN before = 0 THEN CASE WHEN n > 0 THEN 'new' ELSE '±0%' END WHEN floor((n - before) / before::DOUBLE * 100 + 0.5) = 0 THEN '±0%' ELSE (CASE WHEN floor((n - before) / before::DOUBLE * 100 + 0.5) > 0 THEN '+' ELSE '' END) || CAST(floor((n - before) / before::DOUBLE * 100 + 0.5) AS BIGINT)::VARCHAR || '% WoW' END AS label FROM l")
 def week_over_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _events(spark, sf_dir).groupBy("day", "event_type").agg(F.count("*").alias("n"))
-    before = d.withColumn("before", F.lag("n", 7).over(Window.partitionBy("event_type").orderBy("day")))
-    return before.withColumn("label", ranking.change_label(F.col("n"), F.col("before")))
+    """Each day against the day a week before; a day without events counts as zero, days before the first as unknown."""
+    return week_before(_events(spark, sf_dir).groupBy("day", "event_type").agg(F.count("*").alias("n")))
+
+
+def week_before(counts: DataFrame) -> DataFrame:
+    """counts (day, event_type, n) with `before` and `label`."""
+    w = counts.select(F.date_add("day", 7).alias("w_day"), F.col("event_type").alias("w_type"), F.col("n").alias("w_n"))
+    first = counts.agg(F.min("day").alias("first"))  # one row
+    joined = counts.join(w, (F.col("day") == F.col("w_day")) & F.col("event_type").eqNullSafe(F.col("w_type")), "left").join(F.broadcast(first), F.lit(True))
+    before = F.coalesce("w_n", F.when(F.date_sub("day", 7) >= F.col("first"), F.lit(0).cast("bigint")))
+    rows = joined.select("day", "event_type", "n", before.alias("before"))
+    return rows.withColumn("label", ranking.change_label(F.col("n"), F.col("before")))
 
 
 @query(QUERIES, f"WITH d AS (SELECT {_DAY} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT *, max(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS baseline FROM d) SELECT day, event_type, n, baseline, CASE WHEN baseline IS NULL OR baseline <= 0 THEN n >= 250 ELSE n >= 80 AND n >= 2.0 * baseline END AS stampede FROM b")
@@ -137,10 +156,10 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.upsert(state(e.where("event_id % 3 <> 0")), state(e.where("event_id % 3 = 0")), "user_id", ("first_seen",))
 
 
-@query(QUERIES)
+@query(QUERIES, "WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT event_id, user_id, ts, r, ts AS began, 1::BIGINT AS n FROM o WHERE r = 1 UNION ALL SELECT o.event_id, o.user_id, o.ts, o.r, CASE WHEN o.ts >= f.began + INTERVAL 60 MINUTE THEN o.ts ELSE f.began END, CASE WHEN o.ts >= f.began + INTERVAL 60 MINUTE THEN 1 ELSE f.n + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT event_id, user_id, ts, n, n <= 30 AS allowed FROM f")
 def hit_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 30 hits per user in 60 minutes from a window's first hit."""
-    return snapshots.limit_hits(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 30)
+    return snapshots.limit_hits(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 30)
 
 
 @query(QUERIES, f"WITH e AS (SELECT user_id, event_type, {_DAY} AS day, max(value) AS value FROM events GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, day, event_type) AS rk FROM e) SELECT user_id, event_type, day, round(value, 2) AS value FROM r WHERE rk <= 3")
@@ -149,7 +168,7 @@ def top_three_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_per(e, ["user_id"], [F.desc("value"), F.col("day"), F.col("event_type")], 3).select("user_id", "event_type", "day", F.round("value", 2).alias("value"))
 
 
-@query(QUERIES)
+@query(QUERIES, f"WITH RECURSIVE o AS (SELECT event_type, user_id, {_DAY} AS day, -value AS rank_value, event_id, row_number() OVER (PARTITION BY event_type ORDER BY -value, event_id) AS r FROM events), f AS (SELECT event_type, 0::BIGINT AS r, 0 AS pick, false AS took, []::BIGINT[] AS users, []::DATE[] AS days FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT event_type, r, CASE WHEN ok THEN pick + 1 ELSE pick END, ok, CASE WHEN ok THEN list_append(users, user_id) ELSE users END, CASE WHEN ok THEN list_append(days, day) ELSE days END FROM (SELECT o.event_type, o.r, f.pick, f.users, f.days, o.user_id, o.day, f.pick < 8 AND NOT list_contains(f.users, o.user_id) AND len(list_filter(f.days, lambda d: d = o.day)) < 2 AS ok FROM f JOIN o ON o.event_type = f.event_type AND o.r = f.r + 1 WHERE f.pick < 8)) SELECT f.event_type, f.pick, o.rank_value, o.event_id, o.user_id, o.day FROM f JOIN o ON o.event_type = f.event_type AND o.r = f.r WHERE took")
 def spread_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy picks per action: the most valuable events, one per user, two per day, eight in all."""
     e = _events(spark, sf_dir).select("event_type", "user_id", "day", (-F.col("value")).alias("rank_value"), "event_id")

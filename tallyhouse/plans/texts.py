@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import text as X
 from tallyhouse.operators import matching
 from tallyhouse.plans.base import Registered, query
+from tallyhouse.plans.fixture import LISTINGS, listings
 from tallyhouse.sources.tables import table
 
 QUERIES: dict[str, Registered] = {}
@@ -52,12 +53,34 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", matching.weighted_category(F.col("text"), RULES, "other").alias("category"))
 
 
-@query(QUERIES, r"WITH w AS (SELECT doc_id, lang, source, unnest(list_filter(regexp_split_to_array(lower(left(text, 120)), '[^a-zà-öø-ÿ0-9]+'), lambda x: x <> '')) AS w FROM documents), g AS (SELECT DISTINCT doc_id, lang, source, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(w) + 1)) AS i FROM w)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.lang, a.source, a.doc_id AS keep_id, b.doc_id AS dup_id, count(*) AS shared FROM g a JOIN g b ON a.lang = b.lang AND a.source = b.source AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4), q AS (SELECT lang, source, keep_id, dup_id, shared / (x.n + y.n - shared)::DOUBLE AS s FROM p JOIN n x ON x.doc_id = keep_id JOIN n y ON y.doc_id = dup_id) SELECT lang, source, keep_id, dup_id, round(s, 6) AS similarity FROM q WHERE s > 0.6 AND keep_id NOT IN (SELECT dup_id FROM q WHERE s > 0.6)")
+@query(QUERIES, r"WITH t AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages), c AS (SELECT lang, t, min(page_id) AS id, count(*) AS rows FROM t GROUP BY ALL), w AS (SELECT *, unnest(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM c), g AS (SELECT DISTINCT id, lang, rows, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(w) + 1)) AS i FROM w)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.lang, a.id AS keep_id, b.id AS dup_id, a.rows AS keep_rows, b.rows AS dup_rows, count(*) AS shared FROM g a JOIN g b ON a.lang = b.lang AND a.g = b.g AND a.id < b.id GROUP BY ALL), q AS (SELECT *, shared / (x.n + y.n - shared)::DOUBLE AS s FROM p JOIN n x ON x.id = keep_id JOIN n y ON y.id = dup_id) SELECT lang, keep_id, dup_id, keep_rows, dup_rows, round(s, 6) AS similarity FROM q WHERE s > 0.6")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening lines that are near duplicates within a language and source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.left("text", F.lit(120)).alias("title"))
-    pairs = matching.similar_pairs(d, ["lang", "source"], "doc_id", "title", 0.6)
-    return matching.without_kept_duplicates(pairs).select("lang", "source", "keep_id", "dup_id", F.round("similarity", 6).alias("similarity"))
+    """Titles of pages that are near duplicates within a language: pairs of different titles, each with how many pages have it."""
+    h = F.col("html")
+    d = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"))
+    pairs = matching.similar_pairs(d, ["lang"], "page_id", "title", 0.6)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda x: x <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_PAIRS = LISTINGS + f", r AS (SELECT *, {_GRAMS} AS g FROM listings WHERE status IN ('published', 'draft')), p AS (SELECT a.id AS keep_id, b.id AS dup_id, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE AS s, 6371000.0 * acos(greatest(-1.0, least(1.0, cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng) - radians(a.lng)) + sin(radians(a.lat)) * sin(radians(b.lat))))) AS m FROM r a JOIN r b ON a.start_day = b.start_day AND (a.created_day, a.id) < (b.created_day, b.id))"
+
+
+@query(QUERIES, _PAIRS + ", q AS (SELECT * FROM p WHERE s > 0.6 AND m < 250) SELECT keep_id, dup_id, round(s, 6) AS similarity FROM q WHERE keep_id NOT IN (SELECT dup_id FROM q)")
+def near_duplicate_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of one day and place with near equal titles; a keeper is no duplicate itself."""
+    rows = listings(spark, sf_dir).where("status IN ('published', 'draft')")
+    return matching.near_listings(rows, 0.6, 250.0).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(QUERIES, LISTINGS + f""", c AS (SELECT start_day, lower(title) AS title, min(id) AS id, count(*) AS rows FROM listings WHERE status IN ('published', 'draft') GROUP BY ALL), r AS (SELECT *, {_GRAMS} AS g FROM c),
+    p AS (SELECT a.start_day, a.id AS keep_id, b.id AS dup_id, a.rows AS keep_rows, b.rows AS dup_rows, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE AS s FROM r a JOIN r b ON a.start_day = b.start_day AND a.id < b.id)
+    SELECT start_day, keep_id, dup_id, keep_rows, dup_rows, round(s, 6) AS similarity FROM p WHERE s > 0.4 ORDER BY s DESC, keep_id, dup_id LIMIT 100""")
+def duplicate_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred pairs of different titles of one day most worth a look, wherever they are, with how many listings have either."""
+    rows = listings(spark, sf_dir).where("status IN ('published', 'draft')")
+    pairs = matching.similar_pairs(rows, ["start_day"], "id", "title", 0.4)
+    return pairs.orderBy(F.desc("similarity"), "keep_id", "dup_id").limit(100).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(QUERIES, r"SELECT page_id, CASE WHEN regexp_matches(url, '^[=+\-@]') THEN '''' || url ELSE url END AS url FROM pages")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.time import ZONE
+
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
     """The events table as a stream; ts becomes an instant, as watermarks need one (the session zone is UTC)."""
@@ -14,8 +16,9 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """(window, event_type, n) per UTC day; days are final once the watermark has passed them."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    """(window, event_type, n) per Chicago day, as wall time; days are final once the watermark has passed them."""
+    walled = events.withColumn("wall", F.from_utc_timestamp("ts", ZONE)).withWatermark("wall", late)
+    return walled.groupBy(F.window("wall", "1 day"), "event_type").agg(F.count("*").alias("n"))
 
 
 def run_counts(events: DataFrame, path: str, checkpoint: str) -> None:
