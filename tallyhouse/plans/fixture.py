@@ -64,3 +64,9 @@ def today(spark: SparkSession, sf_dir: str) -> date:
     """The day that stands for now, one value: filters on it are literals, which reach the scan."""
     last = table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]
     return (last or date(2000, 1, 31)) - timedelta(days=30)
+
+
+def utc_sql(wall: str) -> str:
+    """DuckDB SQL of the UTC timestamp of a Chicago wall timestamp; of a repeated hour the first, which DuckDB alone would not take."""
+    utc = f"timezone('UTC', timezone('America/Chicago', {wall}))"
+    return f"(CASE WHEN timezone('America/Chicago', timezone('UTC', {utc} - INTERVAL 1 HOUR)) = {wall} THEN {utc} - INTERVAL 1 HOUR ELSE {utc} END)"

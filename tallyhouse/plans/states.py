@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import spans
 from tallyhouse.operators import reading
 from tallyhouse.plans.base import Registered, query
-from tallyhouse.plans.fixture import LISTINGS, SPANS, listings, today
+from tallyhouse.plans.fixture import LISTINGS, SPANS, listings, today, utc_sql
 
 QUERIES: dict[str, Registered] = {}
 _AT = """CAST(replace("start", 'T', ' ') AS TIMESTAMP)"""
-_UTC = "timezone('UTC', timezone('America/Chicago', {}))"
 _FINAL = """greatest("start", coalesce(end_wall, ''), coalesce(multi_day_end, ''))"""
 #: A wall hour that the spring change skips has no instant; Spark and DuckDB both move it.
 _DST = "strftime({}, '%Y-%m-%d %H:%M')"
 
 
-@query(QUERIES, LISTINGS + f""" SELECT DISTINCT "start" AS wall, {_DST.format(_UTC.format(_AT))} AS utc, "start" || ':00-0' || CAST(date_diff('hour', {_AT}, {_UTC.format(_AT)}) AS VARCHAR) || ':00' AS iso FROM listings""")
+@query(QUERIES, LISTINGS + f""" SELECT DISTINCT "start" AS wall, {_DST.format(utc_sql(_AT))} AS utc, "start" || ':00-0' || CAST(date_diff('hour', {_AT}, {utc_sql(_AT)}) AS VARCHAR) || ':00' AS iso FROM listings""")
 def wall_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wall strings as UTC instants and with their offset, over both changes of clock."""
     w = listings(spark, sf_dir).select(F.col("start").alias("wall")).distinct()
@@ -52,8 +51,8 @@ def upcoming_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("category").agg(F.count_if(F.col("capped_last") >= F.lit(today(spark, sf_dir))).alias("upcoming"), F.count("*").alias("n"))
 
 
-@query(QUERIES, LISTINGS + f""", f AS (SELECT *, {_FINAL} AS final, {_UTC.format(_AT)} AS b, {_UTC.format("CAST(strftime(today, '%Y-%m-%d') || ' 12:00' AS TIMESTAMP)")} AS m FROM listings, clock),
-    g AS (SELECT *, CASE WHEN final > "start" THEN {_UTC.format("CAST(replace(final, 'T', ' ') AS TIMESTAMP)")} ELSE b + INTERVAL 2 HOUR END AS e, date_diff('minute', m, b) AS mins FROM f),
+@query(QUERIES, LISTINGS + f""", f AS (SELECT *, {_FINAL} AS final, {utc_sql(_AT)} AS b, {utc_sql("CAST(strftime(today, '%Y-%m-%d') || ' 12:00' AS TIMESTAMP)")} AS m FROM listings, clock),
+    g AS (SELECT *, CASE WHEN final > "start" THEN {utc_sql("CAST(replace(final, 'T', ' ') AS TIMESTAMP)")} ELSE b + INTERVAL 2 HOUR END AS e, date_diff('minute', m, b) AS mins FROM f),
     h AS (SELECT id, mins, CASE WHEN all_day THEN CASE WHEN strftime(today, '%Y-%m-%d') > left(final, 10) THEN 'ended' WHEN strftime(today, '%Y-%m-%d') >= left("start", 10) THEN 'now' ELSE 'upcoming' END WHEN m > e THEN 'ended' WHEN m >= b THEN 'now' WHEN mins <= 720 THEN 'soon' ELSE 'upcoming' END AS kind FROM g)
     SELECT id, kind, CASE WHEN kind = 'soon' THEN CAST(mins AS INTEGER) END AS minutes, CASE kind WHEN 'ended' THEN 'This event has already happened.' WHEN 'now' THEN 'Happening now' WHEN 'soon' THEN CASE WHEN mins < 60 THEN 'Starts in ' || mins || ' minute' || CASE WHEN mins = 1 THEN '' ELSE 's' END ELSE 'Starts in ' || CAST(floor(mins / 60 + 0.5) AS INTEGER) || ' hour' || CASE WHEN floor(mins / 60 + 0.5) = 1 THEN '' ELSE 's' END END END AS label FROM h""")
 def time_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +145,7 @@ def game_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.when(~open_, F.col("start")).alias("start"), F.concat(first.cast("string"), (first + 1).cast("string")).alias("season"))
 
 
-@query(QUERIES, f"SELECT event_id, {_DST.format('timezone(' + chr(39) + 'UTC' + chr(39) + ', timezone(' + chr(39) + 'America/Chicago' + chr(39) + ', ts))')} AS repaired FROM events")
+@query(QUERIES, f"SELECT event_id, {_DST.format(utc_sql("date_trunc('minute', ts)"))} AS repaired FROM events")
 def repaired_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants whose UTC face was meant as Chicago's, read again."""
     from tallyhouse.sources.tables import table

@@ -116,3 +116,123 @@ def test_entry_works_without_the_training_text_folders(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(q.startswith('op1_') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_reconcile_has_phantoms_and_unknown_rows(spark):
+    from tallyhouse.operators import matching
+
+    listed = spark.sql("SELECT * FROM VALUES (1, date '2024-01-02', 'a'), (2, date '2024-01-03', 'a'), (3, date '2023-12-01', 'a'), (5, date '2024-01-04', 'b') AS t(k, d, s)")
+    feed = spark.sql("SELECT * FROM VALUES (1, date '2024-01-02', 'a'), (4, date '2024-01-05', 'a'), (5, date '2024-01-04', 'a'), (6, date '2024-01-01', 'a') AS t(k, d, s)")
+    assert {r.k: r.verdict for r in matching.reconcile(listed, feed, "k", "d", "s").collect()} == {1: "ok", 2: "phantom", 3: "unknown", 4: "missing", 5: "changed", 6: "missing"}
+
+
+def test_week_before_counts_missing_days_as_zero(spark):
+    from tallyhouse.plans.engagement import week_before
+
+    rows = spark.sql("SELECT date_add(date '2024-01-01', d) AS day, 'view' AS event_type, CAST(n AS BIGINT) AS n FROM VALUES (0, 4), (7, 6), (8, 3), (15, 3), (16, 1) AS t(d, n)")
+    assert {r.day.day: r.label for r in week_before(rows).collect()} == {1: "first report", 8: "+50% WoW", 9: "new", 16: "±0%", 17: "new"}
+
+
+def test_clock_changes(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.functions import spans
+
+    walls = {"2026-11-01T01:30": "2026-11-01 06:30", "2026-11-01T02:30": "2026-11-01 08:30", "2026-03-08T01:59": "2026-03-08 07:59", "2026-03-08T03:00": "2026-03-08 08:00", "2026-07-01T00:10": "2026-07-01 05:10"}
+    got = spark.createDataFrame([(w,) for w in walls], "w string").select("w", F.date_format(spans.instant(F.col("w")), "yyyy-MM-dd HH:mm").alias("u"), spans.iso(F.col("w")).alias("i")).collect()
+    assert {r.w: r.u for r in got} == walls and {r.i[-6:] for r in got} == {"-05:00", "-06:00"}
+
+
+def test_weekends_of_each_weekday(spark):
+    from datetime import date, timedelta
+
+    from pyspark.sql import functions as F
+
+    from tallyhouse.functions import spans
+
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(14)]
+    got = {r.d: r.w for r in spark.createDataFrame([(d,) for d in days], "d date").select("d", spans.weekend_days(F.col("d")).alias("w")).collect()}
+    assert got == {d: spans.weekend_of(d) for d in days}
+    assert [len(got[d]) for d in days[:7]] == [3, 3, 3, 3, 3, 2, 1]
+
+
+def plain_collapse(rows):
+    """Clusters, folds and survivors in plain loops; rows: id, title, city, category, start, end (days as numbers)."""
+    import re
+
+    def key(r):
+        t = re.sub(r"\([^)]*\)", " ", r[1].lower())
+        return " ".join(re.findall("[a-z0-9]+", t)), r[2].lower()
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(key(r), []).append(r)
+    found = []
+    for (title, city), list_ in groups.items():
+        sports = any(r[3] == "sports" for r in list_)
+        end = lambda r: r[4] if sports else max(r[4], r[5] if r[5] is not None else r[4])  # noqa: E731, B023
+        for r in sorted(list_, key=lambda r: (r[4], end(r), r[0])):
+            last = found[-1] if found else None
+            if last and last["key"] == (title, city) and r[4] <= last["hi"] + (0 if sports else 1):
+                last["rows"].append(r)
+                last["hi"] = max(last["hi"], end(r))
+            else:
+                found.append({"key": (title, city), "sports": sports, "rows": [r], "lo": r[4], "hi": end(r), "id": r[0]})
+    gone = {}
+    for c in sorted(found, key=lambda c: (-len(c["key"][0]), c["id"])):
+        options = []
+        for p in found:
+            a, b = sorted((c["key"][0], p["key"][0]), key=len)
+            if p is not c and not c["sports"] and not p["sports"] and p["id"] not in gone and p["key"][1] == c["key"][1] and b.startswith(a + " ") and len(a.split()) > 1 and p["lo"] <= c["lo"] and p["hi"] >= c["hi"]:
+                options.append((-(p["hi"] - p["lo"]), len(p["key"][0]), p["id"]))
+        if options:
+            gone[c["id"]] = min(options)[2]
+    home = lambda i: gone.get(gone.get(i, i), gone.get(i, i))
+    merged = {}
+    for c in found:
+        m = merged.setdefault(home(c["id"]), {"rows": [], "hi": c["hi"], "fold": False})
+        m["rows"] += c["rows"]
+        m["hi"] = max(m["hi"], c["hi"])
+        m["fold"] |= c["id"] in gone
+    out = []
+    for m in merged.values():
+        own = lambda r: max(r[4], r[5] if r[5] is not None else r[4])
+        keep, *rest = sorted(m["rows"], key=lambda r: (r[4], -own(r), len(r[1]), r[0]))
+        if rest:
+            out.append(("fold" if m["fold"] else "run" if m["hi"] > keep[4] else "duplicate", keep[0], keep[4], m["hi"], m["hi"] if m["hi"] > keep[4] and own(keep) < m["hi"] else None, sorted(r[0] for r in rest)))
+    return sorted(out)
+
+
+def test_collapse_matches_a_plain_loop(spark):
+    import random
+    from datetime import date, timedelta
+
+    from tallyhouse.operators import feeds
+
+    rng, day = random.Random(3), date(2024, 1, 1)
+    titles = ["winter fair", "winter fair ice", "winter fair ice carving", "Winter Fair (noon)", "winter fairground", "jazz", "jazz night"]
+    rows = [(i, rng.choice(titles), rng.choice(["edina", "hugo"]), rng.choice(["arts", "arts", "arts", "music"]), rng.randint(0, 40), rng.choice([None, None, rng.randint(0, 60)])) for i in range(90)]
+    rows += [(200 + i, "loons vs foo", "edina", "sports", i // 2, 30) for i in range(6)]
+    frame = spark.createDataFrame([(i, t, c, k, day + timedelta(days=s), None if e is None else day + timedelta(days=e)) for i, t, c, k, s, e in rows], "id long, title string, city string, category string, start_day date, end_day date")
+    number = lambda d: None if d is None else (d - day).days
+    got = sorted((r.kind, r.keep_id, number(r.start_day), number(r.end_day), number(r.set_end), sorted(r.archive_ids)) for r in feeds.collapse_plan(frame).collect())
+    assert got == plain_collapse(rows) and {r[0] for r in got} == {"run", "duplicate", "fold"}
+
+
+def test_opponents_shows_and_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.operators import feeds, outputs, reading
+
+    value = lambda c: spark.range(1).select(c).first()[0]
+    named = {("Twins vs. Red Sox", "Boston Red Sox"): True, ("Twins vs. Boston", "Boston Red Sox"): False, ("Twins v Sox", "Boston Red Sox"): False, ("Wild at Jets", "Winnipeg Jets"): False, ("Winnipeg at Wild", "Winnipeg Jets"): True, ("x", ""): False}
+    assert {k: value(feeds.names_opponent(F.lit(k[0]), F.lit(k[1]))) for k in named} == named
+    words = lambda t: feeds.show_words(F.lit(t))
+    same = {("The Lumineers: Live", "An evening with Lumineers"): True, ("U2", "U2 tour"): False, ("Sigur Rós", "sigur ros 2024"): True, ("Night of Blues", "Blue Night"): False}
+    assert {k: value(feeds.same_show(words(k[0]), words(k[1]), F.lit(""), F.lit(""))) for k in same} == same
+    text = "DESCRIPTION:" + "é" * 100 + "東京" * 20 + "x" * 90
+    folded = value(outputs.fold_line(F.lit(text)))
+    lines = folded.split("\r\n")
+    assert all(len(x.encode()) <= 75 for x in lines) and all(x[0] == " " for x in lines[1:]) and lines[0] + "".join(x[1:] for x in lines[1:]) == text
+    assert value(outputs.calendar_text(F.lit("a;b,c\\d\ne"))) == "a\\;b\\,c\\\\d\\ne"
+    assert [reading.resolve_feed(s, ["hall-7"], ["uptown"]) for s in ("this-weekend", "unique", "weird", "live-music", "venue-hall-7", "venue-x", "uptown", "nope")] == [("weekend", "this-weekend"), ("category", "weird"), None, ("collection", "live-music"), ("venue", "hall-7"), None, ("neighborhood", "uptown"), None]
