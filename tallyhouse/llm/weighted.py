@@ -79,23 +79,23 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return _fingerprints(rows, ["doc_id", "__row"], "text").select("doc_id", F.col("fp").alias("fingerprint"))
 
 
-KEYS = ["doc_id", "h1", "h2"]
+#: What tells a text's row: whether it has an id, the id (0 without one) and two hashes. None is null, so grouping and joins by them share one shuffle.
+KEYS = ["named", "id", "h1", "h2"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """One row for each distinct doc_id and text, known by KEYS."""
+    """KEYS and text of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
-    return rows
+    return docs.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
 
 
-def _same(prefix: str = "") -> Column:
-    """Equality of KEYS and their namesakes with the prefix."""
-    return F.col("doc_id").eqNullSafe(F.col(f"{prefix}doc_id")) & (F.col("h1") == F.col(f"{prefix}h1")) & (F.col("h2") == F.col(f"{prefix}h2"))
+def _as(prefix: str, keys: str = "") -> list[Column]:
+    """KEYS (of a struct, if named) under names with a prefix."""
+    return [F.col(f"{keys}.{c}" if keys else c).alias(f"{prefix}{c}") for c in KEYS]
 
 
-def _named(rows: DataFrame, prefix: str) -> list[Column]:
-    return [rows[c].alias(f"{prefix}{c}") for c in KEYS]
+def _same(prefix: str, of: str = "") -> list[Column]:
+    return [F.col(f"{of}{c}") == F.col(f"{prefix}{c}") for c in KEYS]
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -109,9 +109,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     texts = keyed.groupBy(*KEYS).agg(F.first("text").alias("text"))
     quarter = F.expr("cast(n_chars div 4 AS int)")
     # the part that each edit takes, from the following text
-    wants = followed.select(*[F.col(c).alias(f"of_{c}") for c in KEYS], F.col("next.doc_id").alias("n_doc_id"), F.col("next.h1").alias("n_h1"), F.col("next.h2").alias("n_h2"), quarter.alias("quarter"))
-    heads = texts.join(wants, _same("n_")).select("of_doc_id", "of_h1", "of_h2", F.left("text", F.col("quarter")).alias("head"))
-    counted = followed.select(*[F.col(c).alias(f"c_{c}") for c in KEYS], "copies", "n_chars")
+    wants = followed.select(*_as("of_"), *_as("n_", "next"), quarter.alias("quarter"))
+    heads = texts.join(wants, _same("n_")).select(*[f"of_{c}" for c in KEYS], F.left("text", F.col("quarter")).alias("head"))
+    counted = followed.select(*_as("c_"), "copies", "n_chars")
     rows = texts.join(heads, _same("of_")).join(counted, _same("c_")).select(*KEYS, "copies", "n_chars", "text", "head")
     kept = F.left("text", F.col("n_chars").cast("int") - quarter)
     # copies of a row are followed by a copy of themselves, the last one excepted
@@ -123,13 +123,12 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     both = prints.groupBy(*KEYS, "copies", "n_chars").agg(pick("fp", 0).alias("fingerprint"), pick("fp", 1).alias("edited_fingerprint"), pick("sha", 1).alias("edited_sha256"), pick("fp", 2).alias("own_fingerprint"), pick("sha", 2).alias("own_sha256"))
     both = materialise(both, "weighted-prints")
     # narrow from here on
-    following = both.select(*_named(both, "n_"), F.col("fingerprint").alias("next_fingerprint"))
-    pairs = followed.select(*KEYS, F.col("next.doc_id").alias("t_doc_id"), F.col("next.h1").alias("t_h1"), F.col("next.h2").alias("t_h2"))
-    found = pairs.join(following, F.col("t_doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("t_h1") == F.col("n_h1")) & (F.col("t_h2") == F.col("n_h2"))).select(*[F.col(c).alias(f"f_{c}") for c in KEYS], "next_fingerprint")
+    following = both.select(*_as("n_"), F.col("fingerprint").alias("next_fingerprint"))
+    found = followed.select(*_as("f_"), *_as("t_", "next")).join(following, _same("n_", "t_")).select(*[f"f_{c}" for c in KEYS], "next_fingerprint")
     whole = both.join(found, _same("f_"))
     last = F.struct(F.col("edited_sha256").alias("sha"), F.col("edited_fingerprint").alias("fp"), F.col("next_fingerprint").alias("next"))
     others = F.array_repeat(F.struct(F.col("own_sha256").alias("sha"), F.col("own_fingerprint").alias("fp"), F.col("fingerprint").alias("next")), F.col("copies").cast("int") - 1)
-    out = whole.select("doc_id", "n_chars", "fingerprint", F.explode(F.concat(F.array(last), others)).alias("e"))
+    out = whole.select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_chars", "fingerprint", F.explode(F.concat(F.array(last), others)).alias("e"))
     return out.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), "fingerprint", F.col("e.fp").alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("e.fp")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("e.next")).alias("near_next"))
 
 
