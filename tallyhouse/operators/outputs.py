@@ -23,7 +23,7 @@ def csv_line(*columns: Column) -> Column:
 
 def calendar_text(text: Column) -> Column:
     """A text value of a calendar: a backslash before backslashes, semicolons and commas, line ends as \\n."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\;,])", r"\\$1")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\\;,])", r"\\$1")
     return F.regexp_replace(marked, r"\r?\n", r"\\n")
 
 

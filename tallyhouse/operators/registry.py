@@ -143,7 +143,7 @@ def league_games(replies: DataFrame, shape: str, team: str) -> DataFrame:
         side = lambda s: F.element_at(F.filter(F.col("c")["competitors"], lambda x: x["homeAway"] == s), 1)["team"]["name"]
         g = r.select(F.explode("r.events").alias("e")).select(F.col("e.date").alias("at"), F.element_at("e.competitions", 1).alias("c")).select("at", side("home").alias("h"), side("away").alias("a"))
     ours = g.where((F.col("h") == team) | (F.col("a") == team))
-    return ours.select(F.to_timestamp("at").alias("instant"), F.when(F.col("h") == team, F.col("a")).otherwise(F.col("h")).alias("opponent"), (F.col("h") == team).alias("home"))
+    return ours.select(F.coalesce(F.try_to_timestamp("at"), F.try_to_timestamp("at", F.lit("yyyy-MM-dd'T'HH:mmX"))).alias("instant"), F.when(F.col("h") == team, F.col("a")).otherwise(F.col("h")).alias("opponent"), (F.col("h") == team).alias("home"))
 
 
 def calendar_page(pages: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyhouse.plans import curation, engagement, feeds, ledger, outputs, reading, registry, reports, states, texts, trade
+from tallyhouse.plans import curation, details, engagement, feeds, ledger, outputs, reading, registry, reports, states, texts, trade
 from tallyhouse.plans.base import Registered
 
 QUERIES: dict[str, Registered] = {}
-for module in (engagement, trade, texts, reading, states, curation, ledger, outputs, feeds, reports, registry):
+for module in (engagement, trade, texts, reading, states, curation, ledger, outputs, feeds, reports, registry, details):
     QUERIES |= module.QUERIES

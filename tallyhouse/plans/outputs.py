@@ -26,7 +26,7 @@ def _iso(wall: str) -> str:
     return f"({wall} || ':00-0' || CAST(date_diff('hour', {_ts(wall)}, {utc_sql(_ts(wall))}) AS VARCHAR) || ':00')"
 
 
-_ESC = r"regexp_replace(regexp_replace({}, '([\;,])', '\\\1', 'g'), '\r?\n', '\\n', 'g')"
+_ESC = r"regexp_replace(regexp_replace({}, '([\\;,])', '\\\1', 'g'), '\r?\n', '\\n', 'g')"
 
 
 @query(QUERIES, LISTINGS + """ SELECT id, '"' || replace(title, '"', '""') || '","' || replace(price, '"', '""') || '","' || CASE WHEN lng < 0 THEN '''' ELSE '' END || CAST(CAST(lng AS INTEGER) AS VARCHAR) || '"' AS line FROM listings""")
