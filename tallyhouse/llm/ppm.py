@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialise, parts
+from ._shared import bounded_batches, materialise
 
 #: Bytes of context; with the symbol they are packed in 64 bits.
 ORDER = 6
@@ -43,6 +44,8 @@ ORDER = 6
 KEY = 3
 #: Text bytes after which a chunk is closed, and text bytes for each bucket of pairs and of tokens.
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Text bytes of which the positions are held at once.
+BLOCK_BYTES = 1 << 20
 #: Most buckets of either kind: so many hold what the distinct pairs of any corpus come to.
 MOST_BUCKETS = 4096
 #: Rows of a bucket that one task merges or answers.
@@ -136,27 +139,63 @@ def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[at], lengths
 
 
-class Numbered:
-    """A chunk's distinct codes and tokens, in order, and the number of each position's."""
+def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of BLOCK_BYTES or so."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t) + 2
+        if size >= BLOCK_BYTES or k == len(texts) - 1:
+            yield first, k + 1
+            first, size = k + 1, 0
 
-    def __init__(self, texts: list[bytes], buckets: int):
-        code, self.lengths = positions(texts)
+
+def numbered(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block its distinct codes, the number of each position's, and how many positions each text has."""
+    for i, j in blocks(texts):
+        code, lengths = positions(texts[i:j])
         number, found = pd.factorize(code)
-        order = np.argsort(found)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.codes, self.pair = found[order], rank[number]
-        index: dict[bytes, int] = {b"": 0}
-        numbers: list[int] = []
-        self.tokens_of = np.empty(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            words = t.split(STOP) if t else []
-            numbers.extend([index.setdefault(w, len(index)) for w in words])
-            numbers.append(0)
-            self.tokens_of[k] = len(words) + 1
-        self.token, self.tokens = np.array(numbers, np.int64), list(index)
-        self.pair_bucket = (_mixed(self.codes >> np.uint64(64 - 8 * KEY)) % np.uint64(buckets)).astype(np.int64)
-        self.token_bucket = np.array([zlib.crc32(t) for t in self.tokens], np.int64) % buckets
+        yield found, number.astype(np.uint32), lengths
+
+
+def count_pairs(texts: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of a chunk, ascending, and how often each stands in the texts to learn."""
+    codes, counts, at = [], [], 0
+    for found, number, lengths in numbered(texts):
+        codes.append(found)
+        counts.append(np.bincount(number[np.repeat(learn[at : at + len(lengths)], lengths)], minlength=len(found)))
+        at += len(lengths)
+    return _summed(np.concatenate(codes), np.concatenate(counts))
+
+
+def pair_scores(texts: list[bytes], answers: dict, buckets: int) -> np.ndarray:
+    """The sum over each text's positions of what the buckets answer for their codes."""
+    held = list(numbered(texts))
+    codes = np.unique(np.concatenate([found for found, _, _ in held]))
+    logp = np.empty(len(codes))
+    for k, at in _by_bucket(pair_buckets(codes, buckets)):
+        logp[at] = unpack(answers[PAIRS, k], np.float32)
+    return np.concatenate([np.add.reduceat(logp[np.searchsorted(codes, found)][number], np.cumsum(size) - size) for found, number, size in held])
+
+
+def number_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A chunk's distinct tokens in the order of their first use, after the end mark; each position's number; and how many each text has."""
+    index: dict[bytes, int] = {b"": 0}
+    numbers = array("L")
+    lengths = np.empty(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        words = t.split(STOP) if t else []
+        numbers.extend([index.setdefault(w, len(index)) for w in words])
+        numbers.append(0)
+        lengths[k] = len(words) + 1
+    return list(index), np.frombuffer(numbers, np.int64), lengths
+
+
+def pair_buckets(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(codes >> np.uint64(64 - 8 * KEY)) % np.uint64(buckets)).astype(np.int64)
+
+
+def token_buckets(tokens: list[bytes], buckets: int) -> np.ndarray:
+    return np.array([zlib.crc32(t) for t in tokens], np.int64) % buckets
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -187,12 +226,12 @@ def deal(chunks: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for chunk, ids, texts in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 head, split = _open(ids, texts)
-                n = Numbered(split, buckets)
                 learn = head[:, 2] == 0
-                pairs = np.bincount(n.pair[np.repeat(learn, n.lengths)], minlength=len(n.codes))
-                tokens = np.bincount(n.token[np.repeat(learn, n.tokens_of)], minlength=len(n.tokens))
-                rows = [(PAIRS, k, pack_sorted(n.codes[at]), pack(pairs[at])) for k, at in _by_bucket(n.pair_bucket)]
-                rows += [(TOKENS, k, pack_tokens([n.tokens[i] for i in at]), pack(tokens[at])) for k, at in _by_bucket(n.token_bucket)]
+                codes, pairs = count_pairs(split, learn)
+                rows = [(PAIRS, k, pack_sorted(codes[at]), pack(pairs[at])) for k, at in _by_bucket(pair_buckets(codes, buckets))]
+                names, number, lengths = number_tokens(split)
+                tokens = np.bincount(number[np.repeat(learn, lengths)], minlength=len(names))
+                rows += [(TOKENS, k, pack_tokens([names[i] for i in at]), pack(tokens[at])) for k, at in _by_bucket(token_buckets(names, buckets))]
                 for some in range(0, len(rows), 500):
                     columns = list(zip(*rows[some : some + 500], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(columns[0])), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["chunk", "kind", "bucket", "keys", "counts"])
@@ -200,8 +239,8 @@ def deal(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.mapInArrow(run, PACKED)
 
 
-def _merged_codes(blobs: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    code, c = np.concatenate([unpack_sorted(x) for x in blobs]), np.concatenate([unpack(x) for x in counts])
+def _summed(code: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, with their counts added up."""
     order = np.argsort(code, kind="stable")
     code, c = code[order], c[order]
     at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
@@ -220,7 +259,7 @@ def merge(packed: DataFrame, most: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         kind, bucket, keys, counts = (t.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts"))
         if kind[0] == PAIRS:
-            code, c = _merged_codes(keys, counts)
+            code, c = _summed(np.concatenate([unpack_sorted(x) for x in keys]), np.concatenate([unpack(x) for x in counts]))
             row = pack_sorted(code), pack(c)
         else:
             tokens, c = _merged_tokens(keys, counts)
@@ -425,7 +464,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.length("texts")), F.lit(0))).first()
     # packed texts are a third of their bytes or so
     buckets = min(MOST_BUCKETS, max(8, 3 * size // BUCKET_BYTES))
-    chunks = chunks.repartition(parts(spark, n, 16))
     packed = materialise(deal(chunks, buckets), "ppm-dealt")
     merged = merge(packed, max(1, n))
 
@@ -445,19 +483,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
         of = dict(zip(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), strict=True), right.column("found").to_pylist(), strict=True))
         for ids, texts in zip(left.column("ids").to_pylist(), left.column("texts").to_pylist(), strict=True):
             head, split = _open(ids, texts)
-            n = Numbered(split, buckets)
-            logp, c = np.empty(len(n.codes)), np.empty(len(n.tokens), np.int64)
-            for k, at in _by_bucket(n.pair_bucket):
-                logp[at] = unpack(of[PAIRS, k], np.float32)
-            for k, at in _by_bucket(n.token_bucket):
+            score = pa.array(pair_scores(split, of, buckets))
+            names, number, lengths = number_tokens(split)
+            c = np.empty(len(names), np.int64)
+            for k, at in _by_bucket(token_buckets(names, buckets)):
                 c[at] = unpack(of[TOKENS, k])
-            add = lambda x, lengths: np.add.reduceat(x, np.cumsum(lengths) - lengths)
+            add = lambda x: np.add.reduceat(x[number], np.cumsum(lengths) - lengths)  # noqa: E731, B023
             with np.errstate(divide="ignore"):
                 base = np.log10((c + 0.1) / (total + 0.1 * (kinds + 1)))
-            base_score = pa.array(add(base[n.token], n.tokens_of)) if total else pa.nulls(len(head), pa.float64())
-            score = pa.array(add(logp[n.pair], n.lengths))
-            known_tokens = pa.array(add((c > 0).astype(np.int64)[n.token], n.tokens_of))
-            columns = [pa.array(head[:, 0], mask=head[:, 1] > 0), pa.array(head[:, 2] > 0), pa.array(n.tokens_of), known_tokens, pa.array(np.full(len(head), total, np.int64)), base_score, score]
+            base_score = pa.array(add(base)) if total else pa.nulls(len(head), pa.float64())
+            columns = [pa.array(head[:, 0], mask=head[:, 1] > 0), pa.array(head[:, 2] > 0), pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(head), total, np.int64)), base_score, score]
             out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
