@@ -67,8 +67,8 @@ def quality() -> str:
     l AS (SELECT lang, rule, b, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY ALL),
     e AS (SELECT rule, b, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY ALL),
     {shrunk('ls', 'l', 'lang, ', 'e', [])}, {shrunk('os', 'o', 'lang, source, ', 'ls', ['lang'])},
-    {quantiles('f', 'os', 'lang, source, ', (25, 75))}, {quantiles('g', 'e', '', (50, 95))},
-    cut AS (SELECT f.lang, f.source, f.rule, greatest(q75 + 3 * (q75 - q25), q50 + 4 * (q95 - q50)) AS t FROM f JOIN g USING (rule)),
+    {quantiles('f', 'os', 'lang, source, ', (50, 95))}, {quantiles('g', 'e', '', (50, 95))},
+    cut AS (SELECT f.lang, f.source, f.rule, greatest((g.q50 + 4 * (g.q95 - g.q50)) // 2, least(f.q50 + 4 * (f.q95 - f.q50), g.q50 + 4 * (g.q95 - g.q50))) AS t FROM f JOIN g USING (rule)),
     lim AS (SELECT lang, source, {cuts} FROM cut GROUP BY lang, source),
     v AS (SELECT m.*, {passed} AS passed, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed AS kept FROM v"""

@@ -7,8 +7,9 @@ by adding counts, so they are built with an ordinary partial aggregation: a hot
 hundred counts a task, never its rows. The counts are integers and the sketch has no random
 choices, so reruns and other engines get the same cutoffs (relative error at most 1/32).
 
-A rule rejects a text above max(own, floor). own = q75 + 3 * (q75 - q25) of the texts' language and source; floor = q50 + 4 * (q95 - q50)
-of the merged sketch of all texts, as quartiles of a clean source can be 0. The sketch of a language and source is shrunk towards that of its
+A rule rejects a text above a fence, q50 + 4 * (q95 - q50), of the texts' own language and source. It is held between half of the
+fence of the merged sketch of all texts and the whole of it: a group of junk can't lift its own bar, and one without any tail keeps some room. The
+sketch of a language and source is shrunk towards that of its
 language, and that one towards the sketch of all, as if PRIOR texts of the larger group had been seen in the smaller one; so a small group moves away from the
 others' cutoffs little by little.
 
@@ -146,19 +147,20 @@ def _quantiles(sketches: DataFrame, keys: list[str], percents: tuple[int, ...])
 
 
 def cutoffs(sketches: DataFrame) -> DataFrame:
-    """(lang, source, rule, own, floor): the cutoff of a group and rule is the larger of both."""
+    """(lang, source, rule, own, merged): the fences of a group and rule, and of all texts."""
     lang = sketches.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
     every = lang.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
     own = _shrunk(sketches, ["lang", "source"], _shrunk(lang, ["lang"], every, []), ["lang"])
-    fence = _quantiles(own, ["lang", "source"], (25, 75)).withColumn("own", F.expr("q75 + 3 * (q75 - q25)"))
-    floor = _quantiles(every, [], (50, 95)).select(F.col("rule").alias("of"), F.expr("q50 + 4 * (q95 - q50)").alias("floor"))
+    fence = F.expr("q50 + 4 * (q95 - q50)")
+    groups = _quantiles(own, ["lang", "source"], (50, 95)).withColumn("own", fence)
+    merged = _quantiles(every, [], (50, 95)).select(F.col("rule").alias("of"), fence.alias("merged"))
     # a row a rule
-    return fence.join(F.broadcast(floor), F.col("rule") == F.col("of")).select("lang", "source", "rule", "own", "floor")
+    return groups.join(F.broadcast(merged), F.col("rule") == F.col("of")).select("lang", "source", "rule", "own", "merged")
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(lang, source, t_<rule>...): the cutoffs in force for each language and source."""
-    cut = cutoffs(sketches).withColumn("t", F.greatest("own", "floor"))
+    cut = cutoffs(sketches).withColumn("t", F.greatest(F.expr("merged div 2"), F.least("own", "merged")))
     return cut.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, F.col("t"))).alias(f"t_{r}") for r in RULES])
 
 

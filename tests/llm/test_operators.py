@@ -325,11 +325,11 @@ def brute_cutoffs(values):
                 return floor(b)
 
     lang = {g: shrunk(c, every) for g, c in lang.items()}
-    least = quantile(every, 50) + 4 * (quantile(every, 95) - quantile(every, 50))
+    fence = lambda c: quantile(c, 50) + 4 * (quantile(c, 95) - quantile(c, 50))
+    merged = fence(every)
     out = {}
     for k, c in own.items():
-        c = shrunk(c, lang[k[0]])
-        out[k] = max(least, quantile(c, 75) + 3 * (quantile(c, 75) - quantile(c, 25)))
+        out[k] = max(merged // 2, min(merged, fence(shrunk(c, lang[k[0]]))))
     return out
 
 
@@ -518,7 +518,7 @@ def brute_ppm(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_ppm_scores(spark, docs, empty, monkeypatch, small):
     if small:  # many chunks and buckets, merged and answered in several rounds
-        for name, value in {"CHUNK_BYTES": 2000, "BUCKET_BYTES": 500, "MOST_BUCKETS": 40, "FAN": 3}.items():
+        for name, value in {"CHUNK_BYTES": 2000, "BLOCK_BYTES": 700, "BUCKET_BYTES": 500, "MOST_BUCKETS": 40, "FAN": 3}.items():
             monkeypatch.setattr(ppm, name, value)
     rows = [(i, t) for i, t, *_ in corpus()]
     counts, score = brute_ppm(rows)
