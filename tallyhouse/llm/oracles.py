@@ -122,3 +122,51 @@ def preferences() -> str:
     d AS (SELECT *, coalesce(list_min(list_transform(generate_series(1, least(len(chosen), len(rejected))), lambda i: CASE WHEN chosen[i].role IS DISTINCT FROM rejected[i].role OR chosen[i].text IS DISTINCT FROM rejected[i].text THEN i END)) - 1, least(len(chosen), len(rejected))) AS n FROM b),
     e AS (SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_prompt_turns, chosen[1:n] AS p, chosen[n + 1:] AS c, rejected[n + 1:] AS r FROM d)
     SELECT pair_id, n_prompt_turns, {render('p')} AS prompt, {render('c')} AS chosen, {render('r')} AS rejected, {spans('c')} AS chosen_spans, {spans('r')} AS rejected_spans, len(c) = 0 AND len(r) = 0 AS identical FROM e"""
+
+
+def centroids(k: int = 16, rounds: int = 3) -> str:
+    """Every distance, round after round."""
+    zip_sum = "list_sum(list_transform(generate_series(1, 64), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT r, vec_id, x, cluster, CAST({zip_sum} AS BIGINT) AS d FROM v CROSS JOIN c{r}),
+        a{r} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM d{r} GROUP BY r)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT cluster, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT cluster, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL),
+        n{r} AS (SELECT cluster, list(y ORDER BY i) AS c FROM m{r} GROUP BY 1),
+        c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (cluster))""")
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT x AS c, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), x) - 1 AS cluster FROM v WHERE vec_id IS NOT NULL),
+    c0 AS MATERIALIZED (SELECT cluster, c FROM s WHERE cluster < {k}), {', '.join(steps)}
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+def codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every distance between parts and entries, round after round; vectors of one length."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+            SELECT r, x, p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v JOIN c{r} USING (p)) GROUP BY r, p)""")
+        if r < rounds:
+            steps.append(f"""n{r} AS (SELECT p, e, list(y ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+        c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (p, e))""")
+    return f"""
+    WITH w AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS MATERIALIZED (SELECT r, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS x FROM w CROSS JOIN (SELECT unnest(range({parts})) AS p)),
+    s AS (SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM w WHERE vec_id IS NOT NULL),
+    c0 AS MATERIALIZED (SELECT p, e, x AS c FROM v JOIN s USING (r) WHERE e < {entries}), {', '.join(steps)},
+    o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN w USING (r) CROSS JOIN h"""
+
+
+def copies() -> str:
+    return r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+        row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+    FROM n"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, oracles, ppm, preferences, quality, simhash, toxicity, warc, weighted
+from . import bpe, centroids, codes, copies, licenses, mixing, oracles, ppm, preferences, quality, simhash, toxicity, warc, weighted
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def op10_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -88,9 +100,21 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_preferences": op9_preferences,
         "op10_weighted": op10_weighted,
+        "op11_codes": op11_codes,
+        "op12_copies": op12_copies,
+        "op13_centroids": op13_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others hash, code or compress in ways that SQL has no functions for; their tests are brute force."""
-    return {"op1_warc": oracles.warc(), "op2_mix": oracles.mixing(), "op4_quality": oracles.quality(), "op7_licenses": oracles.licenses(), "op9_preferences": oracles.preferences()}
+    return {
+        "op1_warc": oracles.warc(),
+        "op2_mix": oracles.mixing(),
+        "op4_quality": oracles.quality(),
+        "op7_licenses": oracles.licenses(),
+        "op9_preferences": oracles.preferences(),
+        "op11_codes": oracles.codes(),
+        "op12_copies": oracles.copies(),
+        "op13_centroids": oracles.centroids(),
+    }
