@@ -39,7 +39,8 @@ def quality() -> str:
     ratio = lambda r: f"CASE WHEN {RULES[r][1]} > 0 THEN ({RULES[r][0]} * 1000) // {RULES[r][1]} ELSE 0 END"
     size = lambda v: f"(CASE WHEN {v} > 0 THEN length(ltrim(bin({v}), '0')) ELSE 1 END)"
     stacked = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {ratio(r)} AS v FROM m" for r in RULES)
-    floor = "(CASE WHEN b < 64 THEN b ELSE (b - (b // 32 - 1) * 32) << (b // 32 - 1) END)"
+    floor = lambda b: f"(CASE WHEN {b} < 64 THEN {b} ELSE ({b} - ({b} // 32 - 1) * 32) << ({b} // 32 - 1) END)"
+    top = lambda b: f"({floor(f'({b} + 1)')} - 1)"
     same = lambda keys, x, y: " AND ".join([f"{x}.rule = {y}.rule", *[f"{x}.{k} IS NOT DISTINCT FROM {y}.{k}" for k in keys]])
     shrunk = lambda name, own, keys, parent, over: f"""
     {name} AS (SELECT {keys}rule, b, CAST(sum(n) AS BIGINT) AS n FROM (
@@ -47,8 +48,8 @@ def quality() -> str:
             JOIN (SELECT *, sum(n) OVER (PARTITION BY {''.join(k + ', ' for k in over)}rule) AS total FROM {parent}) p ON {same(over, 'g', 'p')}
         UNION ALL SELECT {keys}rule, b, n * {UNIT} FROM {own}) GROUP BY ALL)"""
     quantiles = lambda name, of, keys, percents: f"""
-    {name} AS (SELECT {keys}rule, {', '.join(f'min(CASE WHEN below * 100 >= total * {q} THEN {floor} END) AS q{q}' for q in percents)} FROM (
-        SELECT *, sum(n) OVER (PARTITION BY {keys}rule ORDER BY b) AS below, sum(n) OVER (PARTITION BY {keys}rule) AS total FROM {of}) GROUP BY ALL)"""
+    {name} AS (SELECT *, {top('b50')} + 4 * greatest({top('b95')} - {top('b50')}, {top('b50')} - {floor('b50')} + 1) AS fence FROM (SELECT {keys}rule, {', '.join(f'min(CASE WHEN below * 100 >= total * {q} THEN b END) AS b{q}' for q in percents)} FROM (
+        SELECT *, sum(n) OVER (PARTITION BY {keys}rule ORDER BY b) AS below, sum(n) OVER (PARTITION BY {keys}rule) AS total FROM {of}) GROUP BY ALL))"""
     cuts = ", ".join(f"max(t) FILTER (WHERE rule = '{r}') AS t_{r}" for r in RULES)
     passed = " AND ".join(f"{ratio(r)} <= t_{r}" for r in RULES)
     return f"""
@@ -67,8 +68,8 @@ def quality() -> str:
     l AS (SELECT lang, rule, b, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY ALL),
     e AS (SELECT rule, b, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY ALL),
     {shrunk('ls', 'l', 'lang, ', 'e', [])}, {shrunk('os', 'o', 'lang, source, ', 'ls', ['lang'])},
-    {quantiles('f', 'os', 'lang, source, ', (50, 95))}, {quantiles('g', 'e', '', (50, 95))},
-    cut AS (SELECT f.lang, f.source, f.rule, greatest((g.q50 + 4 * (g.q95 - g.q50)) // 2, least(f.q50 + 4 * (f.q95 - f.q50), g.q50 + 4 * (g.q95 - g.q50))) AS t FROM f JOIN g USING (rule)),
+    {quantiles('f', 'os', 'lang, source, ', (50, 95))}, {quantiles('g', 'ls', 'lang, ', (50, 95))},
+    cut AS (SELECT f.lang, f.source, f.rule, greatest(g.fence // 2, least(f.fence, g.fence * 2)) AS t FROM f JOIN g ON f.rule = g.rule AND f.lang IS NOT DISTINCT FROM g.lang),
     lim AS (SELECT lang, source, {cuts} FROM cut GROUP BY lang, source),
     v AS (SELECT m.*, {passed} AS passed, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed AS kept FROM v"""

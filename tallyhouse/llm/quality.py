@@ -7,14 +7,15 @@ by adding counts, so they are built with an ordinary partial aggregation: a hot
 hundred counts a task, never its rows. The counts are integers and the sketch has no random
 choices, so reruns and other engines get the same cutoffs (relative error at most 1/32).
 
-A rule rejects a text above a fence, q50 + 4 * (q95 - q50), of the texts' own language and source. It is held between half of the
-fence of the merged sketch of all texts and the whole of it: a group of junk can't lift its own bar, and one without any tail keeps some room. The
+A rule rejects a text above a fence, q50 + 4 * (q95 - q50), of the texts' own language and source. Quantiles are the largest values of
+their buckets, and the spread q95 - q50 is one bucket at least, so texts that are all alike are no outliers of each other. The
 sketch of a language and source is shrunk towards that of its
 language, and that one towards the sketch of all, as if PRIOR texts of the larger group had been seen in the smaller one; so a small group moves away from the
-others' cutoffs little by little.
+others' cutoffs little by little. A language's fence goes where its texts are, above or below that of all texts; a source's
+is held between half of its language's fence and twice that, so that a source of junk can't lift its own bar at will, and one without any tail keeps some room.
 
 Defined cases: a null text has no words; null lang or source are groups of their own; ratios
-over nothing are 0; repeated rows count each; an empty table gives an empty result. Columns of
+over nothing are 0; a ratio that equals the cutoff passes; a text alone in its table or language and source is no outlier; repeated rows count each; an empty table gives an empty result. Columns of
 the input that share a name with a result column don't matter: results are built from doc_id, text,
 lang and source only, and filter_quality returns the input's columns as they came.
 """
@@ -119,6 +120,11 @@ def _bucket_floor(bucket: str) -> str:
     return f"CASE WHEN {bucket} < 64 THEN cast({bucket} AS bigint) ELSE shiftleft(cast({bucket} - ({bucket} div 32 - 1) * 32 AS bigint), cast({bucket} div 32 - 1 AS int)) END"
 
 
+def _bucket_top(bucket: str) -> str:
+    """The largest value of a bucket."""
+    return f"({_bucket_floor(f'({bucket} + 1)')} - 1)"
+
+
 def sketch(counts: DataFrame, prefix: str = "") -> DataFrame:
     """(lang, source, rule, bucket, n): the mergeable sketches."""
     stacked = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _ratio(r, prefix).alias("v")) for r in RULES]))
@@ -139,28 +145,32 @@ def _shrunk(own: DataFrame, keys: list[str], parent: DataFrame, parent_keys: lis
 
 
 def _quantiles(sketches: DataFrame, keys: list[str], percents: tuple[int, ...]) -> DataFrame:
-    """For each key and rule the quantiles q<percent>."""
+    """For each key and rule the quantiles' buckets b<percent>."""
     by = Window.partitionBy(*keys, "rule")
     rows = sketches.withColumn("below", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("total") * q, F.expr(_bucket_floor("bucket"))))
-    return rows.groupBy(*keys, "rule").agg(*[at(q).alias(f"q{q}") for q in percents])
+    at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("total") * q, F.col("bucket")))
+    return rows.groupBy(*keys, "rule").agg(*[at(q).alias(f"b{q}") for q in percents])
+
+
+def _fence(name: str) -> F.Column:
+    """q50 + 4 * (q95 - q50) from the buckets b50 and b95; the spread is the width of b50 at least."""
+    low, high = _bucket_top("b50"), _bucket_top("b95")
+    return F.expr(f"{low} + 4 * greatest({high} - {low}, {low} - {_bucket_floor('b50')} + 1)").alias(name)
 
 
 def cutoffs(sketches: DataFrame) -> DataFrame:
-    """(lang, source, rule, own, merged): the fences of a group and rule, and of all texts."""
+    """(lang, source, rule, own, wide): the fences of a group and rule, and of its language."""
     lang = sketches.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
     every = lang.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
-    own = _shrunk(sketches, ["lang", "source"], _shrunk(lang, ["lang"], every, []), ["lang"])
-    fence = F.expr("q50 + 4 * (q95 - q50)")
-    groups = _quantiles(own, ["lang", "source"], (50, 95)).withColumn("own", fence)
-    merged = _quantiles(every, [], (50, 95)).select(F.col("rule").alias("of"), fence.alias("merged"))
-    # a row a rule
-    return groups.join(F.broadcast(merged), F.col("rule") == F.col("of")).select("lang", "source", "rule", "own", "merged")
+    langs = _shrunk(lang, ["lang"], every, [])
+    groups = _quantiles(_shrunk(sketches, ["lang", "source"], langs, ["lang"]), ["lang", "source"], (50, 95)).select("lang", "source", "rule", _fence("own"))
+    wide = _quantiles(langs, ["lang"], (50, 95)).select(F.col("lang").alias("of"), F.col("rule").alias("of_rule"), _fence("wide"))
+    return groups.join(wide, F.col("lang").eqNullSafe(F.col("of")) & (F.col("rule") == F.col("of_rule"))).select("lang", "source", "rule", "own", "wide")
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
     """(lang, source, t_<rule>...): the cutoffs in force for each language and source."""
-    cut = cutoffs(sketches).withColumn("t", F.greatest(F.expr("merged div 2"), F.least("own", "merged")))
+    cut = cutoffs(sketches).withColumn("t", F.greatest(F.expr("wide div 2"), F.least("own", F.col("wide") * 2)))
     return cut.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == r, F.col("t"))).alias(f"t_{r}") for r in RULES])
 
 

@@ -322,15 +322,47 @@ def brute_cutoffs(values):
         for b in sorted(c):
             upto += c[b]
             if upto * 100 >= sum(c.values()) * q:
-                return floor(b)
+                return b
+
+    def fence(c):
+        low, high = (floor(quantile(c, q) + 1) - 1 for q in (50, 95))
+        return low + 4 * max(high - low, low - floor(quantile(c, 50)) + 1)
 
     lang = {g: shrunk(c, every) for g, c in lang.items()}
-    fence = lambda c: quantile(c, 50) + 4 * (quantile(c, 95) - quantile(c, 50))
-    merged = fence(every)
-    out = {}
-    for k, c in own.items():
-        out[k] = max(merged // 2, min(merged, fence(shrunk(c, lang[k[0]]))))
-    return out
+    return {k: max(fence(lang[k[0]]) // 2, min(2 * fence(lang[k[0]]), fence(shrunk(c, lang[k[0]])))) for k, c in own.items()}
+
+
+@pytest.mark.parametrize("copies", [1, 50])
+def test_quality_keeps_texts_that_are_all_alike(spark, copies):
+    rng = random.Random(copies)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(80))
+    rows = [(i, text, "en", "a", 0) for i in range(copies)]
+    assert [r.kept for r in quality.score_quality(spark.createDataFrame(rows, DOCS)).collect()] == [True] * copies
+
+
+def test_quality_keeps_words_of_one_length(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(40)), "en", "ab"[i % 2], 0) for i in range(1000)]
+    assert quality.filter_quality(spark.createDataFrame(rows, DOCS)).count() == 1000
+
+
+def test_quality_cutoffs_follow_a_language_up(spark):
+    rng = random.Random(4)
+    word = lambda upper: "".join(rng.choice("abcdefgh").upper() if rng.random() < upper else rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    rows = [(i, " ".join(word(0.05) for _ in range(40)), "en", "a", 0) for i in range(1500)]
+    rows += [(5000 + i, " ".join(word(0.9) for _ in range(40)), "xx", "a", 0) for i in range(100)]
+    kept = {r.doc_id for r in quality.score_quality(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
+    assert all(5000 + i in kept for i in range(100))
+    assert len(kept) >= 1590
+
+
+def test_quality_a_source_of_junk_is_held_near_its_language(spark):
+    rng = random.Random(5)
+    clean = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(40))
+    rows = [(i, clean(), "en", "good", 0) for i in range(1000)]
+    rows += [(5000 + i, " ".join("##|$" for _ in range(40)), "en", "junk", 0) for i in range(40)]
+    kept = {r.doc_id for r in quality.score_quality(spark.createDataFrame(rows, DOCS)).where("kept").collect()}
+    assert kept == set(range(1000))
 
 
 def test_quality_cutoffs_are_the_plain_ones(spark):
