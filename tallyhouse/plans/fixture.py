@@ -70,3 +70,28 @@ def utc_sql(wall: str) -> str:
     """DuckDB SQL of the UTC timestamp of a Chicago wall timestamp; of a repeated hour the first, which DuckDB alone would not take."""
     utc = f"timezone('UTC', timezone('America/Chicago', {wall}))"
     return f"(CASE WHEN timezone('America/Chicago', timezone('UTC', {utc} - INTERVAL 1 HOUR)) = {wall} THEN {utc} - INTERVAL 1 HOUR ELSE {utc} END)"
+
+
+def _pick(of: str, words: str) -> str:
+    """One of the words, parted by bars, by a number; both engines read it."""
+    return f"split_part('{words.replace(chr(39), chr(39) * 2)}', '|', CAST(({of}) % {len(words.split('|'))} AS INT) + 1)"
+
+
+#: Words that titles, texts and venues are put together from, so that rules meet many combinations. Fixed values of this fixture.
+_WORDS = "live music|jazz|country|club|country  music|art|party|rock|climbing|Family|kids|children's|Theatre|dinner|brewing|beer|hall|golf|tour|house|vs.|TWINS|game|5K|zoo|hot dish|Festival|county|fair|poetry|food truck|hip-hop|R&B|meet|swim|improv|haunted|Choreography|headliners|day|days|block party|Annie|godot|at|the|of|with|open mic|egg hunt|raffle|chef|happy hour|eating|contest|costume|sale|workshop|film|café|naïve|play|playdate|drop-in|in concert|museum"
+_ROOMS = "Guthrie Theater|Chanhassen Dinner Theatres|Day Block Brewing|First Ave|Walker Art Center|Target Field|Como Zoo|Hall|Surly Brewery|Museum of Beer|The Armory|Ordway|Farmers' Market|Mia|Turf Club|Winery|Nature Center|"
+_BETWEEN = " | - |, |  |/| & |: "
+#: Column: expression over orders. Fixed values of this fixture.
+WORDED_COLUMNS = {
+    "id": "o_orderkey",
+    "category": _pick("o_custkey", "music|sports|family|arts|food|weird|festival|other"),
+    "title": " || ".join([_pick("o_orderkey * 7", _WORDS), _pick("o_custkey", _BETWEEN), _pick("o_orderkey * 13 + o_custkey", _WORDS), _pick("o_custkey * 3", _BETWEEN), _pick("o_custkey * 29 + 11", _WORDS)]),
+    "venue": _pick("o_custkey * 5 + o_orderkey", _ROOMS),
+    "description": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE " + " || ' ' || ".join(_pick(f"o_orderkey * {a} + o_custkey * {b}", _WORDS) for a, b in ((11, 1), (17, 3), (31, 7), (3, 2))) + " || '.' END",
+}
+WORDED = "WITH worded AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in WORDED_COLUMNS.items()) + " FROM orders)"
+
+
+def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, category, title, venue, description): listings of varied words."""
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{n}`" for n, e in WORDED_COLUMNS.items()])
