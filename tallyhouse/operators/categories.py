@@ -1,8 +1,9 @@
 """What a listing is about, by weighted phrases in its title, text and venue.
 
-Each text is read once: it is taken apart into words that keep what follows them, and the runs of words that begin like a phrase are looked up in
-one table of phrases (a hash set inside the plan), instead of one regular expression a signal and field. Signals that no list of phrases can say
-(open endings, one word somewhere after another) stay expressions; they are few.
+Each text is read once: at each word that begins a phrase, the runs of words from there are looked up in one table of phrases, instead of one regular
+expression a signal and field. Signals that no list of phrases can say (open endings, one word somewhere after another) stay expressions; they
+are few. The look-up runs in Arrow batches: as built-in functions over arrays it took 28 s for 150,000 listings, as interpreted lambdas evaluate slowly.
+Weights, dampers and the choice are built-in functions.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import re
 from collections import defaultdict
 from re import _parser as parser  # the standard library's own reading of a pattern
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhouse.operators.reading import CATEGORIES
 
@@ -94,7 +97,8 @@ FAMILY_TITLE = r"kids?|children'?s?|toddler|all[- ]ages|family|families|playdate
 #: Categories that a venue of the arts damps to a quarter, and what it adds to the arts. Fixed values.
 DAMPED, ARTS_FLOOR = ("sports", "food"), 6
 
-_WORD, _PIECE = "[a-z0-9_]", "[a-z0-9_]+[^a-z0-9_]*"
+_WORD = "[a-z0-9_]"
+_WORDS = re.compile(f"{_WORD}+")
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -159,24 +163,23 @@ class Signals:
                 if found is None:
                     rest.append(a)
             if rest:
-                self.open.append((i, rf"\b(?:{'|'.join(rest)})\b"))
+                self.open.append((i, rf"(?a)\b(?:{'|'.join(rest)})\b"))
         self.most = max(len(re.findall(f"{_WORD}+", p)) for p in self.table)
-        self.first = sorted({re.match(f"{_WORD}+", p)[0] for p in self.table})
+        self.first = {re.match(f"{_WORD}+", p)[0] for p in self.table}
 
-    def pieces(self, text: Column) -> Column:
-        """A text's words, each with what follows it."""
-        return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_PIECE), F.lit(0))
+        self.compiled = [(i, re.compile(p)) for i, p in self.open]
 
-    def hits(self, pieces: Column, text: Column) -> Column:
-        """The numbers of the signals in a text, each once. pieces: a column, as it is looked at again and again."""
-        word = lambda p: F.regexp_replace(p, "[^a-z0-9_]+$", "")
-        begins = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: word(F.get(pieces, i - 1)).isin(self.first))
-        runs = F.flatten(F.transform(begins, lambda i: F.transform(F.sequence(F.lit(1), F.lit(self.most)), lambda n: word(F.array_join(F.slice(pieces, i, n), "")))))
-        of = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in self.table.items() for x in pair])
-        known = F.flatten(F.transform(F.filter(F.array_distinct(runs), lambda r: r.isin(list(self.table))), lambda r: F.element_at(of, r)))
-        low = F.lower(F.coalesce(text, F.lit("")))
-        more = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(i)) for i, p in self.open]))
-        return F.array_distinct(F.concat(known, more))
+    def hits(self, text: str) -> list[int]:
+        """The numbers of the signals in a text, each once."""
+        low = text.lower()
+        spans = [m.span() for m in _WORDS.finditer(low)]
+        found: set[int] = set()
+        for k, (start, end) in enumerate(spans):
+            if low[start:end] in self.first:
+                for _, stop in spans[k : k + self.most]:
+                    found.update(self.table.get(low[start:stop], ()))
+        found.update(i for i, p in self.compiled if p.search(low))
+        return sorted(found)
 
 
 def _half(weight: int) -> int:
@@ -190,6 +193,13 @@ _ARTS, _FAMILY = len(_PATTERNS) - 1, len(_PATTERNS)
 SIGNAL_TABLE = Signals(_PATTERNS)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def signal_hits(texts: pd.Series) -> pd.Series:
+    """The numbers of the signals in each text; texts that repeat within a batch are looked at once."""
+    known: dict[str, list[int]] = {}
+    return texts.fillna("").map(lambda t: known[t] if t in known else known.setdefault(t, SIGNAL_TABLE.hits(t)))
+
+
 def _totals(hits: Column, field: str) -> Column:
     """What the signals of a field give each category, as an array in the order of CATEGORIES."""
     weigh = {"title": lambda w: 2 * w, "text": lambda w: w, "venue": _half, "hint": lambda w: 0}[field]
@@ -205,8 +215,7 @@ def with_scores(rows: DataFrame, title: str, text: str, venue: str) -> DataFrame
     A generator of one row gives it, so that filters on what is made of it stay above: pushed down, they would repeat the look-up at each mention.
     """
     fields = {"title": title, "text": text, "venue": venue}
-    r = rows.withColumns({f"__p_{f}": SIGNAL_TABLE.pieces(F.col(c)) for f, c in fields.items()})
-    r = r.withColumns({f"__h_{f}": SIGNAL_TABLE.hits(F.col(f"__p_{f}"), F.col(c)) for f, c in fields.items()})
+    r = rows.withColumns({f"__h_{f}": signal_hits(F.col(c)) for f, c in fields.items()})
     everything = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in (title, venue, text)]))
     places = [sum((F.when(everything.rlike(rf"\b(?:{p})\b"), w).otherwise(0) for of, p, w in PLACES if of == name), F.lit(0)) for name in CATEGORIES]
     said = F.zip_with(_totals(F.col("__h_title"), "title"), _totals(F.col("__h_text"), "text"), lambda x, y: x + y)

@@ -2,51 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.geo import cosine_metres, haversine_km
 from tallyhouse.functions.text import jaccard, trigrams
-
+from tallyhouse.operators import grid
 
 #: Centres that a literal array holds.
-MOST_CENTRES = 1000
+MOST_CENTRES = 200
 
 
-def _candidates(grams: DataFrame, block: list[str], least: float) -> DataFrame:
-    """(a, b), a < b: ids of a block whose sets (block, id, grams) can have a Jaccard similarity of `least`.
+def _candidates(grams: DataFrame, block: list[str], least: float, metres: float | None = None) -> DataFrame:
+    """(a, b), a < b: ids of a block whose sets (block, id, grams) can have a Jaccard similarity of `least`; with metres (and columns lat, lng) those on neighbouring cells only.
 
     Two such sets share a rare enough trigram: trigrams are ordered by how many sets have them, and the first n - ceil(least * n) + 1 of both must meet,
     with enough of either set left after the meeting place (prefix and position filtering). Blocks are never paired set by set.
     """
-    each = grams.select(*block, "id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    place = ["lat", "lng"] if metres else []
+    each = grams.select(*block, "id", *place, F.size("grams").alias("n"), F.explode("grams").alias("g"))
     often = each.groupBy(*block, "g").agg(F.count("*").alias("often"))
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*block, "g"]]
-    ranked = each.alias("e").join(often.alias("o"), same).groupBy(*[F.col(f"e.{c}").alias(c) for c in block], "id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "e.g"))).alias("r"))
+    ranked = each.alias("e").join(often.alias("o"), same).groupBy(*[F.col(f"e.{c}").alias(c) for c in block], "id", "n", *place).agg(F.array_sort(F.collect_list(F.struct("often", "e.g"))).alias("r"))
     head = F.expr(f"slice(r, 1, cast(n - ceil({least} * n) + 1 AS int))")
-    heads = ranked.select(*block, "id", "n", F.posexplode(head).alias("at", "h")).select(*block, "id", "n", "at", F.col("h.g").alias("g"))
-    a, b = heads.alias("a"), heads.alias("b")
-    meet = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*block, "g"]]
+    heads = ranked.select(*block, "id", "n", *place, F.posexplode(head).alias("at", "h")).select(*block, "id", "n", *place, "at", F.col("h.g").alias("g"))
+    x, y = heads, heads
+    if metres:
+        x = heads.withColumn("cell", grid.cell(F.col("lat"), F.col("lng"), metres)).where("cell IS NOT NULL").drop(*place)
+        y = heads.withColumn("cell", F.explode(grid.cells_around(F.col("lat"), F.col("lng"), metres))).drop(*place)
+    a, b = x.alias("a"), y.alias("b")
+    meet = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*block, "g"]] + [F.col("a.cell") == F.col("b.cell")] * bool(metres)
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # elements from the meeting place on, this one included
     near = a.join(b, [*meet, F.col("a.id") < F.col("b.id"), small >= least * large]).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.max(reach).alias("reach"))
     return near.where(F.col("reach") >= F.ceil(F.lit(least) / F.lit(1 + least) * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-def similar_pairs(rows: DataFrame, block: list[str], key: str, text: str, least: float) -> DataFrame:
-    """(block, keep_id, dup_id, keep_rows, dup_rows, similarity): pairs of different texts of a block with a trigram similarity over `least`.
+def text_classes(rows: DataFrame, block: list[str], order: list[str], text: str, **more: Column) -> DataFrame:
+    """(block, t, o, id, copies, more..., grams): rows of a block with equal texts, case aside, known by the first in `order`, whose last column is the id."""
+    o = F.min(F.struct(*order))
+    c = rows.groupBy(*block, F.lower(text).alias("t")).agg(o.alias("o"), F.count("*").alias("copies"), *[x.alias(n) for n, x in more.items()])
+    return c.withColumn("id", F.col(f"o.{order[-1]}")).withColumn("grams", trigrams(F.col("t")))
 
-    Equal texts of a block are one class, known by its smallest key and its number of rows, so copies make no pairs.
-    """
-    classes = rows.groupBy(*block, F.lower(text).alias("t")).agg(F.min(key).alias("id"), F.count("*").alias("rows"))
-    grams = classes.select(*block, "id", "rows", trigrams(F.col("t")).alias("grams")).where(F.size("grams") > 0)
-    left = grams.select(*block, F.col("id").alias("keep_id"), F.col("rows").alias("keep_rows"), F.col("grams").alias("ga"))
-    right = grams.select(F.col("id").alias("dup_id"), F.col("rows").alias("dup_rows"), F.col("grams").alias("gb"))
-    pairs = _candidates(grams, block, least).withColumnsRenamed({"a": "keep_id", "b": "dup_id"})
-    scored = pairs.join(left, "keep_id").join(right, "dup_id").select(*block, "keep_id", "dup_id", "keep_rows", "dup_rows", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
+
+def class_pairs(classes: DataFrame, block: list[str], least: float) -> DataFrame:
+    """(a, b, similarity): ids of different classes of a block whose texts have a trigram similarity over `least`, each pair once."""
+    grams = classes.where(F.size("grams") > 0)
+    left, right = grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    scored = _candidates(grams, block, least).join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
     return scored.where(F.col("similarity") > least)
 
 
+def linked(rows: DataFrame, block: list[str], order: list[str], text: str, least: float) -> DataFrame:
+    """(id, class_id, copies, links) of every row: its class of equal texts, how many rows that has, and to how many other rows of the block it is linked.
+
+    Rows are linked if their texts' trigram similarity is over `least`. Copies are counted, not paired; a text without any trigram is linked to nothing. order: what makes a row the first of its class,
+    the id last; ids are distinct.
+    """
+    classes = text_classes(rows, block, order, text)
+    pairs = class_pairs(classes, block, least)
+    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("other")))
+    sizes = classes.select(F.col("id").alias("other"), "copies")
+    near = both.join(sizes, "other").groupBy("of").agg(F.sum("copies").alias("near"))
+    counted = classes.join(near, F.col("id") == F.col("of"), "left").select(*block, "t", F.col("id").alias("class_id"), "copies", F.when(F.size("grams") > 0, F.coalesce("near", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("bigint").alias("links"))
+    c = counted.alias("c")
+    named = rows.select(*block, F.lower(text).alias("t"), F.col(order[-1]).alias("id")).alias("r")
+    return named.join(c, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*block, "t"]]).select("r.id", "c.class_id", "c.copies", "c.links")
+
+
+def review_pairs(rows: DataFrame, block: list[str], order: list[str], first: str, text: str, least: float, most: int) -> DataFrame:
+    """(keep_id, dup_id, similarity): the first `most` pairs of linked rows, the keeper's `first` before its order; of a pair the earlier in `order` is kept.
+
+    Only rows that keep something are candidates, and no more than `most` of them can be among the first `most` pairs; partners are looked up for those, and of each the first `most`.
+    """
+    classes = text_classes(rows, block, order, text, latest=F.max(F.struct(*order))).where(F.size("grams") > 0)
+    pairs = class_pairs(classes, block, least)
+    own = classes.select(F.col("id").alias("of"), F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
+    both = own.unionByName(pairs.select(F.col("a").alias("of"), F.col("b").alias("other"), "similarity")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("other"), "similarity"))
+    last = both.join(classes.select(F.col("id").alias("other"), "latest"), "other").groupBy("of").agg(F.max("latest").alias("latest"))
+    c = classes.select(*block, "t", F.col("id").alias("of")).alias("c")
+    r = rows.select(*block, F.lower(text).alias("t"), F.struct(*order).alias("o"), F.col(first).alias("at")).alias("r")
+    members = r.join(c, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*block, "t"]]).select("c.of", "r.o", "r.at")
+    keepers = members.join(last, "of").where("o < latest").orderBy("at", "o").limit(most).select("of", F.col("o").alias("keep"), "at")
+    partners = keepers.join(both, "of").join(members.select(F.col("of").alias("other"), F.col("o").alias("dup")), "other").where("keep < dup")
+    each = Window.partitionBy("keep").orderBy("dup")
+    few = partners.withColumn("n", F.row_number().over(each)).where(F.col("n") <= most)
+    key = order[-1]
+    return few.orderBy("at", "keep", "dup").limit(most).select(F.col(f"keep.{key}").alias("keep_id"), F.col(f"dup.{key}").alias("dup_id"), "similarity")
+
+
+def draft_pairs(rows: DataFrame, block: list[str], order: list[str], text: str, status: str, least: float) -> DataFrame:
+    """(a, b, pairs, similarity): classes of equal texts (a = b: within one) with how many pairs of linked rows they have of which one at least is a draft."""
+    classes = text_classes(rows, block, order, text, drafts=F.count_if(F.col(status) == "draft")).where(F.size("grams") > 0)
+    of = lambda x: classes.select(F.col("id").alias(x), F.col("copies").alias(f"{x}_n"), (F.col("copies") - F.col("drafts")).alias(f"{x}_rest"))
+    two = class_pairs(classes, block, least).join(of("a"), "a").join(of("b"), "b").select("a", "b", F.expr("a_n * b_n - a_rest * b_rest").alias("pairs"), "similarity")
+    one = of("a").select("a", F.col("a").alias("b"), F.expr("a_n * (a_n - 1) div 2 - a_rest * (a_rest - 1) div 2").alias("pairs"), F.lit(1.0).alias("similarity"))
+    return two.unionByName(one).where("pairs > 0")
+
+
 def near_listings(rows: DataFrame, least: float, metres: float) -> DataFrame:
     """(keep_id, dup_id, similarity): listings of one day with similar titles within `metres`; the earlier created is kept, and no keeper is a duplicate.
 
@@ -58,7 +111,7 @@ def near_listings(rows: DataFrame, least: float, metres: float) -> DataFrame:
     keys = ["start_day", "t", "lat", "lng"]
     classes = named.groupBy(*keys).agg(F.min(order).alias("o")).select(*keys, "o", F.col("o.id").alias("id"), trigrams(F.col("t")).alias("grams"))
     x, y = classes.alias("x"), classes.alias("y")
-    joined = _candidates(classes.where(F.size("grams") > 0), ["start_day"], least).join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    joined = _candidates(classes.where(F.size("grams") > 0), ["start_day"], least, metres).join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     joined = joined.where(cosine_metres(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")) < metres).withColumn("similarity", jaccard(F.col("x.grams"), F.col("y.grams"))).where(F.col("similarity") > least)
     first = F.col("x.o") < F.col("y.o")
     pairs = joined.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dup_id"), "similarity")
@@ -78,11 +131,11 @@ def without_kept_duplicates(pairs: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     """(key, centre, km): the closest centre within its own radius, the earlier one of equals, else null.
 
-    centres (position, centre, lat, lng, radius_km) is a short fixed list. It travels as one array literal, so no row is multiplied.
+    Up to MOST_CENTRES centres (position, centre, lat, lng, radius_km) travel as one array literal, so no row is multiplied; more are met on a grid.
     """
     listed = [r.asDict() for r in centres.orderBy("position").limit(MOST_CENTRES + 1).collect()]
     if len(listed) > MOST_CENTRES:
-        raise ValueError(f"more than {MOST_CENTRES} centres: join on a grid instead")
+        return grid.nearest_on_grid(points, centres, key)
     near = F.array(*[F.struct(haversine_km(F.col("lat"), F.col("lng"), F.lit(c["lat"]), F.lit(c["lng"])).alias("km"), F.lit(c["position"]).alias("position"), F.lit(c["centre"]).alias("centre"), F.lit(c["radius_km"]).alias("radius")) for c in listed])
     best = F.array_min(F.filter(near, lambda c: c["km"] <= c["radius"]))
     return points.select(key, best.alias("b")).select(key, F.col("b.centre").alias("centre"), F.round("b.km", 6).alias("km"))

@@ -53,17 +53,21 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", matching.weighted_category(F.col("text"), RULES, "other").alias("category"))
 
 
-@query(QUERIES, r"WITH t AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages), c AS (SELECT lang, t, min(page_id) AS id, count(*) AS rows FROM t GROUP BY ALL), w AS (SELECT *, unnest(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM c), g AS (SELECT DISTINCT id, lang, rows, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT *, unnest(generate_series(1, length(w) + 1)) AS i FROM w)), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.lang, a.id AS keep_id, b.id AS dup_id, a.rows AS keep_rows, b.rows AS dup_rows, count(*) AS shared FROM g a JOIN g b ON a.lang = b.lang AND a.g = b.g AND a.id < b.id GROUP BY ALL), q AS (SELECT *, shared / (x.n + y.n - shared)::DOUBLE AS s FROM p JOIN n x ON x.id = keep_id JOIN n y ON y.id = dup_id) SELECT lang, keep_id, dup_id, keep_rows, dup_rows, round(s, 6) AS similarity FROM q WHERE s > 0.6")
+_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(QUERIES, r"WITH p AS (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pages)," + f"""
+    c AS (SELECT lang, t, min(page_id) AS id, count(*) AS copies, {_GRAMS} AS g FROM p GROUP BY lang, t),
+    l AS (SELECT a.id, sum(b.copies) AS near FROM c a JOIN c b ON a.lang IS NOT DISTINCT FROM b.lang AND a.id <> b.id WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE > 0.6 GROUP BY 1)
+    SELECT page_id AS id, c.id AS class_id, copies, CAST(CASE WHEN len(g) > 0 THEN copies - 1 + coalesce(near, 0) ELSE 0 END AS BIGINT) AS links FROM p JOIN c ON p.lang IS NOT DISTINCT FROM c.lang AND p.t IS NOT DISTINCT FROM c.t LEFT JOIN l ON l.id = c.id""")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of pages that are near duplicates within a language: pairs of different titles, each with how many pages have it."""
+    """Every page with its class of equal titles within a language, how many pages have that title, and how many others an equal or near equal one."""
     h = F.col("html")
     d = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"))
-    pairs = matching.similar_pairs(d, ["lang"], "page_id", "title", 0.6)
-    return pairs.withColumn("similarity", F.round("similarity", 6))
+    return matching.linked(d, ["lang"], ["page_id"], "title", 0.6)
 
 
-_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda x: x <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
-_PAIRS = LISTINGS + f", r AS (SELECT *, {_GRAMS} AS g FROM listings WHERE status IN ('published', 'draft')), p AS (SELECT a.id AS keep_id, b.id AS dup_id, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE AS s, 6371000.0 * acos(greatest(-1.0, least(1.0, cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng) - radians(a.lng)) + sin(radians(a.lat)) * sin(radians(b.lat))))) AS m FROM r a JOIN r b ON a.start_day = b.start_day AND (a.created_day, a.id) < (b.created_day, b.id))"
+_PAIRS = LISTINGS + f", r AS (SELECT *, {_GRAMS} AS g FROM (SELECT *, title AS t FROM listings) WHERE status IN ('published', 'draft')), p AS (SELECT a.id AS keep_id, b.id AS dup_id, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE AS s, 6371000.0 * acos(greatest(-1.0, least(1.0, cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lng) - radians(a.lng)) + sin(radians(a.lat)) * sin(radians(b.lat))))) AS m FROM r a JOIN r b ON a.start_day = b.start_day AND (a.created_day, a.id) < (b.created_day, b.id))"
 
 
 @query(QUERIES, _PAIRS + ", q AS (SELECT * FROM p WHERE s > 0.6 AND m < 250) SELECT keep_id, dup_id, round(s, 6) AS similarity FROM q WHERE keep_id NOT IN (SELECT dup_id FROM q)")
@@ -73,14 +77,35 @@ def near_duplicate_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.near_listings(rows, 0.6, 250.0).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(QUERIES, LISTINGS + f""", c AS (SELECT start_day, lower(title) AS title, min(id) AS id, count(*) AS rows FROM listings WHERE status IN ('published', 'draft') GROUP BY ALL), r AS (SELECT *, {_GRAMS} AS g FROM c),
-    p AS (SELECT a.start_day, a.id AS keep_id, b.id AS dup_id, a.rows AS keep_rows, b.rows AS dup_rows, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE AS s FROM r a JOIN r b ON a.start_day = b.start_day AND a.id < b.id)
-    SELECT start_day, keep_id, dup_id, keep_rows, dup_rows, round(s, 6) AS similarity FROM p WHERE s > 0.4 ORDER BY s DESC, keep_id, dup_id LIMIT 100""")
+#: Classes of equal titles of a day, and which are similar.
+_CLASSES = LISTINGS + f""", r AS (SELECT *, lower(title) AS t FROM listings WHERE status IN ('published', 'draft')),
+    c AS (SELECT start_day, t, min((created_day, id)) AS o, count(*) AS copies, count(*) FILTER (WHERE status = 'draft') AS drafts, {_GRAMS} AS g FROM r GROUP BY start_day, t),
+    e AS (SELECT a.o AS x, b.o AS y, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g))::DOUBLE AS s FROM c a JOIN c b ON a.start_day = b.start_day WHERE len(a.g) > 0 AND len(b.g) > 0)"""
+
+
+@query(QUERIES, _CLASSES + """, m AS (SELECT r.start, (r.created_day, r.id) AS o, c.o AS of FROM r JOIN c ON r.start_day = c.start_day AND r.t = c.t)
+    SELECT struct_extract(k.o, 2) AS keep_id, struct_extract(d.o, 2) AS dup_id, round(s, 6) AS similarity FROM m k JOIN e ON e.x = k.of AND s > 0.4 JOIN m d ON d.of = e.y AND k.o < d.o ORDER BY k.start, k.o, d.o LIMIT 100""")
 def duplicate_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred pairs of different titles of one day most worth a look, wherever they are, with how many listings have either."""
+    """The first hundred pairs of listings of one day with equal or similar titles, by start; the one seen first is kept."""
     rows = listings(spark, sf_dir).where("status IN ('published', 'draft')")
-    pairs = matching.similar_pairs(rows, ["start_day"], "id", "title", 0.4)
-    return pairs.orderBy(F.desc("similarity"), "keep_id", "dup_id").limit(100).withColumn("similarity", F.round("similarity", 6))
+    return matching.review_pairs(rows, ["start_day"], ["created_day", "id"], "start", "title", 0.4, 100).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(QUERIES, _CLASSES + """, l AS (SELECT x, CAST(sum(c.copies) - max(CASE WHEN c.o = x THEN 1 ELSE 0 END) AS BIGINT) AS links FROM e JOIN c ON c.o = y WHERE s > 0.4 GROUP BY 1)
+    SELECT r.id, struct_extract(c.o, 2) AS class_id, copies, coalesce(links, 0) AS links FROM r JOIN c ON r.start_day = c.start_day AND r.t = c.t LEFT JOIN l ON x = c.o""")
+def duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with its class of equal titles of the day and to how many listings of the day it is linked."""
+    rows = listings(spark, sf_dir).where("status IN ('published', 'draft')")
+    return matching.linked(rows, ["start_day"], ["created_day", "id"], "title", 0.4)
+
+
+@query(QUERIES, _CLASSES.replace("status IN ('published', 'draft')", "status <> 'archived'") + """, k AS (SELECT least(struct_extract(x, 2), struct_extract(y, 2)) AS a, greatest(struct_extract(x, 2), struct_extract(y, 2)) AS b, s,
+        CASE WHEN x = y THEN p.copies * (p.copies - 1) // 2 - (p.copies - p.drafts) * (p.copies - p.drafts - 1) // 2 ELSE p.copies * q.copies - (p.copies - p.drafts) * (q.copies - q.drafts) END AS pairs FROM e JOIN c p ON p.o = x JOIN c q ON q.o = y WHERE s > 0.45 AND struct_extract(x, 2) <= struct_extract(y, 2))
+    SELECT a, b, pairs, round(s, 6) AS similarity FROM k WHERE pairs > 0""")
+def draft_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal or similar titles of one day with the number of pairs that have a draft, to be looked at before publishing."""
+    rows = listings(spark, sf_dir).where("status <> 'archived'")
+    return matching.draft_pairs(rows, ["start_day"], ["created_day", "id"], "title", "status", 0.45).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(QUERIES, r"SELECT page_id, CASE WHEN regexp_matches(url, '^[=+\-@]') THEN '''' || url ELSE url END AS url FROM pages")
