@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.time import ZONE
+from tallyhouse.operators.versions import Tables
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
@@ -25,3 +28,27 @@ def run_counts(events: DataFrame, path: str, checkpoint: str) -> None:
     """Take what is there, append finished days to a Parquet table at path, and stop."""
     q = daily_counts(events).select(F.col("window.start").alias("day"), "event_type", "n").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def count_into(tables: Tables, name: str = "counters", writer: str = "counters") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds a batch of events (ts as an instant, event_type, user_id) to the counter table (user_id, day, event_type, n).
+
+    The batch is summed up first, then joined with the counters it touches; the next snapshot is committed with the batch's number, so a batch that is replayed after a
+    failure changes nothing.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        new = batch.withColumn("day", F.to_date(F.from_utc_timestamp("ts", ZONE))).groupBy("user_id", "day", "event_type").agg(F.count("*").alias("n"))
+
+        def change(old: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+            rows = new if old[name] is None else old[name].unionByName(new)
+            return {name: rows.groupBy("user_id", "day", "event_type").agg(F.sum("n").alias("n"))}
+
+        tables.update(change, [name], writer, number)
+
+    return add
+
+
+def run_counters(events: DataFrame, tables: Tables, checkpoint: str) -> None:
+    """Add what is there to the counter table, batch by batch, and stop."""
+    events.writeStream.foreachBatch(count_into(tables)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
