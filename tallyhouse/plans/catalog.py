@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyhouse.plans import categories, curation, details, documents, engagement, feeds, ledger, live, outputs, sourced, reading, registry, reports, states, texts, trade
+from tallyhouse.plans import categories, changes, curation, details, documents, engagement, feeds, ledger, live, outputs, sourced, reading, registry, reports, states, texts, trade
 from tallyhouse.plans.base import Registered
 
 QUERIES: dict[str, Registered] = {}
-for module in (engagement, trade, texts, reading, states, curation, ledger, outputs, feeds, reports, registry, details, categories, live, sourced, documents):
+for module in (engagement, trade, texts, reading, states, curation, ledger, outputs, feeds, reports, registry, details, categories, live, sourced, documents, changes):
     QUERIES |= module.QUERIES
