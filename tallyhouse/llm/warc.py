@@ -12,7 +12,8 @@ narrow rows are range-sorted and summed up; compressed records go to their files
 Commit: tasks write under temporary names that each attempt has for itself; what a task wrote is a
 row of a table in the shared folder, so of a task that ran twice one attempt counts. A second
 job renames those files, and the manifest table is written last: an archive without manifest is not
-complete, and what no manifest row names was left by a lost task and is deleted.
+complete, and what no manifest row names was left by a lost task or an earlier archive and is deleted. An older manifest is removed before the first file is renamed. Readers take
+the files that the manifest names, and refuse a path without one unless it is said to be a foreign archive.
 
 Every file begins with a warcinfo record (its bytes don't count for roll_bytes). Response records hold an HTTP message, revisit records its head alone, whose
 Content-Length tells the payload's length. Fields that start with X-Page are ours; the reader takes foreign archives as well, where they are null.
@@ -47,6 +48,8 @@ ROLL_BYTES = 16 << 20
 MIN_REVISIT_BYTES = 0
 #: Narrow rows of a range; compressed bytes that one task writes to files.
 RANGE_ROWS, TASK_BYTES = 500_000, 256 << 20
+#: Names of files that a reader broadcasts.
+MOST_BROADCAST = 100_000
 _DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "seq bigint, name string, temporary string, records bigint, bytes bigint, sha256 string"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -232,26 +235,68 @@ def write_warc(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, min_re
 
     written = materialise(dealt.mapInArrow(run, MANIFEST), "warc-written")
 
+    # from here on the older archive of this path is no more
+    _delete(spark, f"{path}/_manifest")
+
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _open(path)
         for b in batches:
             for name, temp in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if fs.get_file_info(f"{folder}/_temporary/{temp}").type != pafs.FileType.NotFound:
+                    if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:
+                        fs.delete_file(f"{folder}/{name}")
                     fs.move(f"{folder}/_temporary/{temp}", f"{folder}/{name}")
                 elif fs.get_file_info(f"{folder}/{name}").type == pafs.FileType.NotFound:
                     raise FileNotFoundError(f"{path}/{name}")
             yield b
 
-    written.mapInArrow(rename, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(temporary)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    renamed = materialise(written.mapInArrow(rename, MANIFEST), "warc-renamed")
+    # files of an earlier archive that had more of them: their numbers come after the last one's
+    _delete_from(spark, path, renamed.agg(F.max("seq")).first()[0])
+    renamed.write.parquet(f"{path}/_manifest")
+    _delete(spark, temporary)
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of every archive file under path; a revisit's payload is null, its digest and length are the full payload's."""
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_from(spark: SparkSession, path: str, last: int | None) -> None:
+    """Remove the files of an archive whose number is over `last`, or all of them; their names follow from their numbers, without gaps that matter."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.listStatus(at) if system.exists(at) else []:
+        name = found.getPath().getName()
+        if name.startswith("part-") and name.endswith(".warc.gz") and (last is None or int(name[5:15]) > last):
+            system.delete(found.getPath(), False)
+
+
+def read_warc(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
+    """RECORDS of the files that the manifest under path names; a revisit's payload is null, its digest and length are the full payload's.
+
+    Without a manifest the archive is not complete: an error. foreign: read every archive file under path, whoever wrote it. A file
+    that the manifest names but that is not there, or has another length, is an error as well.
+    """
     bounded_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path).select("content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+    if foreign:
+        files = found.select("content")
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifest/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(f"no manifest under {path}: not a complete archive")
+        named = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest").select("name", F.col("bytes").alias("said"))
+        file = F.regexp_extract("path", "([^/]+)$", 1)
+        there = found.select(file.alias("file"), "length")  # their contents aren't read for this
+        lost = named.join(there, (F.col("name") == F.col("file")) & (F.col("said") == F.col("length")), "left_anti").select("name").limit(1).collect()
+        if lost:
+            raise FileNotFoundError(f"missing or cut off: {path}/{lost[0]['name']}")
+        # a name a file of ROLL_BYTES or so: some MB for a hundred thousand
+        few = named.select(F.col("name").alias("of"))
+        few = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
+        files = found.join(few, file == F.col("of"), "left_semi").select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]

@@ -79,6 +79,31 @@ def test_warc_empty_and_small_payloads(spark):
     assert {r.record_type for r in warc.read_warc(spark, path).where("payload_bytes < 10").collect()} == {"response"}
 
 
+def test_warc_rewriting_a_path_leaves_the_new_archive_only(spark):
+    path = new_path(spark, "test-warc")
+    many = [(i, f"u{i}", f"text {i} " * 50, None, None) for i in range(40)]
+    assert warc.write_warc(pages(spark, many), path, roll_bytes=1500).count() > 3
+    warc.write_warc(pages(spark, many[:3]), path)
+    assert sorted(r.page_id for r in warc.read_warc(spark, path).collect()) == [0, 1, 2]
+    assert warc.read_warc(spark, path, foreign=True).count() == 3  # the other files are gone
+    warc.write_warc(pages(spark, []), path)
+    assert warc.read_warc(spark, path).count() == 0
+
+
+def test_warc_without_manifest_or_with_a_lost_file_is_refused(spark):
+    path = new_path(spark, "test-warc")
+    warc.write_warc(pages(spark, PAGES), path)
+    (name,) = [r.name for r in spark.read.parquet(f"{path}/_manifest").collect()]
+    warc._delete(spark, f"{path}/{name}")
+    with pytest.raises(FileNotFoundError):
+        warc.read_warc(spark, path)
+    warc.write_warc(pages(spark, PAGES), path)
+    warc._delete(spark, f"{path}/_manifest")
+    with pytest.raises(FileNotFoundError):
+        warc.read_warc(spark, path)
+    assert warc.read_warc(spark, path, foreign=True).count() == len(PAGES)
+
+
 def test_warc_damage_is_found():
     record = warc.build_record(1, "u", b"payload").replace(b"payload", b"pAyload")
     with pytest.raises(ValueError):
@@ -100,7 +125,7 @@ def test_warc_files_are_closed_by_size_alone(spark):
         sizes = [r.bytes for r in manifest]
         assert len(sizes) > 10 and all(25_000 < n < 36_000 for n in sizes[:-1]) and sum(r.records for r in manifest) == len(rows)
         seen.append([(r.name, r.sha256) for r in manifest])
-        ids = [r.page_id for r in warc.read_warc(spark, f"{path}/{manifest[0].name}").collect()]
+        ids = [r.page_id for r in warc.read_warc(spark, f"{path}/{manifest[0].name}", foreign=True).collect()]
         assert ids == sorted(ids)
     assert seen[0] == seen[1]
 
