@@ -1,17 +1,19 @@
 """Toxicity by compression distance: separate zstandard dictionaries for toxic and ordinary text.
 
 A dictionary is text of its class: the segments (words and pieces of words) that most set one class of labelled texts apart from the other, after
-what is common in both, as COVER picks segments by how many samples they cover, less what they cover of the other class. A text is cut into
+what is common in both, as COVER picks segments by how many samples they cover, less what they cover of the other class. The toxic one takes what is toxic beyond doubt; the ordinary
+one, as no segment can be shown to be missing from a few toxic texts, the best of its class until it is as long as the toxic one. A text is cut into
 windows of WINDOW words, one every STEP words; each is compressed with either dictionary, and its excess is length with the ordinary
 dictionary less length with the toxic one. The threshold for a window is calibrated: the 99.8 % quantile of the
 excess in ordinary labelled texts; so is the evidence of each excess, its log ratio of rates in toxic and ordinary texts. A logistic curve
 fitted on the labelled texts turns the evidence of all windows of a text, how many are over the threshold and what share of them, into a score between 0 and 1.
 
 Learning takes at most SAMPLE labelled texts of each class, those of the least hash of doc_id: the bound is a
-parameter, and so are the dictionaries' sizes. Texts are never gathered: segments are counted, and windows measured, where the texts lie.
+parameter, and so are the dictionaries' sizes: SEGMENTS and COMMON, of PIECE + 2 bytes at most; windows and hash tables of the compressor follow from what a dictionary holds, so all of it is
+searched. An excess beyond LARGEST counts as LARGEST: no window of WINDOW words of the usual length has more. Texts are never gathered: segments are counted, and windows measured, where the texts lie.
 Scoring sees the text only and covers every window of every text.
 
-Defined cases: null and empty texts have no windows and score as the mean ordinary labelled text; labels of unknown
+Defined cases: a class without segments of its own has eight zero bytes for them; null and empty texts have no windows and score as the mean ordinary labelled text; labels of unknown
 documents are not used; of several labels of a document the highest counts; null labels are not used; without labels of both classes every
 score is 0; repeated rows are scored each; other columns of docs pass through, but for one that has the score's name, which gives way.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +41,8 @@ WINDOW, STEP = 4, 2
 PIECE = 24
 #: Segments of a dictionary, the least ratio of each to the other class by its lower bound, and the least texts of its class that have it.
 SEGMENTS, LEAST_RATIO, LEAST_TEXTS = 4000, 4.0, 5
-#: Standard errors that the lower bound of a ratio lies below it.
-ERRORS = 1.5
+#: Standard errors that the lower bound of a ratio lies below it, for toxic and for ordinary segments.
+ERRORS, ORDINARY_ERRORS = 1.5, 0.5
 #: Follows each window and stands in both dictionaries: bytes that no text has, as a window's last 8 bytes are not searched.
 CARRIER = bytes(range(192, 224))
 #: Segments common to both classes that either dictionary starts with.
@@ -68,14 +70,19 @@ def segments(text: bytes | None) -> set[bytes]:
     return out
 
 
-def pick_segments(best_first: list[bytes]) -> list[bytes]:
-    """The first SEGMENTS of them, none within another."""
+def pick_segments(best_first: Iterable[bytes], most: int = SEGMENTS, size: int | None = None) -> list[bytes]:
+    """The first of them, none within another, until there are `most`, or `size` bytes."""
     out: list[bytes] = []
+    chosen, joined, held = set(), b"", 0
     for s in best_first:
-        if not any(s in o or o in s for o in out):
-            out.append(s)
-        if len(out) == SEGMENTS:
+        if len(out) == most or size is not None and held >= size:
             break
+        if s in joined or any(s[i:j] in chosen for i in range(len(s)) for j in range(i + 1, len(s) + 1)):
+            continue
+        out.append(s)
+        chosen.add(s)
+        joined += b"\xff" + s  # no UTF-8 text has that byte
+        held += len(s)
     return out
 
 
@@ -90,7 +97,8 @@ class Meter:
         for content in (ordinary, toxic):
             # the deepest search finds the longest match; literals under 63 bytes stay as they are,
             # so a window's length is its bytes without match and 2 or 3 for a match
-            parameters = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, search_log=9, min_match=5, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+            log = max(17, (2 * len(content)).bit_length())  # the whole dictionary is in reach
+            parameters = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=log, hash_log=log, chain_log=log, search_log=9, min_match=5, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
             held = zstandard.ZstdCompressionDict(CARRIER + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters))
 
@@ -185,16 +193,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     # a segment of fewer texts is in no dictionary
     counted = materialise(counted.where(F.greatest("n0", "n1") >= LEAST_TEXTS), "toxicity-segments")
     shares = counted.select("segment", (F.col("n0") / sizes[0]).alias("p0"), (F.col("n1") / sizes[1]).alias("p1"))
-    dictionaries = []
-    for own, other in ((1, 0), (0, 1)):
+
+    def best(own: int, errors: float, least: float) -> Iterator[bytes]:
+        """Segments of a class, best first, whose ratio to the other class is at least `least` by its lower bound."""
         # a segment's share of its class doesn't count, only its ratio: a language of few texts has few texts with each of its words
-        a, b = F.col(f"n{own}"), F.col(f"n{other}")
-        log_ratio = F.log((a + 0.5) / (sizes[own] + 1)) - F.log((b + 0.5) / (sizes[other] + 1))
-        sure = log_ratio - ERRORS * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # what even a lucky draw leaves
-        # the best candidates only: many times what a dictionary holds
-        best = counted.where((a >= LEAST_TEXTS) & (sure >= math.log(LEAST_RATIO))).orderBy(F.desc(a * sure * F.sqrt(F.length("segment"))), "segment").limit(20 * SEGMENTS).select("segment").collect()
-        chosen = pick_segments([bytes(r.segment) for r in best])
-        dictionaries.append(b"".join(reversed(chosen)).ljust(8, b"\x00"))
+        a, b = F.col(f"n{own}"), F.col(f"n{1 - own}")
+        log_ratio = F.log((a + 0.5) / (sizes[own] + 1)) - F.log((b + 0.5) / (sizes[1 - own] + 1))
+        sure = log_ratio - errors * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))  # what even a lucky draw leaves
+        rows = counted.where((a >= LEAST_TEXTS) & (sure > math.log(least))).orderBy(F.desc(a * sure * F.sqrt(F.length("segment"))), "segment").select("segment")
+        return (bytes(r.segment) for r in rows.toLocalIterator())  # a partition at a time, until the dictionary is full
+
+    of_toxic = pick_segments(best(1, ERRORS, LEAST_RATIO))
+    of_ordinary = pick_segments(best(0, ORDINARY_ERRORS, 1.0), size=sum(map(len, of_toxic)))
+    dictionaries = [b"".join(reversed(x)).ljust(8, b"\x00") for x in (of_toxic, of_ordinary)]
     # what is common in either class goes into both, so that only what sets them apart makes a difference
     common = shares.where((F.least("p0", "p1") >= LEAST_COMMON) & (F.greatest("p0", "p1") < 2 * F.least("p0", "p1"))).orderBy(F.desc(F.least("p0", "p1") * F.length("segment")), "segment").limit(COMMON)
     shared = b"".join(bytes(r.segment) for r in reversed(common.select("segment").collect()))

@@ -669,6 +669,34 @@ def test_toxicity(spark, empty):
     assert toxicity.filter_toxic(empty, marks).count() == 0
 
 
+def test_toxicity_has_a_dictionary_of_each_class(spark):
+    rng = random.Random(14)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(150)]
+    kinds = (["meadow", "harbour", "lantern", "orchard"], ["zorkmid", "quaxil", "vuntpop", "grumblex"])
+    rows = [(i, " ".join(rng.choice(kinds[i % 4 == 0]) if rng.random() < 0.1 else rng.choice(common) for _ in range(60)), int(i % 4 == 0)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert abs(len(model.toxic) - len(model.ordinary)) <= toxicity.PIECE + 2
+    assert all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in kinds[1])
+    assert any(w.encode() in model.ordinary and w.encode() not in model.toxic for w in kinds[0])
+    meter = toxicity.Meter(model.toxic, model.ordinary)
+    assert meter.excess([b" quaxil grumblex "])[0] > 0 > min(meter.excess([f" {w} ".encode()])[0] for w in kinds[0])
+
+
+def test_toxicity_without_segments_of_a_class(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice("abc") * 5 for _ in range(30)), i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert model.toxic.endswith(bytes(8)) and model.ordinary.endswith(bytes(8))
+    assert all(0 <= r.score <= 1 for r in toxicity.score_texts(frame.select("doc_id", "text"), model).collect())
+
+
+def test_segments_are_picked_once():
+    assert toxicity.pick_segments([b" abc ", b"abc", b"zz abc ", b"x", b" ab", b"yy"]) == [b" abc ", b"x", b"yy"]
+    assert toxicity.pick_segments([b"one", b"two", b"three"], size=4) == [b"one", b"two"]
+
+
 def test_toxicity_learns_words_of_a_rare_language(spark):
     """8 of 408 toxic texts are in another language: its toxic word has a small share of all toxic texts, yet none of the ordinary ones."""
     rng = random.Random(6)
