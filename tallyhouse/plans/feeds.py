@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import keys
+from tallyhouse.functions import keys, titles
 from tallyhouse.operators import feeds
 from tallyhouse.plans.base import Registered, query
 from tallyhouse.plans.fixture import LISTINGS, listings, today
@@ -73,4 +73,4 @@ def collapse_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUERIES, LISTINGS + f" SELECT id, {_RUN} AS run_title, {_CITY} AS run_city FROM listings")
 def run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).select("id", keys.run_title(F.col("title")).alias("run_title"), keys.run_city(F.col("city")).alias("run_city"))
+    return listings(spark, sf_dir).select("id", titles.run_title(F.col("title")).alias("run_title"), keys.run_city(F.col("city")).alias("run_city"))

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import titles
 from tallyhouse.operators import reading, registry
 from tallyhouse.plans.base import Registered, query
 from tallyhouse.plans.fixture import LISTINGS, listings, today
@@ -80,7 +81,7 @@ def scored_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUERIES, LISTINGS + r""" SELECT id, CASE WHEN title LIKE 'Jazz%' THEN replace(title, ' (Saturdays)', '') WHEN title LIKE 'Café%' THEN replace(title, '—', '–') ELSE title END AS title FROM listings""")
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as they are shown."""
-    return listings(spark, sf_dir).select("id", registry.clean_title(F.col("title"), F.col("venue"), F.col("city")).alias("title"))
+    return listings(spark, sf_dir).select("id", titles.shown_title(F.col("title"), F.col("venue"), F.col("city")).alias("title"))
 
 
 @query(QUERIES, LISTINGS + r""" SELECT id, left(trim(regexp_replace(strftime(start_day, '%A, %B ') || CAST(day(start_day) AS VARCHAR) || ' at ' || concat_ws(', ', CASE WHEN venue <> '' THEN venue END, CASE WHEN city <> '' THEN city END) || '. ' || price || '.' || CASE WHEN description <> '' THEN ' ' || description ELSE '' END, '\s+', ' ', 'g')), 200) AS description FROM listings""")

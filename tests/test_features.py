@@ -242,3 +242,90 @@ def test_runs_that_are_killed_failed_and_repeated(spark):
     started = sorted(r.started for r in log.table().collect())
     assert all(a < b for a, b in pairwise(started))
     assert RunLog(None, "nowhere").done("r") is True  # unsure
+
+
+def plain_shown(title, venue, city):
+    """The rule by hand, over tokens."""
+    from tallyhouse.functions import titles as T
+
+    def telling(s):
+        return {w for w in re.split("[^a-z0-9]+", s.lower()) if len(w) > 2 and w not in T.SILENT}
+
+    def schedule(s):
+        w = s.lower().split()
+        if not w:
+            return False
+        rest = " ".join(w[1:])
+        days = re.fullmatch(r"\d{1,2}( ?[–—-] ?\d{1,2})?", rest) is not None
+        if w[0] in T.REPEATS and len(w) == 2 and re.fullmatch(r"[A-Za-z0-9_]+", w[1]):
+            return True
+        if w[0] in T.WEEKDAYS and len(w) == 1 or w[0].removesuffix(".") in T.MONTHS and days or w[0] in T.MONTHS and rest == "run":
+            return True
+        return w[0] in T.BOUNDS and len(w) > 1 or w[0] == "ongoing" or re.match(r"\d{4}( ?[–—-] ?\d{4})? season", " ".join(w)) is not None
+
+    def idle(inner):
+        own = telling(inner)
+        return schedule(inner) or inner.strip().lower() in T.FORMS or bool(own) and len(own & (telling(venue) | telling(city))) / len(own) >= 0.6
+
+    whole = title.strip(" ")
+    kept, at = "", 0
+    for m in re.finditer(r"\s*\(([^()]*)\)", whole):
+        kept += whole[at : m.start()] + ("" if idle(m[1]) else m[0])
+        at = m.end()
+    kept += whole[at:]
+    if m := re.search(r"\s+[–—-]\s+([^–—-]+)$", kept):
+        tail = m[1].strip(" ")
+        if schedule(tail) or any(re.search(rf"(?a)\b{p}\b", tail.lower()) for p in T.PROMOTIONS):
+            kept = kept[: m.start()].strip(" ")
+    shown = re.sub(r"\s{2,}", " ", " – ".join(re.split(r"\s+[—-]\s+", kept))).rstrip(" –—:,-").lstrip(" ")
+    return whole if len(shown) < 4 else shown
+
+
+def test_shown_titles_on_random_strings(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.functions.titles import shown_title
+
+    rng = random.Random(11)
+    inner = ["Ongoing", "every friday", "Every Friday Night", "July 5-7", "sept. 3", "Sept run", "through Sep 22", "21+", "Matinee", "film screening", "The Armory", "at the Armory", "2026 season opener", "2025-2026 Season", "opens", "World Premiere", "tuesdays", "weekly x-y", ""]
+    words = ["Jazz", "Night", "–", "-", "—", "A-B", "Armory", "fest:", "The", "Bobblehead", "presented by Us", "daily show", "Weekend 1", "Opening Day", ","]
+    piece = lambda: rng.choice(words) if rng.random() < 0.7 else f"({rng.choice(inner)})"
+    rows = [(i, rng.choice(["", " "]) + "".join(piece() + rng.choice([" ", " ", "  ", ""]) for _ in range(rng.randint(0, 7))), rng.choice(["The Armory", "", "Hall"]), rng.choice(["", "St. Paul"])) for i in range(3000)]
+    got = spark.createDataFrame(rows, "i int, t string, v string, c string").select("i", shown_title(F.col("t"), F.col("v"), F.col("c")).alias("s")).collect()
+    want = {i: plain_shown(t, v, c) for i, t, v, c in rows}
+    assert {r.i: r.s for r in got} == want
+    assert sum(want[i] != t.strip(" ") for i, t, *_ in rows) > 1000
+
+
+def plain_run_title(title):
+    """The rule by hand."""
+    from tallyhouse.functions import titles as T
+
+    t = re.sub(r"(?a)\b(19|20)\d\d\b", " ", title.lower())
+    for unit, kind in (("weekend", r"\s*\d+"), ("weekend", r"\s+[ivx]+"), ("day", r"\s*\d+")):
+        t = re.sub(rf"(?a)\b{unit}{kind}\b", " ", t)
+    for e in T.EDITIONS:
+        t = re.sub(rf"(?a)\b{e}\s+edition\b", " ", t)
+    while (a := t.find("(")) >= 0 and (b := t.find(")", a)) >= 0:
+        t = t[:a] + " " + t[b + 1 :]
+    endings = [f"{w} {k}" for w in ("", *T.WEEKENDS) for k in ("weekend", "weekends", "weekend only", "weekends only")]
+    for options in (endings, T.ENDINGS):
+        parts = re.split("([–—-])", t)
+        for k in range(1, len(parts), 2):
+            if "".join(parts[k + 1 :]).split() in [o.split() for o in options]:
+                t = "".join(parts[:k]).rstrip() + " "
+                break
+    t = re.sub(r"[–—-]+\s*$", " ", t)
+    return " ".join(re.sub("[^a-z0-9]+", " ", re.sub("['’`‘]", "", t)).split())
+
+
+def test_run_titles_on_random_strings(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.functions.titles import run_title
+
+    rng = random.Random(12)
+    words = ["Sever's", "Fall", "Fest", "2026", "1899", "Weekend 2", "weekend IV", "Weekend2026", "Day 3", "Day", "Second Edition", "3rd edition", "(all ages)", "(", ")", "– Opening Weekend", "— final weekends", "- weekends only", "– last week", "- Labor Day Weekend", "—", "Café", "weekend"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))) for i in range(3000)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", run_title(F.col("t")).alias("s")).collect()}
+    assert got == {i: plain_run_title(t) for i, t in rows}
