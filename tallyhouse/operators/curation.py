@@ -109,3 +109,32 @@ def of_the_week(places: DataFrame, day: date) -> DataFrame:
         pool = pool.where("open_month IS NOT NULL")
     turn = (day - date(1970, 1, 1)).days // 7 % (seasonal or every)
     return pool.orderBy("slug").offset(turn).limit(1)
+
+
+def week_lists(pool: DataFrame, reader: str, regular: int) -> DataFrame:
+    """(reader, list, pos, id, start): the best family listing, the best unusual one, and `regular` others of each reader's pool.
+
+    A listing is in one list of a reader at most: what an earlier list has taken is not there for a later one. The caps on venues and days
+    hold among the regular ones alone. pool: as of picked_pool, with the column `reader`.
+    """
+    kinds = {"family": "family", "weird": "unique"}
+    best = pool.where(F.col("category").isin(*kinds)).groupBy(reader, "category").agg(F.min("order").alias("o"))
+    named = F.when(F.col("category") == "family", "family").otherwise("unique")
+    first = best.select(reader, named.alias("list"), F.lit(1).alias("pos"), F.col("o.id").alias("id"), F.col("o.start").alias("start"))
+    taken = first.select(F.col(reader).alias("__reader"), F.col("id").alias("__id"))
+    rest = pool.join(taken, F.col(reader).eqNullSafe(F.col("__reader")) & (F.col("id") == F.col("__id")), "left_anti")
+    spread = spread_pool(rest, regular, reader).select(reader, F.lit("regular").alias("list"), F.col("pick").alias("pos"), "id", "start")
+    return first.unionByName(spread)
+
+
+def digest_list(lists: DataFrame, reader: str, cap: int = 8) -> DataFrame:
+    """(reader, pos, id, start): family, unusual, then regular listings, `cap` in all, in the order of their start."""
+    place = F.array_position(F.array(F.lit("family"), F.lit("unique"), F.lit("regular")), F.col("list"))
+    few = ranking.first_per(lists.withColumn("place", place), [reader], [F.col("place"), F.col("pos")], cap)
+    return few.withColumn("pos", F.row_number().over(Window.partitionBy(reader).orderBy("start", "place", "id"))).select(reader, "pos", "id", "start")
+
+
+def by_day(rows: DataFrame, reader: str, order: list[str]) -> DataFrame:
+    """(reader, day, ids): the rows of each day in order, as a page shows them."""
+    entry = F.struct(*order, F.col("id").alias("__id"))
+    return rows.groupBy(reader, F.left("start", F.lit(10)).alias("day")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["__id"]).alias("ids"))

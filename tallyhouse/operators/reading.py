@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import geo, keys, spans
 from tallyhouse.functions import text as X
+from tallyhouse.operators import matching
 from tallyhouse.sources.tables import table
 
 #: Categories in their own order, days of a feed, and what a collection's window reaches. Fixed values.
@@ -80,12 +81,18 @@ def admin_filter(rows: DataFrame, text: str, status: str | None = None, most: in
     return kept.orderBy(F.desc("start"), "id").limit(most)
 
 
+def wanted(categories: Iterable[str] = (), tiers: Iterable[str] = (), areas: Iterable[str] = (), query: str = "") -> Column:
+    """Whether a row is in the given sets and its title holds the words of the query; an empty one asks for nothing."""
+    out = F.lit(True)
+    for names, column in ((categories, lambda: F.col("category")), (tiers, lambda: X.price_tier(F.col("price"))), (areas, lambda: keys.area(F.col("city")))):
+        if names := list(names):
+            out = out & column().isin(names)
+    return out & X.matches(F.col("title"), query) if query else out
+
+
 def narrowed(rows: DataFrame, categories: Iterable[str] = (), tiers: Iterable[str] = (), areas: Iterable[str] = ()) -> DataFrame:
     """Rows in the given sets; an empty set asks for nothing."""
-    for names, column in ((categories, F.col("category")), (tiers, X.price_tier(F.col("price"))), (areas, keys.area(F.col("city")))):
-        if names := list(names):
-            rows = rows.where(column.isin(names))
-    return rows
+    return rows.where(wanted(categories, tiers, areas))
 
 
 def near(rows: DataFrame, lat: float, lng: float, miles: float) -> DataFrame:
@@ -96,16 +103,30 @@ def starting(rows: DataFrame, first: date, last: date) -> DataFrame:
     return rows.where(F.col("start_day").between(F.lit(first), F.lit(last))).orderBy("start", "id")
 
 
-def collection(rows: DataFrame, spec: CollectionSpec, day: date, now: str) -> DataFrame:
-    """What a collection shows at the wall time `now`, by start."""
-    rows = published(rows).where(F.col("start") >= now)
+def in_collection(spec: CollectionSpec, day: date, now: str) -> Column:
+    """Whether a collection shows a row at the wall time `now`."""
     if spec.window == "weekend":
         days = spans.weekend_of(day)
-        rows = rows.where(F.col("start_day").between(F.lit(days[0]), F.lit(days[-1])))
+        window = F.col("start_day").between(F.lit(days[0]), F.lit(days[-1]))
     else:
-        rows = rows.where(F.col("start_day") <= F.lit(day + timedelta(days=spec.days)))
-    rows = narrowed(rows, spec.categories, spec.tiers, spec.areas)
-    return (rows.where(X.matches(F.col("title"), spec.query)) if spec.query else rows).orderBy("start", "id")
+        window = F.col("start_day") <= F.lit(day + timedelta(days=spec.days))
+    return (F.col("status") == "published") & (F.col("start") >= now) & window & wanted(spec.categories, spec.tiers, spec.areas, spec.query)
+
+
+def collection(rows: DataFrame, spec: CollectionSpec, day: date, now: str) -> DataFrame:
+    """What a collection shows at the wall time `now`, by start."""
+    return rows.where(in_collection(spec, day, now)).orderBy("start", "id")
+
+
+def with_slugs(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """rows with `slug`, once for each condition that holds: one scan, whatever the number of lists."""
+    return rows.withColumn("slug", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in conditions.items()]))))
+
+
+def in_collections(rows: DataFrame, specs: Iterable[CollectionSpec], day: date, now: str) -> DataFrame:
+    """rows with the slug of each collection that shows them."""
+    alive = rows.where((F.col("status") == "published") & (F.col("start") >= now))
+    return with_slugs(alive, {s.slug: in_collection(s, day, now) for s in specs})
 
 
 def category_slug(category: str) -> str:
@@ -126,26 +147,63 @@ def resolve_feed(slug: str, venues: Iterable[str] = (), hoods: Iterable[str] = (
     return ("neighborhood", slug) if slug in set(hoods) else None
 
 
-def feed(rows: DataFrame, slug: str, day: date, venues: Iterable[str] = (), hood: Column | None = None, hoods: Iterable[str] = ()) -> DataFrame:
-    """What a feed holds, by start. hood: the column of a row's neighbourhood."""
+def in_feed(slug: str, day: date, venues: Iterable[str] = (), hood: Column | None = None, hoods: Iterable[str] = ()) -> Column:
+    """Whether a feed holds a row with its span (start_day, last_day); an unknown feed holds nothing. hood: a row's neighbourhood."""
     found = resolve_feed(slug, venues, hoods)
     if found is None:
-        return rows.limit(0)
+        return F.lit(False)
     kind, key = found
-    rows = with_span(rows)
     days = spans.weekend_of(day) if kind == "weekend" else [day, day + timedelta(days=FEED_DAYS)]
-    rows = rows.where((F.col("start_day") <= F.lit(days[-1])) & (F.col("last_day") >= F.lit(days[0])))
+    shown = (F.col("start_day") <= F.lit(days[-1])) & (F.col("last_day") >= F.lit(days[0]))
     if kind == "category":
-        rows = rows.where(F.col("category") == key)
-    elif kind == "collection":
+        return shown & (F.col("category") == key)
+    if kind == "collection":
         spec = next(c for c in COLLECTIONS if c.slug == key)
-        rows = narrowed(rows, spec.categories, spec.tiers, spec.areas)
-        rows = rows.where(X.matches(F.col("title"), spec.query)) if spec.query else rows
-    elif kind == "venue":
-        rows = rows.where(keys.slug(F.col("venue")) == key)
-    elif kind == "neighborhood":
-        rows = rows.where(hood == key)
-    return rows.orderBy("start", "id")
+        return shown & wanted(spec.categories, spec.tiers, spec.areas, spec.query)
+    if kind == "venue":
+        return shown & (keys.slug(F.col("venue")) == key)
+    return shown & (hood == key) if kind == "neighborhood" else shown
+
+
+def feed(rows: DataFrame, slug: str, day: date, venues: Iterable[str] = (), hood: Column | None = None, hoods: Iterable[str] = ()) -> DataFrame:
+    """What a feed holds, by start."""
+    return with_span(rows).where(in_feed(slug, day, venues, hood, hoods)).orderBy("start", "id")
+
+
+def in_feeds(rows: DataFrame, slugs: Iterable[str], day: date, venues: Iterable[str] = (), hood: Column | None = None, hoods: Iterable[str] = ()) -> DataFrame:
+    """rows with the slug of each feed that holds them."""
+    return with_slugs(with_span(rows), {s: in_feed(s, day, venues, hood, hoods) for s in slugs})
+
+
+def with_hood(rows: DataFrame, hoods: DataFrame) -> DataFrame:
+    """rows (id, lat, lng, ...) with `hood`: the nearest neighbourhood (position, centre, lat, lng, radius_km) that reaches them, else null."""
+    found = matching.nearest(rows.where("lat IS NOT NULL AND lng IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lng)").select("id", "lat", "lng"), hoods, "id")
+    return rows.join(found.select(F.col("id").alias("__id"), F.col("centre").alias("hood")), F.col("id") == F.col("__id"), "left").drop("__id")
+
+
+def feed_kinds(slugs: DataFrame, venues: DataFrame, hoods: DataFrame) -> DataFrame:
+    """(slug, kind, key) of each slug asked for; kind and key are null for those that name no feed. venues: slug; hoods: slug."""
+    s = F.col("slug")
+    fixed = {"this-weekend": ("weekend", "this-weekend")} | {category_slug(c): ("category", c) for c in CATEGORIES} | {c.slug: ("collection", c.slug) for c in COLLECTIONS}
+    known = F.create_map(*[x for name, (kind, key) in fixed.items() for x in (F.lit(name), F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key")))])
+    room = F.when(s.startswith("venue-"), F.substr(s, F.lit(7)))
+    j = slugs.select("slug").distinct().withColumns({"fixed": F.try_element_at(known, s), "room": room})
+    j = j.join(venues.select(F.col("slug").alias("v")).distinct(), F.col("room") == F.col("v"), "left").join(hoods.select(F.col("slug").alias("h")).distinct(), F.col("slug") == F.col("h"), "left")
+    kind = F.when(F.col("fixed").isNotNull(), F.col("fixed.kind")).when(F.col("room").isNotNull(), F.when(F.col("v").isNotNull(), "venue")).when(F.col("h").isNotNull(), "neighborhood")
+    key = F.when(F.col("fixed").isNotNull(), F.col("fixed.key")).when(kind == "venue", F.col("v")).when(kind == "neighborhood", F.col("h"))
+    return j.select("slug", kind.alias("kind"), key.alias("key"))
+
+
+def related_rows(rows: DataFrame, pool: DataFrame, most: int = 4) -> DataFrame:
+    """(id, kind, related, pos): for each of rows up to `most` of the pool at its venue (vkey), by start; where the venue has none, of its neighbourhood (hood).
+
+    A row is no relation of itself. Rows without venue or neighbourhood skip that step.
+    """
+    same = lambda key: related(rows.where(F.coalesce(key, F.lit("")) != ""), pool.where(F.coalesce(key, F.lit("")) != ""), key, most)
+    venue = same("vkey")
+    met = venue.select(F.col("id").alias("__met")).distinct()
+    rest = same("hood").join(met, F.col("id") == F.col("__met"), "left_anti")
+    return venue.select("id", F.lit("venue").alias("kind"), "related", "pos").unionByName(rest.select("id", F.lit("neighborhood").alias("kind"), "related", "pos"))
 
 
 def usual(rows: DataFrame, key: str, value: str, arrival: str) -> DataFrame:

@@ -125,11 +125,7 @@ def _collection_sql(c: CollectionSpec) -> str:
 def collection_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each collection shows: published, still to start, in its window, by its sets and search."""
     rows, now = listings(spark, sf_dir), today(spark, sf_dir)
-    picked = [reading.collection(rows, c, now, f"{now}T12:00").select(F.lit(c.slug).alias("slug"), "id") for c in COLLECTIONS]
-    out = picked[0]
-    for p in picked[1:]:
-        out = out.unionByName(p)
-    return out
+    return reading.in_collections(rows, COLLECTIONS, now, f"{now}T12:00").select("slug", "id")
 
 
 @query(QUERIES, SPANS + f""", p AS (SELECT * FROM spans, clock WHERE status = 'published'), w AS (SELECT * FROM p WHERE start_day <= today + {FEED_DAYS} AND last_day >= today),
@@ -140,11 +136,7 @@ def feed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What calendar feeds hold: 30 days by true span, or the days of the weekend."""
     rows, now = listings(spark, sf_dir).where("status = 'published'"), today(spark, sf_dir)
     named = ["this-weekend", *[reading.category_slug(c) for c in reading.CATEGORIES], "free-this-week", "venue-hall-7"]
-    picked = [reading.feed(rows, s, now, venues={"hall-7"}).select(F.lit(s).alias("slug"), "id") for s in named]
-    out = picked[0]
-    for p in picked[1:]:
-        out = out.unionByName(p)
-    return out
+    return reading.in_feeds(rows, named, now, venues={"hall-7"}).select("slug", "id")
 
 
 @query(QUERIES, LISTINGS + """ SELECT id, "start" FROM listings, clock WHERE status = 'published' AND url <> '' AND "start" >= """ + _NOW + """ AND start_day <= today + 7 AND NOT (start_day = today + 7 AND substr("start", 12) > '12:00') ORDER BY "start", id LIMIT 40""")
