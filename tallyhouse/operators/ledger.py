@@ -128,12 +128,15 @@ def verdict_actions(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("id", action.alias("action"), note.alias("note"))
 
 
-def apply_actions(rows: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(snapshot, audit): cancelled listings that are published change status; every action but a confirmation leaves an audit row."""
+def apply_actions(rows: DataFrame, actions: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, audit): cancelled listings that are published change status; a confirmation stamps verified_at with now, if given; every other action leaves an audit row."""
     a = actions.select(F.col("id").alias("of"), "action", "note")
     j = rows.join(a, F.col("id") == F.col("of"), "left")
     hit = (F.col("action") == "cancel") & (F.col("status") == "published")
-    snapshot = j.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), "cancelled").otherwise(F.col("status"))).select(*rows.columns)
+    snapshot = j.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), "cancelled").otherwise(F.col("status")))
+    if now is not None:
+        snapshot = snapshot.withColumn("verified_at", F.when(F.col("action") == "confirm", now).otherwise(F.col("verified_at")))
+    snapshot = snapshot.select(*rows.columns)
     return snapshot, a.where("action <> 'confirm'").select(F.col("of").alias("id"), F.concat(F.lit("verify_"), F.col("action")).alias("action"), "note")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyhouse.operators import categories
 from tallyhouse.operators.reading import CATEGORIES
@@ -55,3 +56,11 @@ def category_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings by category before and after a recategorisation."""
     return categories.recategorise(worded(spark, sf_dir), "title", "description", "venue", "category")[1]
+
+
+@query(QUERIES, _SCORED + ', m AS (SELECT category AS b, CASE WHEN confidence > 0 THEN chosen ELSE category END AS a FROM c) SELECT category, CAST(sum(x) AS BIGINT) AS "before", CAST(sum(y) AS BIGINT) AS "after", CAST(sum(z) AS BIGINT) AS moved_in FROM (SELECT b AS category, 1 AS x, 0 AS y, 0 AS z FROM m UNION ALL SELECT a, 0, 1, CASE WHEN a <> b THEN 1 ELSE 0 END FROM m) GROUP BY 1')
+def recategorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings by category before and after a recategorisation by content, and how many moved in."""
+    changes, tally = categories.recategorise(worded(spark, sf_dir), "title", "description", "venue", "category")
+    moved = changes.groupBy("after").agg(F.count("*").alias("moved_in"))
+    return tally.join(moved, F.col("category") == moved["after"], "left").select("category", "before", tally["after"], F.coalesce("moved_in", F.lit(0)).alias("moved_in"))

@@ -137,11 +137,11 @@ def report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERDICTS = "SELECT id, CASE CAST(id % 6 AS INT) WHEN 0 THEN 'cancelled' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'moved' WHEN 4 THEN 'sold_out' ELSE 'not_found' END AS verdict, CASE WHEN id % 6 = 0 THEN ' page says so ' ELSE ' ' END AS evidence, CASE WHEN id % 9 = 3 THEN '2024-01-01T20:00' END AS new_start FROM {}"
 
 
-@query(QUERIES, LISTINGS + f", v AS ({_VERDICTS.format('listings')}), a AS (SELECT id, CASE WHEN verdict = 'confirmed' THEN 'confirm' WHEN verdict = 'cancelled' AND trim(evidence) <> '' THEN 'cancel' ELSE 'flag' END AS action FROM v) SELECT l.id, CASE WHEN action = 'cancel' AND status = 'published' THEN 'cancelled' ELSE status END AS status FROM listings l JOIN a USING (id)")
+@query(QUERIES, LISTINGS + f", v AS ({_VERDICTS.format('listings')}), a AS (SELECT id, CASE WHEN verdict = 'confirmed' THEN 'confirm' WHEN verdict = 'cancelled' AND trim(evidence) <> '' THEN 'cancel' ELSE 'flag' END AS action FROM v) SELECT l.id, CASE WHEN action = 'cancel' AND status = 'published' THEN 'cancelled' ELSE status END AS status, CASE WHEN action = 'confirm' THEN 'now' ELSE 'before' END AS verified_at FROM listings l JOIN a USING (id)")
 def verified_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings after the verdicts of a check: only evidence cancels."""
-    rows = listings(spark, sf_dir)
-    return ledger.apply_actions(rows, ledger.verdict_actions(spark.sql(_VERDICTS.format("{rows}"), rows=rows)))[0].select("id", "status")
+    rows = listings(spark, sf_dir).withColumn("verified_at", F.lit("before"))
+    return ledger.apply_actions(rows, ledger.verdict_actions(spark.sql(_VERDICTS.format("{rows}"), rows=rows)), F.lit("now"))[0].select("id", "status", "verified_at")
 
 
 @query(QUERIES, LISTINGS + f", v AS ({_VERDICTS.format('listings')}) SELECT id, CASE WHEN id % 6 = 0 THEN 'verify_cancel' ELSE 'verify_flag' END AS action, CASE verdict WHEN 'cancelled' THEN CASE WHEN id % 6 = 0 THEN 'page says so' ELSE 'cancelled without evidence' END WHEN 'moved' THEN coalesce('source shows ' || new_start, 'time appears changed') WHEN 'sold_out' THEN 'sold out' ELSE 'source page not found' END AS note FROM v WHERE verdict <> 'confirmed'")

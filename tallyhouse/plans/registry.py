@@ -33,15 +33,16 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.missing(ids, listings(spark, sf_dir))
 
 
-@query(QUERIES, LISTINGS + " SELECT id, status, price FROM listings")
+@query(QUERIES, LISTINGS + " SELECT 'changed' AS state, id, CASE WHEN id IN (SELECT s_suppkey * 3 FROM supplier) THEN 'cancelled' ELSE status END AS status, price FROM listings UNION ALL SELECT 'restored', id, status, price FROM listings")
 def restored_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change undone by its backup: the listings as they were."""
+    """Listings after a change, and after it was undone by the backup taken before."""
     rows = listings(spark, sf_dir)
     ids = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
     before = registry.backup(rows, ids, ["status", "price"])
-    changed = rows.withColumn("status", F.when(F.col("id").isNotNull() & (F.col("id") % 3 == 0), "cancelled").otherwise(F.col("status")))
-    touched = changed.join(ids.distinct(), "id", "left_semi").unionByName(rows.join(ids.distinct(), "id", "left_anti"))
-    return registry.restore(touched, before).select("id", "status", "price")
+    named = ids.select(F.col("id").alias("of")).distinct()
+    changed = rows.join(named, F.col("id") == F.col("of"), "left").withColumn("status", F.when(F.col("of").isNotNull(), "cancelled").otherwise(F.col("status"))).drop("of")
+    state = lambda name, d: d.select(F.lit(name).alias("state"), "id", "status", "price")
+    return state("changed", changed).unionByName(state("restored", registry.restore(changed, before)))
 
 
 @query(QUERIES, LISTINGS + ", p AS (SELECT s_suppkey * 5 AS id, 'Pick ' || s_suppkey AS label, today - CAST(s_suppkey % 9 AS INT) AS starts, today + CAST(s_suppkey % 4 AS INT) - 2 AS ends FROM supplier, clock) SELECT id, label, CAST(row_number() OVER (ORDER BY starts DESC, id) AS INTEGER) AS pos FROM p, clock WHERE today BETWEEN starts AND ends AND id IN (SELECT id FROM listings WHERE status = 'published') ORDER BY pos LIMIT 2")

