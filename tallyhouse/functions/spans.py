@@ -42,12 +42,12 @@ def latest_wall(start: Column, end: Column, multi: Column) -> Column:
 
 def instant(wall: Column) -> Column:
     """The UTC instant of a wall string; the first of a repeated hour, an hour later for a skipped one."""
-    return F.to_utc_timestamp(F.to_timestamp(F.replace(wall, F.lit("T"), F.lit(" ")), "yyyy-MM-dd HH:mm"), ZONE)
+    return F.to_utc_timestamp(wall.cast("timestamp"), ZONE)
 
 
 def offset(wall: Column) -> Column:
     """-05:00 or -06:00."""
-    hours = F.round((F.unix_timestamp(F.to_timestamp(F.replace(wall, F.lit("T"), F.lit(" ")), "yyyy-MM-dd HH:mm")) - F.unix_timestamp(instant(wall))) / 3600).cast("int")
+    hours = F.round((F.unix_timestamp(wall.cast("timestamp")) - F.unix_timestamp(instant(wall))) / 3600).cast("int")
     return F.concat(F.lit("-0"), (-hours).cast("string"), F.lit(":00"))
 
 

@@ -29,9 +29,9 @@ def exclusion(title: Column, description: Column) -> Column:
 
 
 def shareability(rows: DataFrame) -> Column:
-    """2 for an address, 2 for a description over 40 characters, 2 for Friday to Sunday, 1 for free."""
+    """2 for an address, 2 for a description over 40 characters, 1 for an image on the web, 2 for Friday to Sunday, 1 for free."""
     one = lambda c, n: F.when(c, n).otherwise(0)
-    return one(F.col("url") != "", 2) + one(F.length("description") > 40, 2) + one(spans.weekday(F.col("start_day")).isin(0, 5, 6), 2) + one(X.price_tier(F.col("price")) == "Free", 1)
+    return one(F.col("url") != "", 2) + one(F.length("description") > 40, 2) + one(F.coalesce(F.col("image"), F.lit("")).startswith("http"), 1) + one(spans.weekday(F.col("start_day")).isin(0, 5, 6), 2) + one(X.price_tier(F.col("price")) == "Free", 1)
 
 
 def picked_pool(rows: DataFrame, now: str, until: str) -> DataFrame:

@@ -27,15 +27,12 @@ def calendar_text(text: Column) -> Column:
     return F.regexp_replace(marked, r"\r?\n", r"\\n")
 
 
-def utf8_bytes(c: Column) -> Column:
-    return F.octet_length(c)
-
-
 def fold_line(line: Column) -> Column:
     """A line in pieces of at most 75 bytes, each but the first begun by a blank. Characters stay whole.
 
-    An ordered fold over the characters; short lines, most of them, skip it.
+    Lines of one byte a character are sliced; others are folded character by character, if they are long.
     """
+    sliced = F.concat(F.left(line, F.lit(75)), F.regexp_replace(F.substr(line, F.lit(76)), "(?s)(.{1,74})", f"{CRLF} $1"))
     chars = F.filter(F.split(line, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("cur"))
 
@@ -43,7 +40,7 @@ def fold_line(line: Column) -> Column:
         full = F.octet_length(acc["cur"]) + F.octet_length(c) > 75
         return F.struct(F.when(full, F.concat(acc["done"], acc["cur"], F.lit(CRLF))).otherwise(acc["done"]).alias("done"), F.when(full, F.concat(F.lit(" "), c)).otherwise(F.concat(acc["cur"], c)).alias("cur"))
 
-    return F.when(F.octet_length(line) <= 75, line).otherwise(F.aggregate(chars, start, put, lambda acc: F.concat(acc["done"], acc["cur"])))
+    return F.when(F.octet_length(line) <= 75, line).when(F.octet_length(line) == F.length(line), sliced).otherwise(F.aggregate(chars, start, put, lambda acc: F.concat(acc["done"], acc["cur"])))
 
 
 def calendar_stamp(wall: Column) -> Column:

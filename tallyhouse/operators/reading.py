@@ -234,3 +234,14 @@ def affinity(saved: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Data
     place = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
     n = saved.groupBy("token", "category").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("n"), place)))
+
+
+def search_window(day: Column, days: int) -> tuple[Column, Column]:
+    """First and last day of a report over `days` days of search figures, which are final three days later."""
+    return F.date_add(day, -(days + 2)), F.date_add(day, -3)
+
+
+def season_names(day: Column) -> tuple[Column, Column]:
+    """A season's code of both years, and its label, the year in which it ends; seasons begin in July."""
+    first = F.year(day) - F.when(F.month(day) >= 7, 0).otherwise(1)
+    return F.concat(first.cast("string"), (first + 1).cast("string")), (first + 1).cast("bigint")

@@ -15,7 +15,7 @@ from tallyhouse.plans.fixture import LISTINGS, SPANS, listings, today
 from tallyhouse.sources.tables import table
 
 QUERIES: dict[str, Registered] = {}
-_SCORE = "(CASE WHEN url <> '' THEN 2 ELSE 0 END + CASE WHEN length(description) > 40 THEN 2 ELSE 0 END + CASE WHEN dayofweek(start_day) IN (0, 5, 6) THEN 2 ELSE 0 END + CASE WHEN price = 'Free' THEN 1 ELSE 0 END)"
+_SCORE = "(CASE WHEN url <> '' THEN 2 ELSE 0 END + CASE WHEN length(description) > 40 THEN 2 ELSE 0 END + CASE WHEN dayofweek(start_day) IN (0, 5, 6) THEN 2 ELSE 0 END + CASE WHEN price = 'Free' THEN 1 ELSE 0 END + CASE WHEN image LIKE 'http%' THEN 1 ELSE 0 END)"
 _POOL = LISTINGS + f""", pool AS (SELECT l.*, today, {_SCORE} AS score, row_number() OVER (ORDER BY {_SCORE} DESC, "start", title, id) AS pos FROM listings l, clock WHERE status = 'published' AND "start" >= strftime(today, '%Y-%m-%d') || 'T12:00' AND "start" <= strftime(today + 7, '%Y-%m-%d') || 'T12:00')"""
 
 

@@ -43,7 +43,7 @@ def days_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUERIES, LISTINGS + " SELECT status, category, count(*) AS n FROM listings GROUP BY ALL")
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings(spark, sf_dir).groupBy("status", "category").agg(F.count("*").alias("n"))
+    return listings(spark, sf_dir).groupBy("status", "category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "status", "category")
 
 
 @query(QUERIES, LISTINGS + ", s AS (SELECT DISTINCT l_suppkey % 150 AS token, l_orderkey AS id FROM lineitem), u AS (SELECT 't' || token AS saver, token FROM s GROUP BY ALL) SELECT token, l.id, row_number() OVER (PARTITION BY token ORDER BY l.\"start\", l.id) AS pos FROM s JOIN listings l USING (id), clock WHERE status = 'published' AND start_day BETWEEN today AND today + 13 QUALIFY pos <= 5")

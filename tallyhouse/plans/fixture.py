@@ -47,6 +47,7 @@ COLUMNS = {
     "url": _case("o_orderkey % 4", ["'https://www.ticketmaster.com/e/' || CAST(o_orderkey AS STRING)", "'https://venue' || CAST(o_custkey % 29 AS STRING) || '.example/cal?id=' || CAST(o_orderkey AS STRING)", "''"], "'http://tickets.example/' || CAST(o_orderkey AS STRING)"),
     "description": _case("o_orderkey % 3", ["'Doors, music and food trucks at ' || CAST(o_custkey AS STRING) || '; bring friends, bring chairs, stay late.'", "'Short'"], "''"),
     "created_day": f"{_DAY} - CAST(o_orderkey % 40 AS INT)",
+    "image": _case("o_orderkey % 3", ["'https://img.example/' || CAST(o_orderkey AS STRING)", "''"], "'data:image'"),
 }
 LISTINGS = "WITH listings AS (SELECT " + ", ".join(f"{e} AS {n}" if n != "start" else f'{e} AS "start"' for n, e in COLUMNS.items()) + " FROM orders), clock AS (SELECT max(start_day) - 30 AS today FROM listings)"
 #: CTE `spans` adds last_day (of the true span), n_days and capped_last (the start day beyond 14 days).

@@ -329,3 +329,111 @@ def test_run_titles_on_random_strings(spark):
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))) for i in range(3000)]
     got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, t string").select("i", run_title(F.col("t")).alias("s")).collect()}
     assert got == {i: plain_run_title(t) for i, t in rows}
+
+
+def test_lists_of_readers_exclude_each_other(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.operators import curation
+
+    rng = random.Random(21)
+    rows = [(i, rng.choice("abc"), rng.choice(["family", "weird", "music", "arts"]), rng.choice(["", " Hall", "hall", "Club", "Park"]), f"2026-01-{rng.randint(1, 5):02d}T{rng.randint(8, 20):02d}:00", rng.randint(0, 3), f"t{rng.randint(0, 3)}") for i in range(200)]
+    pool = spark.createDataFrame(rows, "id int, reader string, category string, venue string, start string, score int, title string")
+    pool = pool.withColumn("order", F.struct((-F.col("score")).alias("s"), "start", "title", "id")).withColumn("start_day", F.to_date(F.left("start", F.lit(10))))
+    lists = curation.week_lists(pool, "reader", 4)
+    got = sorted((r.reader, r.list, r.pos, r.id) for r in lists.collect())
+    digest = sorted((r.reader, r.pos, r.id) for r in curation.digest_list(lists, "reader", 5).collect())
+    want, want_digest = [], []
+    for reader in "abc":
+        own = sorted((r for r in rows if r[1] == reader), key=lambda r: (-r[5], r[4], r[6], r[0]))
+        order, taken = [], set()
+        for category, name in (("family", "family"), ("weird", "unique")):
+            if first := next((r for r in own if r[2] == category), None):
+                order.append((name, 1, first))
+                taken.add(first[0])
+        venues, days, n = set(), Counter(), 0
+        for r in own:
+            v, d = r[3].strip().lower(), r[4][:10]
+            if n == 4 or r[0] in taken or v and v in venues or days[d] == 2:
+                continue
+            n += 1
+            venues.add(v)
+            days[d] += 1
+            order.append(("regular", n, r))
+        want += [(reader, name, pos, r[0]) for name, pos, r in order]
+        place = {"family": 1, "unique": 2, "regular": 3}
+        few = sorted(order[:5], key=lambda x: (x[2][4], place[x[0]], x[2][0]))
+        want_digest += [(reader, k, r[0]) for k, (_, _, r) in enumerate(few, 1)]
+    assert got == sorted(want)
+    assert digest == sorted(want_digest)
+
+
+def test_official_links(spark):
+    from tallyhouse.operators import links
+
+    registry = spark.createDataFrame([("tickets.example",), ("co.uk",)], "host string")
+    cases = [
+        ("https://tickets.example/1", "https://www.AllianzField.com/x", "Allianz Field", ("https://www.AllianzField.com/x", "official", "https://tickets.example/1")),
+        ("https://allianzfield.com/buy", "https://allianzfield.com/x", "Allianz Field", ("https://allianzfield.com/buy", "tickets", None)),
+        ("", "https://allianzfield.com/x", "Allianz Field", ("https://allianzfield.com/x", "official", None)),
+        ("", "https://allianz.tickets.example/x", "Allianz Field", (None, None, None)),
+        ("", "https://field.com/x", "The Field Park", (None, None, None)),
+        (None, None, None, (None, None, None)),
+        (" https://other.example ", "no address", "Allianz", ("https://other.example", "tickets", None)),
+        ("", "https://notickets.example/allianz", "Allianz", (None, None, None)),
+        ("https://a.b.co.uk/1", "https://b.co.uk/", "Bbbb Hall", ("https://a.b.co.uk/1", "tickets", None)),
+    ]
+    rows = spark.createDataFrame([(i, t, s, v) for i, (t, s, v, _) in enumerate(cases)], "id int, ticket string, source string, venue string")
+    got = {r.id: (r.primary, r.kind, r.secondary) for r in links.official_links(rows, registry).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
+
+
+def test_titles_of_one_show_are_those_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.operators import feeds
+
+    rng = random.Random(22)
+    words = ["jazz", "blues", "loud", "quiet", "river", "stone", "king", "foo", "ab", "the", "live", "rowdy", "Ørsted"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+    side = lambda n: feeds._shown(spark.createDataFrame([(title(), "r") for _ in range(n)], "title string, venue string")).select(F.concat_ws("|", "whole", F.array_join("words", " ")).alias("key"), "whole", "words").distinct()
+    left, right = side(120), side(120)
+    a, b = [tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()]
+
+    def same(x, y):
+        shared = set(x[2]) & set(y[2])
+        n = min(len(x[2]), len(y[2]))
+        return x[1] != "" and x[1] == y[1] or n > 0 and len(shared) / n >= feeds.SHARE and any(len(w) >= feeds.WORD for w in shared)
+
+    met = feeds.same_titles(left, right).collect()
+    assert {(r.l, r.r) for r in met} == {(x[0], y[0]) for x in a for y in b if same(x, y)}
+    assert len(met) == len(set(met))
+
+
+def test_the_report_without_runs_or_with_trouble(spark):
+    from tallyhouse.operators import report
+
+    floors = {"music": 6, "arts": 2}
+    base = "0L AS view7, 0L AS view_before, 5L AS ticket_click7, 0L AS ticket_click_before, 3L AS save7, 2L AS save_before, 1L AS calendar7, 1L AS calendar_before, 9L AS top_viewed, 0L AS trending, 10L AS urls, 8L AS urls_before, 3L AS subscribed, 1L AS subscribed7"
+    run = "named_struct('started', {0}, 'seconds', {1}, 'ok', {2}, 'error', {3}, 'upserted', 5, 'collapsed', {4}, 'collapsed_runs', 1, 'archived', 7)"
+    kind = "array<struct<started: int, seconds: int, ok: boolean, error: string, upserted: int, collapsed: int, collapsed_runs: int, archived: int>>"
+
+    def lines(runs, more):
+        facts = spark.sql(f"SELECT cast(array({', '.join(runs)}) AS {kind}) AS runs, {base}, 6L AS week_music, 1L AS week_arts, 2L AS verified7, 0L AS never_verified, {more}")
+        return {r.section: (r.lines, r.alert) for r in report.sections(facts, floors).collect()}
+
+    none = lines([], "cast(null AS int) AS digest_age, cast(array() AS array<struct<n: bigint, slug: string>>) AS feeds, 0L AS submissions, 0L AS reports, cast(null AS int) AS oldest_report")
+    assert none["pipeline"] == ("no runs recorded yet", True)
+    assert none["coverage"] == ("arts 1/2", True)
+    assert none["engagement"][0].startswith("view 0 (±0%), ticket_click 5 (new)\nsave 3 (+50% WoW), calendar 1 (±0%)")
+    assert none["subscribers"] == ("3 subscribed (+1 in 7 days)\nno digest sent yet", False)
+    assert none["queue"] == ("nothing waiting", False) and none["feeds"][1] is False and len(none) == 9
+    some = "9 AS digest_age, array(named_struct('n', 2L, 'slug', 'a')) AS feeds, 1L AS submissions, 2L AS reports, 4 AS oldest_report"
+    killed = lines([run.format(3, "cast(null AS int)", "false", "null", 5), run.format(2, 10, "true", "null", 5)], some)
+    assert killed["pipeline"] == ("the last run was killed or is not complete", True)
+    assert killed["queue"] == ("1 submission waiting\n2 reports waiting\nthe oldest report is 4 days old", True)
+    assert killed["subscribers"][1] and killed["feeds"][0] == "2 subscriptions in 7 days\na: 2"
+    spiked = lines([run.format(3, 70, "true", "null", 90), run.format(2, 10, "true", "null", 20), run.format(1, 9, "false", "'x'", 400)], some)
+    assert spiked["pipeline"] == ("ok: 5 upserted (±0), 90 deduped (+70), 1 collapsed (±0), 7 archived (±0)\ntook 1m 10s\nstampede check: far more was archived or deduped than in recent runs", True)
+    failed = lines([run.format(3, 70, "false", "'boom'", 1)], some)
+    assert failed["pipeline"] == ("the last run failed: boom", True)
