@@ -2,10 +2,12 @@
 
 A dictionary is text of its class: the segments (words and pieces of words) that most set one class of labelled texts apart from the other, after
 what is common in both, as COVER picks segments by how many samples they cover, less what they cover of the other class. The toxic one takes what is toxic beyond doubt; the ordinary
-one, as no segment can be shown to be missing from a few toxic texts, the best of its class until it is as long as the toxic one. A text is cut into
+one, as no segment can be shown to be missing from a few toxic texts, the best of its class until it is as long as the toxic one; but none that shares MATCH bytes with a toxic segment, or
+it would compress toxic words as well. A text is cut into
 windows of WINDOW words, one every STEP words; each is compressed with either dictionary, and its excess is length with the ordinary
 dictionary less length with the toxic one. The threshold for a window is calibrated: the 99.8 % quantile of the
-excess in ordinary labelled texts; so is the evidence of each excess, its log ratio of rates in toxic and ordinary texts. A logistic curve
+excess in ordinary labelled texts; so is the evidence of each excess, its log ratio of rates in toxic and ordinary texts, where a window that suits the ordinary
+dictionary counts as one that suits neither: else a long ordinary text around them would outweigh a few toxic words. A logistic curve
 fitted on the labelled texts turns the evidence of all windows of a text, how many are over the threshold and what share of them, into a score between 0 and 1.
 
 Learning takes at most SAMPLE labelled texts of each class, those of the least hash of doc_id: the bound is a
@@ -41,6 +43,8 @@ WINDOW, STEP = 4, 2
 PIECE = 24
 #: Segments of a dictionary, the least ratio of each to the other class by its lower bound, and the least texts of its class that have it.
 SEGMENTS, LEAST_RATIO, LEAST_TEXTS = 4000, 4.0, 5
+#: Bytes that the compressor matches at least.
+MATCH = 5
 #: Standard errors that the lower bound of a ratio lies below it, for toxic and for ordinary segments.
 ERRORS, ORDINARY_ERRORS = 1.5, 0.5
 #: Follows each window and stands in both dictionaries: bytes that no text has, as a window's last 8 bytes are not searched.
@@ -70,13 +74,16 @@ def segments(text: bytes | None) -> set[bytes]:
     return out
 
 
-def pick_segments(best_first: Iterable[bytes], most: int = SEGMENTS, size: int | None = None) -> list[bytes]:
-    """The first of them, none within another, until there are `most`, or `size` bytes."""
+def pick_segments(best_first: Iterable[bytes], most: int = SEGMENTS, size: int | None = None, apart: bytes = b"") -> list[bytes]:
+    """The first of them, none within another and none with MATCH bytes in common with `apart`, until there are `most`, or `size` bytes."""
     out: list[bytes] = []
     chosen, joined, held = set(), b"", 0
     for s in best_first:
         if len(out) == most or size is not None and held >= size:
             break
+        bare = s.strip()
+        if apart and any(bare[j : j + MATCH] in apart for j in range(max(1, len(bare) - MATCH + 1))):
+            continue
         if s in joined or any(s[i:j] in chosen for i in range(len(s)) for j in range(i + 1, len(s) + 1)):
             continue
         out.append(s)
@@ -98,7 +105,7 @@ class Meter:
             # the deepest search finds the longest match; literals under 63 bytes stay as they are,
             # so a window's length is its bytes without match and 2 or 3 for a match
             log = max(17, (2 * len(content)).bit_length())  # the whole dictionary is in reach
-            parameters = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=log, hash_log=log, chain_log=log, search_log=9, min_match=5, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
+            parameters = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=log, hash_log=log, chain_log=log, search_log=9, min_match=MATCH, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
             held = zstandard.ZstdCompressionDict(CARRIER + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters))
 
@@ -204,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return (bytes(r.segment) for r in rows.toLocalIterator())  # a partition at a time, until the dictionary is full
 
     of_toxic = pick_segments(best(1, ERRORS, LEAST_RATIO))
-    of_ordinary = pick_segments(best(0, ORDINARY_ERRORS, 1.0), size=sum(map(len, of_toxic)))
+    of_ordinary = pick_segments(best(0, ORDINARY_ERRORS, 1.0), size=sum(map(len, of_toxic)), apart=b"".join(reversed(of_toxic)))
     dictionaries = [b"".join(reversed(x)).ljust(8, b"\x00") for x in (of_toxic, of_ordinary)]
     # what is common in either class goes into both, so that only what sets them apart makes a difference
     common = shares.where((F.least("p0", "p1") >= LEAST_COMMON) & (F.greatest("p0", "p1") < 2 * F.least("p0", "p1"))).orderBy(F.desc(F.least("p0", "p1") * F.length("segment")), "segment").limit(COMMON)
@@ -225,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     upto = np.cumsum(by_class[0]) / max(1, by_class[0].sum())
     threshold = int(np.searchsorted(upto, QUANTILE)) - LARGEST
     evidence = np.log(rates[1] / rates[0])
+    evidence[:LARGEST] = evidence[LARGEST]
     table = measured.toPandas()  # at most 2 * sample rows of 2 * LARGEST + 2 numbers
     counts = np.array(table["counts"].tolist(), np.int64)
     x, y = features(counts, evidence, threshold), table["toxic"].to_numpy().astype(float)

@@ -695,6 +695,7 @@ def test_toxicity_without_segments_of_a_class(spark):
 def test_segments_are_picked_once():
     assert toxicity.pick_segments([b" abc ", b"abc", b"zz abc ", b"x", b" ab", b"yy"]) == [b" abc ", b"x", b"yy"]
     assert toxicity.pick_segments([b"one", b"two", b"three"], size=4) == [b"one", b"two"]
+    assert toxicity.pick_segments([b" mente ", b"xbomex", b"bome", b"comen"], apart=b" bomente ") == [b"xbomex", b"comen"]
 
 
 def test_toxicity_learns_words_of_a_rare_language(spark):
