@@ -46,7 +46,7 @@ KEY = 3
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Text bytes of which the positions are held at once.
 BLOCK_BYTES = 1 << 20
-#: Most buckets of either kind: so many hold what the distinct pairs of any corpus come to.
+#: Most buckets of either kind. Distinct pairs of natural text grow slower than the text; beyond this many buckets they grow instead, and with them a task's memory.
 MOST_BUCKETS = 4096
 #: Rows of a bucket that one task merges or answers.
 FAN = 256

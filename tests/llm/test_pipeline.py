@@ -67,7 +67,7 @@ def test_queries_with_sql_agree(spark):
     from tallyhouse.llm.queries import oracle_sql
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         got = queries()[name](spark, SF)
