@@ -12,7 +12,7 @@ from tallyhouse.operators.outputs import BASE_URL
 from tallyhouse.plans.base import Registered, query
 from tallyhouse.plans.categories import _SCORED
 from tallyhouse.plans.curation import _DETAILS, PLACES, _places
-from tallyhouse.plans.fixture import LISTINGS, WORDED, listings, worded
+from tallyhouse.plans.fixture import LISTINGS, listings, worded
 from tallyhouse.plans.hoods import _VALUES, _hoods
 from tallyhouse.sources.tables import table
 
