@@ -113,4 +113,4 @@ def cluster(rows: DataFrame, k: int = 16, rounds: int = 3, dims: int = 64, scale
     named = [(i, int(inertia.get(i, 0)), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
     of = spark.createDataFrame(named, "of int, cluster_inertia bigint, centroid_sha256 string")
     # k rows
-    return assigned.join(F.broadcast(of), F.col("cluster") == F.col("of")).select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(int(sum(inertia.values()))).alias("inertia"), "centroid_sha256")
+    return assigned.join(F.broadcast(of), F.col("cluster") == F.col("of")).select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(int(sum(inertia.values()))).cast("bigint").alias("inertia"), "centroid_sha256")
