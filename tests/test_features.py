@@ -437,3 +437,22 @@ def test_the_report_without_runs_or_with_trouble(spark):
     assert spiked["pipeline"] == ("ok: 5 upserted (±0), 90 deduped (+70), 1 collapsed (±0), 7 archived (±0)\ntook 1m 10s\nstampede check: far more was archived or deduped than in recent runs", True)
     failed = lines([run.format(3, 70, "false", "'boom'", 1)], some)
     assert failed["pipeline"] == ("the last run failed: boom", True)
+
+
+def test_saves_of_recipients_are_not_shuffled_once_they_are_paired(spark):
+    from tallyhouse.operators.desk import saves_of_recipients
+
+    recipients = spark.sql("SELECT id AS recipient, IF(id % 4 > 0, id % 3, NULL) AS token FROM range(40)")
+    saved = spark.sql("SELECT id % 5 AS token, id % 11 AS id FROM range(200)")
+    rows = spark.sql("SELECT id, concat('at ', id) AS start FROM range(9)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = saves_of_recipients(recipients, saved, rows)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        result = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    first = next(line for line in plan.splitlines() if "Join" in line or "Exchange" in line)
+    assert "Join" in first and "token" in first
+    assert result == sorted((r, i, f"at {i}") for r in range(40) if r % 4 for i in range(9) if any(k % 5 == r % 3 and k % 11 == i for k in range(200)))
