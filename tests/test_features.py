@@ -456,3 +456,65 @@ def test_saves_of_recipients_are_not_shuffled_once_they_are_paired(spark):
     first = next(line for line in plan.splitlines() if "Join" in line or "Exchange" in line)
     assert "Join" in first and "token" in first
     assert result == sorted((r, i, f"at {i}") for r in range(40) if r % 4 for i in range(9) if any(k % 5 == r % 3 and k % 11 == i for k in range(200)))
+
+
+def _trigrams(text):
+    import re
+
+    return {f"  {w} "[i : i + 3] for w in re.split(r"[\W_]+", text.lower()) if w for i in range(len(w) + 1)}
+
+
+def _similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+@pytest.mark.parametrize("blocks, titles", [(3, 500), (40, 12)])
+def test_links_match_a_plain_loop_whether_texts_come_back_in_many_blocks_or_not(spark, blocks, titles):
+    import random
+
+    from tallyhouse.operators import matching
+
+    rng = random.Random(blocks)
+    words = "ann bob jazz rock night show fest the of cat cats dog dogs owl".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(titles)] + ["", "!!"]
+    rows = [(i, rng.choice([None, *range(blocks - 1)]), rng.choice(texts), rng.randint(0, 9)) for i in range(420)]
+    frame = spark.createDataFrame(rows, "id int, day int, title string, at int")
+    classes = matching.text_classes(frame, ["day"], ["id"], "title")
+    assert (matching.near_texts(classes, ["day"], 0.4) is None) == (blocks == 3)
+    near = {(a, b): _similarity(_trigrams(a), _trigrams(b)) for a in texts for b in texts}
+    links = {i: sum(j != i and e == d and near[t, u] > 0.4 for j, e, u, _ in rows) for i, d, t, _ in rows}
+    assert {r.id: r.links for r in matching.linked(frame, ["day"], ["id"], "title", 0.4).collect()} == links
+    pairs = sorted((x, i, j, round(near[t, u], 6)) for i, d, t, x in rows for j, e, u, _ in rows if i < j and d == e and near[t, u] > 0.4)
+    got = matching.review_pairs(frame, ["day"], ["id"], "at", "title", 0.4, 50).collect()
+    assert [(r.keep_id, r.dup_id, round(r.similarity, 6)) for r in got] == [p[1:] for p in pairs[:50]]
+
+
+@pytest.mark.parametrize("crowd", [0, 1000])
+def test_near_listings_on_large_cells_match_a_plain_loop(spark, monkeypatch, crowd):
+    import math
+    import random
+
+    from tallyhouse.operators import matching
+
+    monkeypatch.setattr(matching, "CROWD", crowd)
+    rng = random.Random(5)
+    words = "ann bob jazz rock night show".split()
+    # around borders of cells, the pole and the date line
+    spots = [(la + rng.uniform(-0.004, 0.004), ln + rng.uniform(-0.004, 0.004)) for la, ln in [(45.0, -93.0), (0.0, 180.0), (0.0, -180.0), (44.98, -93.02), (89.9999, 10.0)] for _ in range(12)]
+    spots = [(min(la, 90.0), ln) for la, ln in spots] + [(None, None)]
+    rows = [(i, rng.randint(0, 1), " ".join(rng.choices(words, k=2)), *rng.choice(spots), rng.randint(0, 5)) for i in range(240)]
+
+    def metres(a, b):
+        (p, x), (q, y) = ((math.radians(v) for v in s) for s in (a, b))
+        return 6371000.0 * math.acos(max(-1.0, min(1.0, math.cos(p) * math.cos(q) * math.cos(y - x) + math.sin(p) * math.sin(q))))
+
+    pairs = set()
+    for i, d, t, *at, c in rows:
+        for j, e, u, *to, k in rows:
+            if d == e and (c, i) < (k, j) and None not in (*at, *to) and _similarity(_trigrams(t), _trigrams(u)) > 0.6 and metres(at, to) < 250:
+                pairs.add((i, j))
+    dups = {j for _, j in pairs}
+    frame = spark.createDataFrame(rows, "id int, start_day int, title string, lat double, lng double, created_day int")
+    got = [(r.keep_id, r.dup_id) for r in matching.near_listings(frame, 0.6, 250.0).collect()]
+    assert len(got) == len(set(got)) > 20
+    assert set(got) == {p for p in pairs if p[0] not in dups}
