@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.sources.shared import shared_folder
 
@@ -518,3 +519,16 @@ def test_near_listings_on_large_cells_match_a_plain_loop(spark, monkeypatch, cro
     got = [(r.keep_id, r.dup_id) for r in matching.near_listings(frame, 0.6, 250.0).collect()]
     assert len(got) == len(set(got)) > 20
     assert set(got) == {p for p in pairs if p[0] not in dups}
+
+
+def test_verdicts_and_kept_saves_stay_dealt_to_many_tasks(spark):
+    from tallyhouse.operators import desk
+
+    replies = spark.sql("""SELECT concat('[{"id": "', id, '"}]') AS reply FROM range(400)""")
+    verdicts = desk.replied_verdicts(replies, spark.sql("SELECT CAST(id AS STRING) AS id FROM range(200)"))
+    saved = spark.sql("SELECT id % 7 AS token, id, date '2024-01-01' AS since FROM range(400)")
+    people = spark.sql("SELECT 'a' AS email, 'subscribed' AS status, 3L AS token")
+    kept, _ = desk.keep_links(saved, people, spark.sql("SELECT 'a' AS email, 99L AS token"))
+    for rows, n in ((verdicts, 200), (kept, 400 + 57)):
+        got = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert len(got) == 4 and sum(r["count"] for r in got) == n
