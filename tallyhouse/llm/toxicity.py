@@ -7,7 +7,8 @@ it would compress toxic words as well. A text is cut into
 windows of WINDOW words, one every STEP words; each is compressed with either dictionary, and its excess is length with the ordinary
 dictionary less length with the toxic one. The threshold for a window is calibrated: the 99.8 % quantile of the
 excess in ordinary labelled texts; so is the evidence of each excess, its log ratio of rates in toxic and ordinary texts, where a window that suits the ordinary
-dictionary counts as one that suits neither: else a long ordinary text around them would outweigh a few toxic words. A logistic curve
+dictionary counts as one that suits neither: else a long ordinary text around them would outweigh a few toxic words. A window that shares no MATCH bytes with
+what only one dictionary holds tells nothing: its excess is 0, and it is not compressed. A logistic curve
 fitted on the labelled texts turns the evidence of all windows of a text, how many are over the threshold and what share of them, into a score between 0 and 1.
 
 Learning takes at most SAMPLE labelled texts of each class, those of the least hash of doc_id: the bound is a
@@ -23,6 +24,7 @@ score is 0; repeated rows are scored each; other columns of docs pass through, b
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -52,6 +54,8 @@ CARRIER = bytes(range(192, 224))
 #: Segments common to both classes that either dictionary starts with.
 COMMON, LEAST_COMMON = 3000, 0.004
 CUTOFF = 0.3
+#: Windows of which a task remembers the excess.
+REMEMBERED = 1 << 17
 #: Of windows in ordinary texts, the share that stays under the threshold; the largest excess told apart.
 QUANTILE, LARGEST = 0.998, 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -93,6 +97,13 @@ def pick_segments(best_first: Iterable[bytes], most: int = SEGMENTS, size: int |
     return out
 
 
+def runs(text: bytes) -> np.ndarray:
+    """Each run of MATCH bytes as a number, by where it begins."""
+    n = max(0, len(text) - MATCH + 1)
+    eight = np.ndarray(n, "<u8", text + bytes(8), strides=(1,))
+    return eight & np.uint64((1 << 8 * MATCH) - 1)
+
+
 class Meter:
     """Excess of windows: length with the ordinary dictionary less length with the toxic one.
 
@@ -108,13 +119,50 @@ class Meter:
             parameters = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=log, hash_log=log, chain_log=log, search_log=9, min_match=MATCH, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
             held = zstandard.ZstdCompressionDict(CARRIER + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.packers.append(zstandard.ZstdCompressor(dict_data=held, compression_params=parameters))
+        alike = max(0, len(os.path.commonprefix([toxic, ordinary])) - MATCH + 1)
+        self.own = np.unique(np.concatenate([runs(x[alike:]) for x in (toxic, ordinary)]))
+        self.maybe = np.zeros(1 << 18, bool)
+        self.maybe[self._slot(self.own)] = True
+        self.known: dict[bytes, int] = {}
+
+    @staticmethod
+    def _slot(run: np.ndarray) -> np.ndarray:
+        return (run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
     def excess(self, pieces: list[bytes]) -> np.ndarray:
         one, two = (p.compress for p in self.packers)
-        return np.array([len(one(x + CARRIER)) - len(two(x + CARRIER)) for x in pieces], np.int64)
+        known = self.known
+        out = np.empty(len(pieces), np.int64)
+        for k, x in enumerate(pieces):
+            e = known.get(x)
+            if e is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                e = known[x] = len(one(x + CARRIER)) - len(two(x + CARRIER))
+            out[k] = e
+        return out
+
+    def telling(self, text: bytes | None) -> tuple[int, list[bytes]]:
+        """How many windows a text has, and those with MATCH bytes that only one dictionary holds."""
+        words = text.translate(_LOWER).split() if text else []
+        if not words:
+            return 0, []
+        joined = b" %b " % b" ".join(words)
+        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        first = np.arange(0, max(1, len(words) - WINDOW + STEP), STEP)
+        begin, end = blanks[first], blanks[np.minimum(first + WINDOW, len(words))] + 1
+        run = runs(joined)
+        at = np.flatnonzero(self.maybe[self._slot(run)])
+        found = run[at]
+        at = at[self.own[np.minimum(np.searchsorted(self.own, found), len(self.own) - 1)] == found]
+        tells = np.searchsorted(at, begin) < np.searchsorted(at, end - MATCH, "right")
+        return len(first), [joined[i:j] for i, j in zip(begin[tells].tolist(), end[tells].tolist(), strict=True)]
 
     def counts(self, text: bytes | None) -> np.ndarray:
-        return histogram(self.excess(windows(text)))
+        n, pieces = self.telling(text)
+        out = histogram(self.excess(pieces))
+        out[LARGEST] += n - len(pieces)
+        return out
 
 
 def histogram(excess: np.ndarray) -> np.ndarray:

@@ -683,6 +683,26 @@ def test_toxicity_has_a_dictionary_of_each_class(spark):
     assert meter.excess([b" quaxil grumblex "])[0] > 0 > min(meter.excess([f" {w} ".encode()])[0] for w in kinds[0])
 
 
+def test_toxicity_compresses_windows_that_tell_something():
+    class Never:
+        def compress(self, data):
+            raise AssertionError(data)
+
+    common = b" harbour lantern and the old "
+    own = (b" zorkmid quaxil ", b" meadow orchard ")
+    meter = toxicity.Meter(common + own[0], common + own[1])
+    rng = random.Random(16)
+    words = ["harbour", "lantern", "and", "the", "old", "Zorkmid", "meadow", "xil", "\u00e9t\u00e9"]
+    runs = {x[i : i + 5] for x in (common[-4:] + o for o in own) for i in range(len(x) - 4)}
+    for k in (0, 1, 2, 3, 4, 5, 6, 7, 60):
+        text = "\t".join(rng.choice(words) for _ in range(k)).encode()
+        windows = toxicity.windows(text)
+        assert meter.telling(text) == (len(windows), [w for w in windows if any(w[i : i + 5] in runs for i in range(len(w) - 4))])
+        assert meter.counts(text).tolist() == toxicity.histogram(meter.excess(windows)).tolist()
+    meter.packers = [Never(), Never()]
+    assert meter.counts(b"a lantern and the harbour " * 9)[toxicity.LARGEST] == len(toxicity.windows(b"a lantern and the harbour " * 9))
+
+
 def test_toxicity_without_segments_of_a_class(spark):
     rng = random.Random(15)
     rows = [(i, " ".join(rng.choice("abc") * 5 for _ in range(30)), i % 2) for i in range(60)]
