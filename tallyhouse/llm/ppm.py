@@ -27,7 +27,9 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,8 @@ KEY = 3
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Text bytes of which the positions are held at once.
 BLOCK_BYTES = 1 << 20
+#: Distinct codes of blocks that wait to be merged.
+HELD = 1 << 20
 #: Most buckets of either kind. Distinct pairs of natural text grow slower than the text; beyond this many buckets they grow instead, and with them a task's memory.
 MOST_BUCKETS = 4096
 #: Rows of a bucket that one task merges or answers.
@@ -124,67 +128,82 @@ def make_chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNKS)
 
 
-def positions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each byte to code: its code, and how many of them each text has. A code is the context, its last byte highest, and the symbol in the lowest byte."""
+def tagged(texts: list[bytes], tags: np.ndarray) -> np.ndarray:
+    """Ascending, a number for each byte to code: the context, its last byte highest, then the symbol, then the tag (a byte) of its text."""
     bodies = [END * ORDER + t + (STOP if t else b"") + END for t in texts]
-    lengths = np.array([len(x) - ORDER for x in bodies])
-    raw = np.frombuffer(b"".join(bodies), np.uint8)
-    at = np.ones(len(raw), bool)
-    starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
-    for k in range(ORDER):
-        at[starts + k] = False
-    code = raw.astype(np.uint64)
-    for k in range(1, ORDER + 1):
-        code[k:] |= raw[:-k].astype(np.uint64) << np.uint64(8 * (8 - k))
-    return code[at], lengths
-
-
-def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of BLOCK_BYTES or so."""
+    lengths = np.array([len(x) for x in bodies])
+    at = np.ones(lengths.sum(), bool)
+    at[((np.cumsum(lengths) - lengths)[:, None] + np.arange(ORDER)).ravel()] = False
+    # eight bytes up to each position, the last one highest
+    eight = np.ndarray(len(at), "<u8", bytes(7) + b"".join(bodies), strides=(1,))[at]
+    out = (eight << np.uint64(8)) & np.uint64(0xFFFFFFFFFFFF0000)
+    out |= (eight >> np.uint64(56)) << np.uint64(8)
+    out |= np.repeat(tags.astype(np.uint64), lengths - ORDER)
+    out.sort()
+    return out
+
+
+def codes_of(keys: np.ndarray) -> np.ndarray:
+    """A code is the context, its last byte highest, and the symbol in the lowest byte."""
+    return (keys & np.uint64(0xFFFFFFFFFFFF0000)) | ((keys >> np.uint64(8)) & np.uint64(255))
+
+
+def first_of_each(ascending: np.ndarray) -> np.ndarray:
+    """Where each distinct number begins."""
+    new = np.ones(len(ascending), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def blocks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most `most` texts, of BLOCK_BYTES or so."""
     first, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t) + 2
-        if size >= BLOCK_BYTES or k == len(texts) - 1:
+        if size >= BLOCK_BYTES or k - first == most - 1 or k == len(texts) - 1:
             yield first, k + 1
             first, size = k + 1, 0
 
 
-def numbered(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each block its distinct codes, the number of each position's, and how many positions each text has."""
-    for i, j in blocks(texts):
-        code, lengths = positions(texts[i:j])
-        number, found = pd.factorize(code)
-        yield found, number.astype(np.uint32), lengths
-
-
 def count_pairs(texts: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes of a chunk, ascending, and how often each stands in the texts to learn."""
-    codes, counts, at = [], [], 0
-    for found, number, lengths in numbered(texts):
-        codes.append(found)
-        counts.append(np.bincount(number[np.repeat(learn[at : at + len(lengths)], lengths)], minlength=len(found)))
-        at += len(lengths)
-    return _summed(np.concatenate(codes), np.concatenate(counts))
+    codes, counts, held = [], [], 0
+    for i, j in blocks(texts, len(texts)):
+        keys = tagged(texts[i:j], learn[i:j])
+        starts = first_of_each(keys >> np.uint64(8))
+        codes.append(codes_of(keys[starts]))
+        counts.append(np.add.reduceat((keys & np.uint64(255)).astype(np.uint32), starts).astype(np.uint32))
+        held += len(starts)
+        if held > 2 * len(codes[0]) + HELD or j == len(texts):
+            code, c = _summed(np.concatenate(codes), np.concatenate(counts))
+            codes, counts, held = [code], [c.astype(np.uint32)], len(code)
+    return codes[0], counts[0].astype(np.int64)
 
 
 def pair_scores(texts: list[bytes], answers: dict, buckets: int) -> np.ndarray:
     """The sum over each text's positions of what the buckets answer for their codes."""
-    held = list(numbered(texts))
-    codes = np.unique(np.concatenate([found for found, _, _ in held]))
+    # blocks are made twice, as all of a chunk's positions would take eight bytes each
+    codes, _ = count_pairs(texts, np.zeros(len(texts), bool))
     logp = np.empty(len(codes))
     for k, at in _by_bucket(pair_buckets(codes, buckets)):
         logp[at] = unpack(answers[PAIRS, k], np.float32)
-    return np.concatenate([np.add.reduceat(logp[np.searchsorted(codes, found)][number], np.cumsum(size) - size) for found, number, size in held])
+    sums = []
+    for i, j in blocks(texts, 256):  # a byte tells them apart
+        keys = tagged(texts[i:j], np.arange(j - i))
+        starts = first_of_each(keys >> np.uint64(8))
+        each = np.repeat(logp[np.searchsorted(codes, codes_of(keys[starts]))], np.diff(starts, append=len(keys)))
+        sums.append(np.bincount((keys & np.uint64(255)).astype(np.int64), each, j - i))
+    return np.concatenate(sums)
 
 
 def number_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """A chunk's distinct tokens in the order of their first use, after the end mark; each position's number; and how many each text has."""
-    index: dict[bytes, int] = {b"": 0}
+    index: defaultdict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})
     numbers = array("L")
     lengths = np.empty(len(texts), np.int64)
     for k, t in enumerate(texts):
         words = t.split(STOP) if t else []
-        numbers.extend([index.setdefault(w, len(index)) for w in words])
+        numbers.extend(map(index.__getitem__, words))
         numbers.append(0)
         lengths[k] = len(words) + 1
     return list(index), np.frombuffer(numbers, np.int64), lengths

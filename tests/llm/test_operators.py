@@ -601,6 +601,27 @@ def test_ppm_without_training_and_word_order(spark):
     assert score[held[0]] > score[held[1]] + 3
 
 
+def test_ppm_counts_and_adds_up_by_sorted_positions():
+    rng = random.Random(21)
+    texts = [b" ".join(bytes(rng.choice(b"abc\xc3\xff") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice([0, 1, 5]))) for _ in range(700)]
+    learn = np.array([rng.random() < 0.8 for _ in texts])
+
+    def codes(t):
+        body = ppm.END * ppm.ORDER + t + (ppm.STOP if t else b"") + ppm.END
+        return [int.from_bytes(body[j - ppm.ORDER : j], "little") << 16 | body[j] for j in range(ppm.ORDER, len(body))]
+
+    want = Counter({c: 0 for t in texts for c in codes(t)})
+    for t, used in zip(texts, learn, strict=True):
+        if used:
+            want.update(codes(t))
+    found, counts = ppm.count_pairs(texts, learn)
+    assert list(zip(found.tolist(), counts.tolist(), strict=True)) == sorted(want.items())
+    assert max(j - i for i, j in ppm.blocks(texts, 256)) == 256  # a byte tells the texts of a block apart
+    logp = {c: -rng.random() for c in want}
+    answers = {(ppm.PAIRS, k): ppm.pack(np.array([logp[c] for c in found[at].tolist()], np.float32)) for k, at in ppm._by_bucket(ppm.pair_buckets(found, 8))}
+    assert ppm.pair_scores(texts, answers, 8).tolist() == pytest.approx([sum(logp[c] for c in codes(t)) for t in texts], rel=1e-5)
+
+
 # 7 licenses
 
 
