@@ -1,5 +1,6 @@
 """Operators against plain loops on random rows, and what happens when things fail half way."""
 
+import hashlib
 import math
 import random
 import re
@@ -197,6 +198,22 @@ def test_documents_are_whole_or_absent(spark):
     assert read() == {"a.txt": "<>"}
 
 
+def test_long_documents_are_packed_and_checked_in_blocks(spark, tmp_path):
+    from tallyhouse.sources import documents as D
+
+    entries = spark.range(30_000).selectExpr("if(id % 3 = 0, 'b', 'a') AS document", "repeat(concat(id, 'x'), 40) AS text", "id AS pos")
+    frames = spark.createDataFrame([("a", "<", ">"), ("b", "", ""), ("c", "", "")], "document string, head string, foot string")
+    D.write_documents(entries, frames, ["pos"], f"{tmp_path}/long", ",", 1 << 20)
+    want = {d: f"{h}{','.join(f'{i}x' * 40 for i in range(30_000) if (i % 3 == 0) == (d == 'b') and d != 'c')}{f}".encode() for d, h, f in (("a", "<", ">"), ("b", "", ""), ("c", "", ""))}
+    got = {r.document: (r.bytes, r.sha256) for r in D.check_documents(spark, f"{tmp_path}/long").collect()}
+    assert got == {d: (len(x), hashlib.sha256(x).hexdigest()) for d, x in want.items()}
+    with open(f"{tmp_path}/long/a", "r+b") as f:
+        f.seek(3_000_000)
+        f.write(b"?")
+    with pytest.raises(Exception, match="damaged or missing: a"):
+        D.check_documents(spark, f"{tmp_path}/long").collect()
+
+
 def test_site_maps_are_split(spark):
     from tallyhouse.sources import documents as D
 
