@@ -549,3 +549,37 @@ def test_verdicts_and_kept_saves_stay_dealt_to_many_tasks(spark):
     for rows, n in ((verdicts, 200), (kept, 400 + 57)):
         got = rows.groupBy(F.spark_partition_id()).count().collect()
         assert len(got) == 4 and sum(r["count"] for r in got) == n
+
+
+def test_shared_lists_are_written_in_little_room_by_many_tasks(spark, tmp_path):
+    from tallyhouse.operators.desk import saves_of_recipients
+
+    recipients = spark.sql("SELECT IF(id = 7, NULL, id * 13) AS recipient, IF(id < 5000, 1L, id % 4) AS token FROM range(5040)")
+    saved = spark.sql("SELECT 1L AS token, id FROM range(40) UNION ALL SELECT 2L, id FROM range(40000) UNION ALL SELECT NULL, 1L UNION ALL SELECT 3L, NULL")
+    rows = spark.sql("SELECT id, IF(id = 5, NULL, concat('2024-01-01T', id)) AS start FROM range(39999)")
+    got = saves_of_recipients(recipients, saved, rows)
+    got.write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert 1 < len(files) <= 4
+    out = spark.read.parquet(str(tmp_path / "out"))
+    plain = recipients.join(saved, "token").join(rows, "id").select("recipient", "id", "start")
+    assert out.count() == plain.count() == 5010 * 40 + 10 * 39999
+    assert not out.exceptAll(plain).take(1)
+    one = saves_of_recipients(recipients.where("token = 1"), saved, rows)
+    one.write.parquet(str(tmp_path / "one"))
+    assert sum(f.stat().st_size for f in (tmp_path / "one").glob("*.parquet")) < 100_000  # of 200,400 rows; 13 bits each for their recipients alone would be 325,000
+
+
+def test_recipients_of_a_very_common_token_are_dealt_to_several_tasks(spark):
+    from tallyhouse.operators import desk
+
+    before, (desk.PIECE, desk.GROUP, desk.FEW, desk.TASK) = (desk.PIECE, desk.GROUP, desk.FEW, desk.TASK), (7, 5, 3, 20)
+    try:
+        recipients = spark.sql("SELECT id AS recipient, IF(id % 9 > 0, id % 3, 5) AS token FROM range(300)")
+        saved, rows = spark.sql("SELECT id % 3 AS token, id FROM range(200)"), spark.sql("SELECT id % 180 AS id, CAST(id AS STRING) AS start FROM range(190)")
+        got = desk.saves_of_recipients(recipients, saved, rows).select("*", F.spark_partition_id().alias("task")).collect()
+        assert len({r["task"] for r in got if r["recipient"] % 3 == 1}) > 3
+        plain = recipients.join(saved, "token").join(rows, "id").select("recipient", "id", "start").collect()
+        assert sorted((r["recipient"], r["id"], r["start"]) for r in got) == sorted(tuple(r) for r in plain)
+    finally:
+        desk.PIECE, desk.GROUP, desk.FEW, desk.TASK = before
